@@ -1,0 +1,318 @@
+"""Sorted immutable runs of item hashes, and batches merged with them.
+
+An item is what is deduplicated within documents: a window of words, or a line. A batch of documents
+is hashed and cut, by hash range, into sorted blocks. For each range, one task merges the batch's blocks
+with the runs that hold the earlier batches' hashes: an item is flagged if its hash is in a run, or in
+the same batch in a document with a smaller doc_id. The batch's own distinct hashes become a new run.
+Runs are levelled: FANOUT runs of a level are merged into one of the next.
+
+A hash has 64 bits that order it and ``check`` more bytes that verify it. Blocks are stored as byte
+planes of differences, which the shuffle's and the files' compression shrinks to what is random in them.
+Equal hashes within one block of a batch are combined before the shuffle, so an item that many
+documents share costs one entry a block, however common it is.
+"""
+
+from __future__ import annotations
+
+import struct
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import new_path, remove
+
+#: Items hashed before blocks are cut; items of a hash range; runs of a level before they are merged.
+FLUSH, RANGE_ITEMS, FANOUT = 1_500_000, 2_500_000, 4
+NO_ID = np.iinfo(np.int64).max
+SCHEMA = "kind string, part long, rows long, block binary"
+
+Items = tuple[np.ndarray, np.ndarray]
+#: From one text: 64-bit hashes of its items, in order, and as many more bits to check them with.
+HashText = Callable[[bytes], Items]
+
+
+def planes(values: np.ndarray) -> bytes:
+    """The lowest bytes of all values, then the next ones, and so on."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def unplanes(data: bytes, kind: type, n: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width).reshape(width, n).T).view(kind).reshape(-1)
+
+
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    head = struct.pack(f"<{len(arrays)}I", *map(len, arrays))
+    return head + b"".join(map(planes, arrays))
+
+
+def unpack_arrays(block: bytes, *kinds: type) -> list[np.ndarray]:
+    counts, at, out = struct.unpack_from(f"<{len(kinds)}I", block), 4 * len(kinds), []
+    for kind, n in zip(kinds, counts):
+        out.append(unplanes(memoryview(block)[at:], kind, n))
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
+def steps(values: np.ndarray) -> np.ndarray:
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
+def sums(differences: np.ndarray) -> np.ndarray:
+    return np.cumsum(differences, dtype=differences.dtype)
+
+
+def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def rows_of(kind: str, found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    parts, rows, blocks = zip(*found) if found else ((), (), ())
+    columns = [pa.array([kind] * len(parts), pa.string()), pa.array(parts, pa.int64()), pa.array(rows, pa.int64()), pa.array(blocks, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "part", "rows", "block"])
+
+
+def firsts(hashes: np.ndarray, checks: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries sorted by hash: which aren't of the lowest rank of their (hash, check), and which
+    entries are the first of their (hash, check). Few hashes repeat, and only those are looked into."""
+    same = hashes[1:] == hashes[:-1]
+    again = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
+    late, first = np.zeros(len(hashes), bool), np.ones(len(hashes), bool)
+    order = again[np.lexsort((rank[again], checks[again], hashes[again]))]
+    if len(order):
+        new = np.r_[True, (hashes[order][1:] != hashes[order][:-1]) | (checks[order][1:] != checks[order][:-1])]
+        least = rank[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        late[order] = rank[order] > least
+        first[order] = new
+    return late, first
+
+
+def flag_rows(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Flagged places, by bucket of their document: documents, tags, counts, places."""
+    bucket, out = bucket_of(ids, buckets), []
+    order = np.lexsort((pos, tags, ids, bucket))
+    bucket, ids, tags, pos = bucket[order], ids[order], tags[order], pos[order]
+    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
+    for a, b in zip(edges, [*edges[1:], len(bucket)]):
+        new = np.flatnonzero(np.r_[True, (ids[a + 1 : b] != ids[a : b - 1]) | (tags[a + 1 : b] != tags[a : b - 1])])
+        counts = np.diff(np.r_[new, b - a]).astype(np.uint32)
+        out.append((int(bucket[a]), int(b - a), pack_arrays(ids[a:b][new], tags[a:b][new], counts, steps(pos[a:b]))))
+    return rows_of("flags", out)
+
+
+def hash_batch(hash_text: HashText, ranges: int, buckets: int, check: type):
+    """From rows (doc, tag, text), a block for each hash range: hashes, checks, places, documents.
+
+    Of a hash within a block, the places in its smallest document go on; those in other documents of
+    the block are flagged at once.
+    """
+
+    def cut(docs: list[int], tags: list[int], found: list[Items]) -> Iterator[pa.RecordBatch]:
+        sizes = np.array([len(h) for h, _ in found], np.int64)
+        if not sizes.sum():
+            return
+        hashes, checks = np.concatenate([h for h, _ in found]), np.concatenate([c for _, c in found]).astype(check)
+        ids, tag = np.array(docs, np.int64), np.array(tags, np.int64)
+        doc = np.repeat(np.arange(len(ids)), sizes)
+        pos = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = np.argsort(hashes)
+        hashes, checks, doc, pos = hashes[order], checks[order], doc[order], pos[order].astype(np.uint32)
+        late, _ = firsts(hashes, checks, ids[doc])
+        yield flag_rows(ids[doc[late]], tag[doc[late]], pos[late], buckets)
+        hashes, checks, doc, pos = hashes[~late], checks[~late], doc[~late], pos[~late]
+        share = ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        bounds = np.searchsorted(share, np.arange(ranges + 1))
+        out = []
+        for k in np.flatnonzero(np.diff(bounds)):
+            a, b = bounds[k], bounds[k + 1]
+            own, local = np.unique(doc[a:b], return_inverse=True)
+            out.append((int(k), int(b - a), pack_arrays(steps(hashes[a:b]), checks[a:b], local.astype(np.uint32), pos[a:b], ids[own], tag[own])))
+        yield rows_of("items", out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, tags, found, n = [], [], [], 0
+        for batch in batches:
+            for doc, tag, text in zip(batch["doc"].to_pylist(), batch["tag"].to_pylist(), batch["text"].to_pylist()):
+                items = hash_text((text or "").encode("utf-8", "surrogatepass"))
+                docs.append(NO_ID if doc is None else doc)
+                tags.append(tag)
+                found.append(items)
+                n += len(items[0])
+                if n >= FLUSH:
+                    yield from cut(docs, tags, found)
+                    docs, tags, found, n = [], [], [], 0
+        yield from cut(docs, tags, found)
+
+    return run
+
+
+def merge_range(buckets: int, check: type, keep_run: bool):
+    """One hash range: the batch's blocks merged with the runs; gives flags and the batch's own run."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out, blocks, old = [], [], []
+        for kind, part, block in zip(table["kind"].to_pylist(), table["part"].to_pylist(), table["block"].to_pylist()):
+            if kind == "items":
+                blocks.append(unpack_arrays(block, np.uint64, check, np.uint32, np.uint32, np.int64, np.int64))
+            elif kind == "run":
+                old.append(unpack_arrays(block, np.uint64, check))
+        out += table.filter(pa.compute.equal(table["kind"], "flags")).to_batches()
+        if blocks:
+            part = int(table["part"][0].as_py())
+            n_old = sum(len(h) for h, _ in old)
+            hashes = np.concatenate([*(sums(h) for h, _ in old), *(sums(b[0]) for b in blocks)])
+            checks = np.concatenate([*(c for _, c in old), *(b[1] for b in blocks)])
+            ids, tags = (np.concatenate([np.zeros(n_old, np.int64), *(b[k][b[2]] for b in blocks)]) for k in (4, 5))
+            pos = np.concatenate([np.zeros(n_old, np.uint32), *(b[3] for b in blocks)])
+            # what the runs hold ranks before every document; the rest by doc_id
+            order = np.argsort(hashes, kind="stable")  # merges the sorted blocks
+            old_one = order < n_old
+            hashes, checks, ids, tags, pos = hashes[order], checks[order], ids[order], tags[order], pos[order]
+            known, _ = firsts(hashes, checks, (~old_one).astype(np.int8))
+            late, first = firsts(hashes, checks, np.where(old_one, np.iinfo(np.int64).min, ids))
+            late |= known
+            out.append(flag_rows(ids[late], tags[late], pos[late], buckets))
+            if keep_run:
+                new = first & ~old_one & ~known
+                out.append(rows_of("run", [(part, int(new.sum()), pack_arrays(steps(hashes[new]), checks[new]))]))
+        return pa.Table.from_batches(out, rows_of("run", []).schema)
+
+    return run
+
+
+def merge_runs(check: type):
+    def run(table: pa.Table) -> pa.Table:
+        old = [unpack_arrays(b, np.uint64, check) for b in table["block"].to_pylist()]
+        hashes, checks = np.concatenate([sums(h) for h, _ in old]), np.concatenate([c for _, c in old])
+        order = np.argsort(hashes, kind="stable")
+        block = pack_arrays(steps(hashes[order]), checks[order])
+        return pa.Table.from_batches([rows_of("run", [(int(table["part"][0].as_py()), len(order), block)])])
+
+    return run
+
+
+class RunIndex:
+    """The hashes of all batches so far, in levelled runs in the shared folder.
+
+    ``ranges`` hash ranges, fixed for the index; ``check`` is the numpy type of the verifying bits.
+    """
+
+    def __init__(self, spark: SparkSession, ranges: int, check: type, fanout: int = FANOUT):
+        self.spark, self.ranges, self.check, self.fanout = spark, ranges, check, fanout
+        self.levels: list[list[str]] = []
+
+    def _read(self, paths: list[str], kind: str) -> DataFrame:
+        return read_parts(self.spark, paths, kind)
+
+    def add(self, docs: DataFrame, hash_text: HashText, buckets: int, keep_run: bool = True) -> str:
+        """Flags of a batch (doc_id, text) against the runs and itself; its run joins the index.
+
+        Returns the folder of the flags. keep_run=False: nothing will be merged with this batch.
+        """
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("tag"), "text")
+        rows = rows.mapInArrow(hash_batch(hash_text, self.ranges, buckets, self.check), SCHEMA)
+        if old := [p for level in self.levels for p in level]:
+            rows = rows.unionByName(self._read(old, "run"))
+        merged = rows.groupBy("part").applyInArrow(merge_range(buckets, self.check, keep_run), SCHEMA)
+        # groups of flags and of items may have one number; a group of flags only passes
+        path = write_parts(merged)
+        if keep_run:
+            self._push(path, 0)
+        return path
+
+    def _push(self, path: str, level: int) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(path)
+        if len(self.levels[level]) >= self.fanout:
+            paths, self.levels[level] = self.levels[level], []
+            path = write_parts(self._read(paths, "run").groupBy("part").applyInArrow(merge_runs(self.check), SCHEMA))
+            remove(self.spark, *(f"{p}/kind=run" for p in paths))
+            self._push(path, level + 1)
+
+
+def write_parts(df: DataFrame) -> str:
+    """Write rows by kind, a folder each."""
+    path = new_path(df.sparkSession, "runs")
+    df.write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    return path
+
+
+def read_parts(spark: SparkSession, paths: list[str], kind: str) -> DataFrame:
+    parts = [spark.read.schema(SCHEMA).parquet(p).where(F.col("kind") == kind).select("kind", "part", "rows", "block") for p in paths]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def pack_texts(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.array([NO_ID if d is None else d for d in batch["doc"].to_pylist()], np.int64)
+            bucket, out = bucket_of(ids, buckets), []
+            for k in np.unique(bucket):
+                own = batch.take(pa.array(np.flatnonzero(bucket == k)))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                    stream.write_batch(own)
+                out.append((int(k), own.num_rows, sink.getvalue().to_pybytes()))
+            yield rows_of("texts", out)
+
+    return run
+
+
+#: A text and its flagged places, to: items of the text, items removed, what is left of the text.
+Rewrite = Callable[[str, np.ndarray], tuple[int, int, str]]
+
+
+def rewritten(rewrite: Rewrite):
+    def run(table: pa.Table) -> pa.Table:
+        flags: dict[tuple[int, int], list[np.ndarray]] = {}
+        rows = []
+        for kind, block in zip(table["kind"].to_pylist(), table["block"].to_pylist()):
+            if kind == "flags":
+                ids, tags, counts, pos = unpack_arrays(block, np.int64, np.int64, np.uint32, np.uint32)
+                for key, places in zip(zip(ids.tolist(), tags.tolist()), np.split(sums(pos), np.cumsum(counts)[:-1])):
+                    flags.setdefault(key, []).append(places)
+        none = np.zeros(0, np.uint32)
+        for kind, block in zip(table["kind"].to_pylist(), table["block"].to_pylist()):
+            if kind == "texts":
+                for row in pa.ipc.open_stream(block).read_all().to_pylist():
+                    places = flags.get((NO_ID if row["doc"] is None else row["doc"], row["tag"]))
+                    rows.append((row["doc"], *rewrite(row["text"] or "", np.concatenate(places) if places else none)))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        columns = list(zip(*rows)) or [()] * 4
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "n_items", "n_removed", "kept_text"])
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, hash_text: HashText, rewrite: Rewrite, *, check: type, chars_per_item: float, batches: tuple[float, ...], bucket_chars: int = 12_000_000, range_items: int = RANGE_ITEMS) -> DataFrame:
+    """doc_id, n_items, n_removed, kept_text of every row of docs (doc_id, text).
+
+    The documents go through a RunIndex in batches of ascending doc_id; ``batches`` are the shares of
+    the rows up to the end of each batch (the last is 1), whose bounds are approximate quantiles. The
+    last batch's run is not kept, as nothing follows it. Null ids are in the last batch.
+    """
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    cuts = [F.percentile_approx("doc_id", float(share), 10_000) for share in batches[:-1]]
+    chars, *bounds = docs.agg(F.sum(F.length("text")), *[c.alias(f"cut{k}") for k, c in enumerate(cuts)]).first()
+    chars = chars or 0
+    bounds = sorted({b for b in bounds if b is not None})
+    index = RunIndex(spark, max(1, round(chars / chars_per_item / range_items)), check)
+    buckets, paths = max(1, round(chars / bucket_chars)), []
+    for k, top in enumerate([*bounds, None]):
+        part = docs
+        if k:
+            part = part.where(F.col("doc_id").isNull() | (F.col("doc_id") > bounds[k - 1]))
+        if top is not None:
+            part = part.where(F.col("doc_id") <= top)
+        paths.append(index.add(part, hash_text, buckets, keep_run=top is not None))
+    texts = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("tag"), "text").mapInArrow(pack_texts(buckets), SCHEMA)
+    flags = read_parts(spark, paths, "flags")
+    fields = "doc_id long, n_items long, n_removed long, kept_text string"
+    return texts.unionByName(flags).groupBy("part").applyInArrow(rewritten(rewrite), fields)
