@@ -7,7 +7,7 @@ the same batch in a document with a smaller doc_id. The batch's own distinct has
 Runs are levelled: FANOUT runs of a level are merged into one of the next.
 
 A hash has 64 bits that order it and ``check`` more bytes that verify it. Blocks are stored as byte
-planes of differences, which the shuffle's and the files' compression shrinks to what is random in them.
+planes of differences, compressed to little more than what is random in them.
 Equal hashes within one block of a batch are combined before the shuffle, so an item that many
 documents share costs one entry a block, however common it is.
 """
@@ -20,14 +20,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, remove
 
 #: Items hashed before blocks are cut; items of a hash range; runs of a level before they are merged.
-FLUSH, RANGE_ITEMS, FANOUT = 1_500_000, 2_500_000, 4
+FLUSH, RANGE_ITEMS, FANOUT = 1_500_000, 1_200_000, 4
 NO_ID = np.iinfo(np.int64).max
+#: Bits of its text that tell rows of one doc_id apart.
+TAG = np.uint16
 SCHEMA = "kind string, part long, rows long, block binary"
 
 Items = tuple[np.ndarray, np.ndarray]
@@ -47,13 +51,14 @@ def unplanes(data: bytes, kind: type, n: int) -> np.ndarray:
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
     head = struct.pack(f"<{len(arrays)}I", *map(len, arrays))
-    return head + b"".join(map(planes, arrays))
+    return head + zstandard.compress(b"".join(map(planes, arrays)), 1)
 
 
 def unpack_arrays(block: bytes, *kinds: type) -> list[np.ndarray]:
-    counts, at, out = struct.unpack_from(f"<{len(kinds)}I", block), 4 * len(kinds), []
+    counts, at, out = struct.unpack_from(f"<{len(kinds)}I", block), 0, []
+    data = memoryview(zstandard.decompress(memoryview(block)[4 * len(kinds) :]))
     for kind, n in zip(kinds, counts):
-        out.append(unplanes(memoryview(block)[at:], kind, n))
+        out.append(unplanes(data[at:], kind, n))
         at += n * np.dtype(kind).itemsize
     return out
 
@@ -77,18 +82,19 @@ def rows_of(kind: str, found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["kind", "part", "rows", "block"])
 
 
-def firsts(hashes: np.ndarray, checks: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of entries sorted by hash: which aren't of the lowest rank of their (hash, check), and which
-    entries are the first of their (hash, check). Few hashes repeat, and only those are looked into."""
+def firsts(hashes: np.ndarray, checks: np.ndarray, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries sorted by hash, in documents ids[doc]: which aren't of the smallest id of their (hash,
+    check), and which entries are the first of it. Few hashes repeat, and only those are looked into."""
     same = hashes[1:] == hashes[:-1]
     again = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
     late, first = np.zeros(len(hashes), bool), np.ones(len(hashes), bool)
-    order = again[np.lexsort((rank[again], checks[again], hashes[again]))]
+    h, c, rank = hashes[again], checks[again], ids[doc[again]]
+    order = np.lexsort((rank, c, h))
     if len(order):
-        new = np.r_[True, (hashes[order][1:] != hashes[order][:-1]) | (checks[order][1:] != checks[order][:-1])]
-        least = rank[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        late[order] = rank[order] > least
-        first[order] = new
+        h, c, rank = h[order], c[order], rank[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
+        late[again[order]] = rank > rank[np.flatnonzero(new)][np.cumsum(new) - 1]
+        first[again[order]] = new
     return late, first
 
 
@@ -101,7 +107,7 @@ def flag_rows(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray, buckets: int)
     for a, b in zip(edges, [*edges[1:], len(bucket)]):
         new = np.flatnonzero(np.r_[True, (ids[a + 1 : b] != ids[a : b - 1]) | (tags[a + 1 : b] != tags[a : b - 1])])
         counts = np.diff(np.r_[new, b - a]).astype(np.uint32)
-        out.append((int(bucket[a]), int(b - a), pack_arrays(ids[a:b][new], tags[a:b][new], counts, steps(pos[a:b]))))
+        out.append((int(bucket[a]), int(b - a), pack_arrays(steps(ids[a:b][new]), tags[a:b][new], counts, steps(pos[a:b]))))
     return rows_of("flags", out)
 
 
@@ -117,12 +123,13 @@ def hash_batch(hash_text: HashText, ranges: int, buckets: int, check: type):
         if not sizes.sum():
             return
         hashes, checks = np.concatenate([h for h, _ in found]), np.concatenate([c for _, c in found]).astype(check)
-        ids, tag = np.array(docs, np.int64), np.array(tags, np.int64)
-        doc = np.repeat(np.arange(len(ids)), sizes)
-        pos = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        found.clear()
+        ids, tag = np.array(docs, np.int64), np.array(tags, TAG)
+        doc = np.repeat(np.arange(len(ids), dtype=np.uint32), sizes)
+        pos = (np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint32)
         order = np.argsort(hashes)
-        hashes, checks, doc, pos = hashes[order], checks[order], doc[order], pos[order].astype(np.uint32)
-        late, _ = firsts(hashes, checks, ids[doc])
+        hashes, checks, doc, pos = hashes[order], checks[order], doc[order], pos[order]
+        late, _ = firsts(hashes, checks, ids, doc)
         yield flag_rows(ids[doc[late]], tag[doc[late]], pos[late], buckets)
         hashes, checks, doc, pos = hashes[~late], checks[~late], doc[~late], pos[~late]
         share = ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
@@ -131,7 +138,7 @@ def hash_batch(hash_text: HashText, ranges: int, buckets: int, check: type):
         for k in np.flatnonzero(np.diff(bounds)):
             a, b = bounds[k], bounds[k + 1]
             own, local = np.unique(doc[a:b], return_inverse=True)
-            out.append((int(k), int(b - a), pack_arrays(steps(hashes[a:b]), checks[a:b], local.astype(np.uint32), pos[a:b], ids[own], tag[own])))
+            out.append((int(k), int(b - a), pack_arrays(steps(hashes[a:b]), checks[a:b], local.astype(np.uint32), pos[a:b], steps(ids[own]), tag[own])))
         yield rows_of("items", out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,30 +162,29 @@ def merge_range(buckets: int, check: type, keep_run: bool):
     """One hash range: the batch's blocks merged with the runs; gives flags and the batch's own run."""
 
     def run(table: pa.Table) -> pa.Table:
-        out, blocks, old = [], [], []
-        for kind, part, block in zip(table["kind"].to_pylist(), table["part"].to_pylist(), table["block"].to_pylist()):
-            if kind == "items":
-                blocks.append(unpack_arrays(block, np.uint64, check, np.uint32, np.uint32, np.int64, np.int64))
-            elif kind == "run":
-                old.append(unpack_arrays(block, np.uint64, check))
-        out += table.filter(pa.compute.equal(table["kind"], "flags")).to_batches()
+        out = table.filter(pc.equal(table["kind"], "flags")).to_batches()
+        blocks = [unpack_arrays(b, np.uint64, check, np.uint32, np.uint32, np.int64, TAG) for b in table.filter(pc.equal(table["kind"], "items"))["block"].to_pylist()]
+        old = [unpack_arrays(b, np.uint64, check) for b in table.filter(pc.equal(table["kind"], "run"))["block"].to_pylist()]
         if blocks:
             part = int(table["part"][0].as_py())
+            del table
+            # what the runs hold is document 0, before all others
             n_old = sum(len(h) for h, _ in old)
+            ids = np.concatenate([[np.iinfo(np.int64).min], *(sums(b[4]) for b in blocks)])
+            tags = np.concatenate([np.zeros(1, TAG), *(b[5] for b in blocks)])
+            starts = np.cumsum([1, *(len(b[4]) for b in blocks[:-1])])
             hashes = np.concatenate([*(sums(h) for h, _ in old), *(sums(b[0]) for b in blocks)])
             checks = np.concatenate([*(c for _, c in old), *(b[1] for b in blocks)])
-            ids, tags = (np.concatenate([np.zeros(n_old, np.int64), *(b[k][b[2]] for b in blocks)]) for k in (4, 5))
+            doc = np.concatenate([np.zeros(n_old, np.uint32), *(b[2] + np.uint32(at) for b, at in zip(blocks, starts))])
             pos = np.concatenate([np.zeros(n_old, np.uint32), *(b[3] for b in blocks)])
-            # what the runs hold ranks before every document; the rest by doc_id
+            del blocks, old
             order = np.argsort(hashes, kind="stable")  # merges the sorted blocks
-            old_one = order < n_old
-            hashes, checks, ids, tags, pos = hashes[order], checks[order], ids[order], tags[order], pos[order]
-            known, _ = firsts(hashes, checks, (~old_one).astype(np.int8))
-            late, first = firsts(hashes, checks, np.where(old_one, np.iinfo(np.int64).min, ids))
-            late |= known
-            out.append(flag_rows(ids[late], tags[late], pos[late], buckets))
+            hashes, checks, doc, pos = hashes[order], checks[order], doc[order], pos[order]
+            late, first = firsts(hashes, checks, ids, doc)
+            out.append(flag_rows(ids[doc[late]], tags[doc[late]], pos[late], buckets))
             if keep_run:
-                new = first & ~old_one & ~known
+                # the first of a hash that the runs hold is theirs
+                new = first & (doc > 0)
                 out.append(rows_of("run", [(part, int(new.sum()), pack_arrays(steps(hashes[new]), checks[new]))]))
         return pa.Table.from_batches(out, rows_of("run", []).schema)
 
@@ -214,7 +220,7 @@ class RunIndex:
 
         Returns the folder of the flags. keep_run=False: nothing will be merged with this batch.
         """
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("tag"), "text")
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.pmod(F.xxhash64("text"), F.lit(1 << 16)).alias("tag"), "text")
         rows = rows.mapInArrow(hash_batch(hash_text, self.ranges, buckets, self.check), SCHEMA)
         if old := [p for level in self.levels for p in level]:
             rows = rows.unionByName(self._read(old, "run"))
@@ -274,8 +280,8 @@ def rewritten(rewrite: Rewrite):
         rows = []
         for kind, block in zip(table["kind"].to_pylist(), table["block"].to_pylist()):
             if kind == "flags":
-                ids, tags, counts, pos = unpack_arrays(block, np.int64, np.int64, np.uint32, np.uint32)
-                for key, places in zip(zip(ids.tolist(), tags.tolist()), np.split(sums(pos), np.cumsum(counts)[:-1])):
+                ids, tags, counts, pos = unpack_arrays(block, np.int64, TAG, np.uint32, np.uint32)
+                for key, places in zip(zip(sums(ids).tolist(), tags.tolist()), np.split(sums(pos), np.cumsum(counts)[:-1])):
                     flags.setdefault(key, []).append(places)
         none = np.zeros(0, np.uint32)
         for kind, block in zip(table["kind"].to_pylist(), table["block"].to_pylist()):
@@ -312,7 +318,7 @@ def remove_repeats(docs: DataFrame, hash_text: HashText, rewrite: Rewrite, *, ch
         if top is not None:
             part = part.where(F.col("doc_id") <= top)
         paths.append(index.add(part, hash_text, buckets, keep_run=top is not None))
-    texts = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("tag"), "text").mapInArrow(pack_texts(buckets), SCHEMA)
+    texts = docs.select(F.col("doc_id").alias("doc"), F.pmod(F.xxhash64("text"), F.lit(1 << 16)).alias("tag"), "text").mapInArrow(pack_texts(buckets), SCHEMA)
     flags = read_parts(spark, paths, "flags")
     fields = "doc_id long, n_items long, n_removed long, kept_text string"
     return texts.unionByName(flags).groupBy("part").applyInArrow(rewritten(rewrite), fields)
