@@ -2,8 +2,8 @@
 
 A document's fingerprint takes the majority of each bit over its shingles' hashes. For a radius r, give
 each bit a random (r + 1)-bit vector m; the 2^(r+1) - 1 masks keep, for each non-zero v, the bits whose
-m is orthogonal to v. Whatever r bits two fingerprints differ in, some v is orthogonal to all of those
-bits' vectors, so the two agree under that mask: every pair within the radius meets in some table.
+m isn't orthogonal to v. Whatever r bits two fingerprints differ in, some v is orthogonal to all of
+those bits' vectors, so its mask leaves them out: every pair within the radius meets in some table.
 
 Buckets hold distinct fingerprints only. A bucket is split into chunks of bounded size, each pair of
 chunks is compared by one task, and only a spanning forest of its links is emitted. Components are then
@@ -63,8 +63,8 @@ def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, seed: int = SEED) -
 def covering_masks(radius: int, seed: int = 7) -> list[int]:
     """2^(radius + 1) - 1 masks of 64 bits; any two words within the radius agree under one of them."""
     vectors = np.random.default_rng(seed).integers(1, 1 << (radius + 1), 64)
-    orthogonal = lambda v: [bin(v & int(m)).count("1") % 2 == 0 for m in vectors]
-    return [sum(1 << bit for bit, keep in enumerate(orthogonal(v)) if keep) for v in range(1, 1 << (radius + 1))]
+    kept = lambda v: [bin(v & int(m)).count("1") % 2 for m in vectors]
+    return [sum(1 << bit for bit, keep in enumerate(kept(v)) if keep) for v in range(1, 1 << (radius + 1))]
 
 
 def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
