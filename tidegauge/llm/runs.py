@@ -41,7 +41,7 @@ HashText = Callable[[bytes], Items]
 
 def planes(values: np.ndarray) -> bytes:
     """The lowest bytes of all values, then the next ones, and so on."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
 def unplanes(data: bytes, kind: type, n: int) -> np.ndarray:
