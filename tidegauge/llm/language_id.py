@@ -25,8 +25,8 @@ from pyspark.sql.types import StructType
 from .common import held_out
 
 ORDER = 4
-#: Documents a language to train and to calibrate on; the sample's bound.
-TRAIN_DOCS, CALIBRATE_DOCS = 240, 60
+#: Documents a language to train and to calibrate on, and languages, the commonest: the sample's bound.
+TRAIN_DOCS, CALIBRATE_DOCS, MOST_LANGS = 240, 60, 256
 #: Lengths of the snippets that calibration adds to whole texts.
 SNIPPETS = (4, 8, 16, 32, 64)
 #: A text is rejected beyond so many deviations of its language's cross-entropy, or below this score.
@@ -237,14 +237,15 @@ def calibrate(model: Model, cases: list[tuple[str, int, bool, np.ndarray]]) -> N
 
 
 def sample_of(docs: DataFrame, per_lang: int) -> DataFrame:
-    """At most per_lang documents a language that may be learnt from, chosen by a hash of the id.
+    """At most per_lang documents of each of the MOST_LANGS commonest languages that may be learnt from.
 
-    A threshold on the hash brings the rows near the bound before a window orders what is left.
+    A threshold on a hash of the id brings the rows near the bound, so that a window orders only about
+    twice as many as are taken; the counts that it rests on are MOST_LANGS rows at most.
     """
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30))
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("there"))
-    some = labelled.withColumn("draw", draw).join(counts, "lang").where(F.col("draw") / float(1 << 30) < 2.0 * per_lang / F.col("there"))
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("there")).orderBy(F.col("there").desc(), "lang").limit(MOST_LANGS)
+    some = labelled.withColumn("draw", draw).join(F.broadcast(counts), "lang").where(F.col("draw") / float(1 << 30) < 2.0 * per_lang / F.col("there"))
     return some.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id", "text"))).where(F.col("nth") <= per_lang)
 
 
