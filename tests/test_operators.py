@@ -182,3 +182,51 @@ def test_best_combo_and_runs(spark):
     assert [r["length"] for r in runs] == [2, 1, 2]
     costs = enc.bit_costs(packed(series(spark, [1.0, 1.0, 2.0]), 10)).orderBy("at").collect()
     assert [r["xor_bits"] for r in costs][:2] == [64, 1]
+
+
+@pytest.fixture(params=[1, 2, 3, 12])
+def small_chunks(request, monkeypatch):
+    from tidegauge.operators import series as module
+
+    monkeypatch.setattr(module, "CHUNK", request.param)
+    return request.param
+
+
+def test_chunks_do_not_change_results(spark, small_chunks):
+    """Runs, trends and differences go on over the ends of chunks, and over values that aren't finite."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 3, 40).astype(float)
+    x[[0, 5, 6, 7, 20, 39]] = np.nan
+    v = x[~np.isnan(x)]
+    s = series(spark, x)
+    d, d2 = np.diff(v), np.diff(v, 2)
+    got = prof.diff(s).first()
+    assert got["unique_count"] == len(set(d)) and math.isclose(got["mean"], d.sum() / 39) and got["zero_ratio"] == (d == 0).sum() / 39
+    assert prof.second_diff(s).first()["max"] == d2.max()
+    signs = [t for t in np.sign(d) if t]
+    assert prof.trend(s).first()["change_points"] == sum(a != b for a, b in zip(signs, signs[1:]))
+    lengths = np.diff(np.r_[0, np.flatnonzero(d) + 1, len(v)])
+    run = prof.runs(s).first()
+    assert (run["run_count"], run["max_run_length"]) == (len(lengths), lengths.max())
+    assert math.isclose(run["in_run_ratio"], 1 - (lengths[:-1] == 1).sum() / 40)
+    whole = series(spark, v)
+    assert np.allclose(values_of(xf.delta2_recover(xf.delta2(whole))), v)
+    assert values_of(enc.rle_decode(enc.rle(whole))) == v.tolist()
+    assert len(values_of(enc.adjacent_bits(whole), "bits_xor")) == len(v) - 1
+    if small_chunks == 12:
+        c = x - np.nanmean(x)
+        want = [np.nanmean(c[k:] * c[:-k]) / np.nanvar(x) for k in range(1, 11)]
+        assert np.allclose(prof.autocorrelation(s).first()["auto_correlation"], want)
+        assert prof.periodicity(series(spark, [0, 1, 5, 1] * 20), 12).first()["periodicity"] == 4
+    else:
+        with pytest.raises(ValueError):
+            prof.autocorrelation(s, 4)
+
+
+def test_spread_numbering_is_the_plain_one(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(k), "ab"[int(rng.random() < 0.8)], float(k)) for k in rng.permutation(2000)]
+    df = spark.createDataFrame(rows, "t int, k string, v double").repartition(7)
+    plain, spread = (sorted(map(tuple, to_series(df, ["t"], "v", "k", spread=s).collect())) for s in (False, True))
+    assert plain == spread
+    assert to_series(df.limit(0), ["t"], "v", spread=True).count() == 0

@@ -1,6 +1,6 @@
 """Constraints of series: detection, and validation against them.
 
-Detection is one windowed projection and one aggregate a series; validation joins each series' one row
+Detection is a few aggregates a series, over rows that know their neighbours; validation joins each series' one row
 of constraints back and tests a row by the first check that fails.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.decimals import text_decimals, value_decimals
-from .series import by_pos
+from .series import neighbours, with_stats
 
 # Ids of the constraints, and the limits of their rules.
 IDS = {"precision": 0, "range": 1, "enumeration": 2, "monotonicity": 3, "sign": 4, "discrete": 5, "sparse": 6}
@@ -59,7 +59,7 @@ def enumeration(series: DataFrame) -> DataFrame:
 
 
 def _moves(series: DataFrame) -> DataFrame:
-    return series.withColumn("d", F.col("value") - F.lag("value").over(by_pos()))
+    return neighbours(series).withColumn("d", F.col("value") - F.col("p1"))
 
 
 def monotonicity(series: DataFrame) -> DataFrame:
@@ -85,10 +85,10 @@ def sign(series: DataFrame, use_text: bool = False) -> DataFrame:
 def step_counts(series: DataFrame) -> DataFrame:
     """series_id, step, c, n, low, high: sizes of moves, alike when they round to the same SAME_STEP digits."""
     size = F.abs(F.col("d"))
+    rows = _moves(series).withColumn("step", F.when(size >= TINY, F.round(size, SAME_STEP)))
+    steps = rows.groupBy("series_id", "step").agg(F.count(F.lit(1)).alias("c"), F.min("value").alias("low"), F.max("value").alias("high"))
     every = W.partitionBy("series_id")
-    rows = _moves(series).withColumns({"n": F.count(F.lit(1)).over(every), "low": F.min("value").over(every), "high": F.max("value").over(every)})
-    rows = rows.withColumn("step", F.when(size >= TINY, F.round(size, SAME_STEP)))
-    return rows.groupBy("series_id", "step").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("low").alias("low"), F.max("high").alias("high"))
+    return steps.withColumns({"n": F.sum("c").over(every), "low": F.min("low").over(every), "high": F.max("high").over(every)})
 
 
 def discrete_min(series: DataFrame) -> DataFrame:
@@ -136,8 +136,7 @@ def validate(series: DataFrame, constraints: DataFrame) -> DataFrame:
     value before, sign, discrete. A series that is constrained to be sparse and isn't gives one row more,
     with pos -1 and the share of zeros as its value.
     """
-    every = W.partitionBy("series_id")
-    rows = series.withColumns({"before": F.lag("value").over(by_pos()), "base": F.min("value").over(every)})
+    rows = with_stats(neighbours(series).withColumnRenamed("p1", "before").drop("p2", "chunk"), base=F.min("value"))
     names = ["precision", "min_value", "max_value", "enumeration", "monotonicity", "allow_positive", "allow_negative", "sign", "discrete_step", "sparse"]
     rows = rows.join(constraints.select("series_id", *[F.col(c).alias(f"k_{c}") for c in names]), "series_id")
     v, b, k = F.col("value"), F.col("before"), lambda c: F.col(f"k_{c}")

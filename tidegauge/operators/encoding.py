@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, Lo
 
 from ..codecs import CODECS
 from ..functions.bits import double_bits, wrapping_add, wrapping_sub
-from .series import by_pos
+from .series import neighbours, running_sum
 
 
 def segment_values(values: pa.Array) -> list[np.ndarray | None]:
@@ -157,11 +157,10 @@ def decode_chosen(blocks: DataFrame) -> DataFrame:
 
 
 def rle(series: DataFrame) -> DataFrame:
-    """series_id, run (from 1), start, value, length: runs of equal values (NaN equals NaN), by windows."""
-    w = by_pos()
-    new = F.when(F.lag("value").over(w).eqNullSafe(F.col("value")), 0).otherwise(1)
-    rows = series.withColumn("run", F.sum(new).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.groupBy("series_id", "run").agg(F.min("pos").alias("start"), F.first("value").alias("value"), F.count(F.lit(1)).alias("length"))
+    """series_id, run (from 1), start, value, length: runs of equal values (NaN equals NaN)."""
+    rows = neighbours(series).withColumn("new", F.when(F.col("value").eqNullSafe(F.col("p1")), 0).otherwise(1).cast("long"))
+    rows = running_sum(rows, "new", "run")
+    return rows.groupBy("series_id", "run").agg(F.min("pos").alias("start"), F.min_by("value", "pos").alias("value"), F.count(F.lit(1)).alias("length"))
 
 
 def rle_decode(runs: DataFrame) -> DataFrame:
@@ -188,7 +187,7 @@ def byte_frequencies(series: DataFrame) -> DataFrame:
 def adjacent_bits(series: DataFrame) -> DataFrame:
     """series_id, pos, bits and the xor, sum and difference (modulo 2^64) with the bits before."""
     rows = series.withColumn("bits", double_bits(F.col("value")))
-    rows = rows.withColumn("before", F.lag("bits").over(by_pos())).where("before is not null")
+    rows = neighbours(rows, "bits").withColumnRenamed("p1", "before").where("before is not null")
     b, now = F.col("before"), F.col("bits")
     return rows.select("series_id", "pos", "bits", now.bitwiseXOR(b).alias("bits_xor"), wrapping_add(now, b).alias("bits_add"), wrapping_sub(now, b).alias("bits_sub"))
 

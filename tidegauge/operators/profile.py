@@ -1,7 +1,7 @@
 """The statistical profile of each series.
 
-Every family of features is one aggregate over one windowed projection. All windows share the key
-series_id and the order pos, so a family costs one exchange and one sort; values that aren't finite
+Every family of features is a few aggregates over rows that know their neighbours. Windows are over
+chunks of a series (see series.py), so a long series is spread over tasks. Values that aren't finite
 count as rows but take no part in the statistics.
 """
 
@@ -9,22 +9,31 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bits import double_bits, exponent, mantissa
-from .series import by_pos, finite
+from .series import KEY, chunk_size, chunked, finite, in_chunk, neighbours, running_sum, with_stats
 
 #: Differences smaller than this are zero; bins of the value histogram; lags of the autocorrelation.
 TINY, BINS, LAGS, MOST_LAG = 1e-10, 100, 10, 100
-EARLIER = (W.unboundedPreceding, -1)
 
 
 def _values(series: DataFrame) -> DataFrame:
     return series.select("series_id", "pos", F.when(finite(), F.col("value")).alias("v"))
 
 
+def _finite(series: DataFrame) -> DataFrame:
+    return series.where(finite()).select("series_id", "pos", F.col("value").alias("v"))
+
+
+def _sizes(series: DataFrame) -> DataFrame:
+    return series.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
@@ -64,85 +73,77 @@ def value_props(series: DataFrame) -> DataFrame:
     return out.select("series_id", *[x for name in ("unique", "zero", "integer") for x in (F.col(f"{name}_count"), _ratio(F.col(f"{name}_count"), F.col("n")).alias(f"{name}_ratio"))])
 
 
-def _differences(series: DataFrame) -> DataFrame:
-    """v, d1 (to the last finite value before), d2 (to the last difference before)."""
-    w = by_pos().rowsBetween(*EARLIER)
-    rows = _values(series).withColumn("d1", F.col("v") - F.last("v", ignorenulls=True).over(w))
-    return rows.withColumn("d2", F.col("d1") - F.last("d1", ignorenulls=True).over(w))
-
-
-def _difference_stats(rows: DataFrame, d: str, short_by: int) -> DataFrame:
-    x = F.col(d)
-    by_value = rows.groupBy("series_id", x.alias("x")).agg(F.count(F.lit(1)).alias("c"))
+def _difference_stats(series: DataFrame, second: bool) -> DataFrame:
+    """Of d1 = v - p1, or d2 = d1 - (p1 - p2); p1 and p2 are the two finite values before v."""
+    d1 = F.col("v") - F.col("p1")
+    step = d1 - (F.col("p1") - F.col("p2")) if second else d1
+    by_value = neighbours(_finite(series), "v").groupBy("series_id", step.alias("x")).agg(F.count(F.lit(1)).alias("c"))
     x, c = F.col("x"), F.col("c")
     unique = by_value.groupBy("series_id").agg(
-        F.sum("c").alias("n"), F.count(x).alias("unique_count"), F.min(x).alias("min"), F.max(x).alias("max"), F.sum(x * c).alias("total"), F.sum(x * x * c).alias("squares"),
+        F.count(x).alias("unique_count"), F.min(x).alias("min"), F.max(x).alias("max"), F.sum(x * c).alias("total"), F.sum(x * x * c).alias("squares"),
         F.sum(F.when(F.abs(x) < TINY, c).otherwise(0)).alias("zeros"),
     )
-    pairs = F.col("n") - short_by
+    unique = _sizes(series).join(unique, "series_id", "left")
+    pairs = F.col("n") - (2 if second else 1)
     mean = _ratio(F.col("total"), pairs)
     spread = F.sqrt(F.greatest(F.lit(0.0), _ratio(F.col("squares"), pairs) - mean * mean))
+    known = lambda c: F.coalesce(c, F.lit(0.0))
     return unique.select(
-        "series_id", F.coalesce("min", F.lit(0.0)).alias("min"), F.coalesce("max", F.lit(0.0)).alias("max"), F.coalesce(mean, F.lit(0.0)).alias("mean"), F.coalesce(spread, F.lit(0.0)).alias("std_dev"),
-        F.coalesce(F.col("max") - F.col("min"), F.lit(0.0)).alias("range"), _ratio(F.col("zeros"), pairs).alias("zero_ratio"), "unique_count", _ratio(F.col("unique_count"), F.col("n")).alias("unique_ratio"),
+        "series_id", known(F.col("min")).alias("min"), known(F.col("max")).alias("max"), known(mean).alias("mean"), known(spread).alias("std_dev"), known(F.col("max") - F.col("min")).alias("range"),
+        known(_ratio(F.col("zeros"), pairs)).alias("zero_ratio"), F.coalesce("unique_count", F.lit(0)).alias("unique_count"), known(_ratio(F.col("unique_count"), F.col("n"))).alias("unique_ratio"),
     )
 
 
 def diff(series: DataFrame) -> DataFrame:
     """Statistics of the differences between neighbours; the deviation is a population's."""
-    return _difference_stats(_differences(series), "d1", 1)
+    return _difference_stats(series, second=False)
 
 
 def second_diff(series: DataFrame) -> DataFrame:
     """Statistics of the differences between neighbouring differences."""
-    return _difference_stats(_differences(series), "d2", 2)
+    return _difference_stats(series, second=True)
 
 
 def trend(series: DataFrame) -> DataFrame:
     """monotonicity: (rises - falls) / (rises + falls); change_points: turns between them, flats aside."""
-    w = by_pos()
-    step = F.col("v") - F.last("v", ignorenulls=True).over(w.rowsBetween(*EARLIER))
-    rows = _values(series).withColumn("t", F.nullif(F.signum(step), F.lit(0.0)))
-    rows = rows.withColumn("before", F.last("t", ignorenulls=True).over(w.rowsBetween(*EARLIER)))
-    out = rows.groupBy("series_id").agg(F.sum("t").alias("net"), F.count("t").alias("moves"), F.count_if(F.col("t") != F.col("before")).alias("change_points"))
-    return out.select("series_id", F.coalesce(_ratio(F.col("net"), F.col("moves")), F.lit(0.0)).alias("monotonicity"), "change_points")
-
-
-def run_rows(series: DataFrame) -> DataFrame:
-    """series_id, run (from 1), value, length, n, runs: a row for each run of equal finite values."""
-    w = by_pos()
-    all_rows = W.partitionBy("series_id")
-    rows = _values(series).withColumn("n", F.count(F.lit(1)).over(all_rows)).where(F.col("v").isNotNull())
-    before = F.lag("v").over(w)
-    rows = rows.withColumn("run", F.sum(F.when(before == F.col("v"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    out = rows.groupBy("series_id", "run").agg(F.first("v").alias("value"), F.count(F.lit(1)).alias("length"), F.min("pos").alias("start"), F.max("n").alias("n"))
-    return out.withColumn("runs", F.max("run").over(all_rows))
+    rows = neighbours(_finite(series), "v").withColumn("t", F.nullif(F.signum(F.col("v") - F.col("p1")), F.lit(0.0)))
+    moves = rows.where("t is not null").withColumn("before", F.lag("t").over(in_chunk()))
+    chunks = moves.groupBy(*KEY).agg(
+        F.sum("t").alias("net"), F.count("t").alias("moves"), F.count_if(F.col("t") != F.col("before")).alias("turns"), F.min_by("t", "pos").alias("first"), F.max_by("t", "pos").alias("last")
+    )
+    at_edge = F.lag("last").over(W.partitionBy("series_id").orderBy("chunk")) != F.col("first")
+    chunks = chunks.withColumn("edge", F.coalesce(at_edge, F.lit(False)).cast("int"))
+    out = chunks.groupBy("series_id").agg(F.sum("net").alias("net"), F.sum("moves").alias("moves"), F.sum(F.col("turns") + F.col("edge")).alias("change_points"))
+    out = _sizes(series).join(out, "series_id", "left")
+    return out.select("series_id", F.coalesce(_ratio(F.col("net"), F.col("moves")), F.lit(0.0)).alias("monotonicity"), F.coalesce("change_points", F.lit(0)).alias("change_points"))
 
 
 def runs(series: DataFrame) -> DataFrame:
-    """Runs of equal values. in_run_ratio leaves out single values; a series' last run never is one."""
-    single = (F.col("length") == 1) & (F.col("run") < F.col("runs"))
-    out = run_rows(series).groupBy("series_id").agg(
+    """Runs of equal finite values. in_run_ratio leaves out single values; a series' last run never is one."""
+    rows = neighbours(_finite(series), "v").withColumn("new", F.when(F.col("v") == F.col("p1"), 0).otherwise(1).cast("long"))
+    lengths = running_sum(rows, "new", "run").groupBy("series_id", "run").agg(F.count(F.lit(1)).alias("length"))
+    length = F.col("length")
+    out = lengths.groupBy("series_id").agg(
         F.max("length").alias("max_run_length"), F.avg("length").alias("avg_run_length"), F.count(F.lit(1)).alias("run_count"),
-        F.count_if(F.col("length") > 1).alias("constant"), F.count_if(single).alias("singles"), F.max("n").alias("n"),
+        F.count_if(length > 1).alias("constant"), F.count_if(length == 1).alias("ones"), F.max_by("length", "run").alias("last"),
     )
-    return out.select("series_id", "max_run_length", "avg_run_length", "run_count", (F.col("constant") / F.col("run_count")).alias("constant_run_ratio"), (1 - F.col("singles") / F.col("n")).alias("in_run_ratio"))
+    singles = F.col("ones") - (F.col("last") == 1).cast("int")
+    out = out.join(_sizes(series), "series_id")
+    return out.select("series_id", "max_run_length", "avg_run_length", "run_count", (F.col("constant") / F.col("run_count")).alias("constant_run_ratio"), (1 - singles / F.col("n")).alias("in_run_ratio"))
 
 
 def bits(series: DataFrame) -> DataFrame:
     """Set bits, sign changes, range and mode of exponents (ties: the smallest), mantissa entropy."""
-    rows = _values(series).where(F.col("v").isNotNull())
-    before = F.lag("v").over(by_pos())
-    flip = F.coalesce((before < 0) != (F.col("v") < 0), F.lit(False))
+    rows = neighbours(_finite(series), "v")
+    flip = F.coalesce((F.col("p1") < 0) != (F.col("v") < 0), F.lit(False))
     rows = rows.withColumn("flip", flip).withColumn("b", double_bits(F.col("v")))
     rows = rows.select("series_id", "flip", F.bit_count("b").alias("ones"), exponent(F.col("b")).alias("e"), mantissa(F.col("b")).alias("m"))
     cells = rows.groupBy("series_id", "e", "m").agg(F.count(F.lit(1)).alias("c"), F.sum("ones").alias("ones"), F.sum(F.col("flip").cast("int")).alias("flips"))
     by_exponent = cells.groupBy("series_id", "e").agg(F.sum("c").alias("c"), F.sum("ones").alias("ones"), F.sum("flips").alias("flips"))
     head = by_exponent.groupBy("series_id").agg(
         (F.sum("ones") / F.sum("c")).alias("avg_set_bits"), F.sum("flips").alias("sign_changes"),
-        (F.max("e") - F.min("e")).cast("long").alias("exponent_range"), F.max(F.struct("c", -F.col("e")))["col2"].alias("mode"),
+        (F.max("e") - F.min("e")).cast("long").alias("exponent_range"), F.min_by("e", F.struct(-F.col("c"), "e")).cast("long").alias("common_exponent"),
     )
-    head = head.select("series_id", "avg_set_bits", "sign_changes", "exponent_range", (-F.col("mode")).cast("long").alias("common_exponent"))
     return head.join(mantissa_entropy_of(cells), "series_id")
 
 
@@ -165,32 +166,63 @@ def _entropy(counts: DataFrame) -> DataFrame:
 
 def entropy(series: DataFrame) -> DataFrame:
     """Shannon entropy in bits of the histogram of BINS equal bins from min to max; 0 if all are equal."""
-    w = W.partitionBy("series_id")
-    rows = _values(series).where(F.col("v").isNotNull()).withColumns({"low": F.min("v").over(w), "high": F.max("v").over(w)})
+    rows = with_stats(_finite(series), low=F.min("v"), high=F.max("v"))
     bin_ = F.least(F.lit(BINS - 1), ((F.col("v") - F.col("low")) / ((F.col("high") - F.col("low")) / BINS)).cast("int"))
     rows = rows.withColumn("bin", F.when(F.col("high") > F.col("low"), bin_).otherwise(0))
     return _entropy(rows.groupBy("series_id", "bin").agg(F.count(F.lit(1)).alias("c")))
 
 
+def _lag_sums(lags: int, size: int):
+    """Of a chunk with the ``lags`` rows before it: for each lag, the sum of products and the pairs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        pos, c = table["pos"].to_numpy(), table["c"].to_numpy()
+        first = int(table["chunk"][0].as_py()) * size
+        start = max(0, first - lags)
+        x = np.full(int(pos.max()) - start + 1, np.nan)
+        x[pos - start] = c
+        known = np.where(np.isnan(x), 0.0, x)
+        there = (~np.isnan(x)).astype(np.float64)
+        own = first - start
+        out = []
+        for k in range(1, lags + 1):
+            a = min(max(own, k), len(x))  # beyond the end, there are no pairs
+            out.append((k, float(known[a:] @ known[a - k : a - k + len(x) - a]), float(there[a:] @ there[a - k : a - k + len(x) - a])))
+        return pa.table({"series_id": pa.array([table["series_id"][0].as_py()] * lags, pa.string()), "lag": [k for k, _, _ in out], "s": [s for _, s, _ in out], "pairs": [p for _, _, p in out]})
+
+    return run
+
+
 def _correlations(series: DataFrame, lags: int) -> DataFrame:
-    """series_id, n, variance, r1..: mean products of centred values at each lag over the variance.
+    """series_id, n, variance, r (lag to mean product of centred values over the variance).
 
-    The lags are columns of one window over one sort, not a join of the series with itself.
+    A chunk gets the last ``lags`` rows of the one before and is one call, so a row is shuffled once,
+    and the products of all lags are taken in memory instead of by as many window columns.
     """
-    w, every = by_pos(), W.partitionBy("series_id")
-    rows = _values(series).withColumn("c", F.col("v") - F.avg("v").over(every))
-    rows = rows.select("series_id", "c", *[F.lag("c", k).over(w).alias(f"c{k}") for k in range(1, lags + 1)])
-    means = [F.avg(F.col("c") * F.col(f"c{k}")).alias(f"r{k}") for k in range(1, lags + 1)]
-    out = rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.var_pop("c").alias("variance"), *means)
-    known = F.col("variance") > 0
-    return out.select("series_id", "n", "variance", *[F.when(known, F.col(f"r{k}") / F.col("variance")).alias(f"r{k}") for k in range(1, lags + 1)])
+    stats = _values(series).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.var_pop("v").alias("variance"))
+    rows = _finite(series).join(stats.select("series_id", "mean"), "series_id").select("series_id", "pos", (F.col("v") - F.col("mean")).alias("c"))
+    rows, size = chunked(rows), chunk_size()
+    if lags > size:
+        raise ValueError(f"lags go back over a chunk of {size} at most")
+    late = F.col("pos") % size >= size - lags
+    both = F.explode(F.when(late, F.array("chunk", F.col("chunk") + 1)).otherwise(F.array("chunk")))
+    rows = rows.select("series_id", "pos", "c", both.alias("chunk"))
+    sums = rows.groupBy("series_id", "chunk").applyInArrow(_lag_sums(lags, size), "series_id string, lag long, s double, pairs double")
+    sums = sums.groupBy("series_id", "lag").agg(F.sum("s").alias("s"), F.sum("pairs").alias("pairs"))
+    sums = sums.join(stats.select("series_id", "variance"), "series_id").where("variance > 0 and pairs > 0")
+    r = F.map_from_entries(F.collect_list(F.struct("lag", F.col("s") / F.col("pairs") / F.col("variance"))))
+    return stats.join(sums.groupBy("series_id").agg(r.alias("r")), "series_id", "left").select("series_id", "n", "variance", "r")
+
+
+def _at(lag: int) -> Column:
+    return F.try_element_at(F.col("r"), F.lit(lag).cast("long"))
 
 
 def autocorrelation(series: DataFrame, lags: int = LAGS) -> DataFrame:
     """auto_correlation: lags 1..; null if there are not more values than lags or all are equal."""
     out = _correlations(series, lags)
     known = (F.col("n") > lags) & (F.col("variance") > 0)
-    return out.select("series_id", F.when(known, F.array(*[f"r{k}" for k in range(1, lags + 1)])).alias("auto_correlation"))
+    return out.select("series_id", F.when(known, F.array(*map(_at, range(1, lags + 1)))).alias("auto_correlation"))
 
 
 def periodicity(series: DataFrame, most: int = MOST_LAG) -> DataFrame:
@@ -198,10 +230,11 @@ def periodicity(series: DataFrame, most: int = MOST_LAG) -> DataFrame:
     over 0.5, and its value; 0 and 0 if there is none or there are under 10 values."""
     out = _correlations(series, most)
     last = F.least(F.floor(F.col("n") / 2), F.lit(most))
-    tests = [((k + 1) <= last) & (F.col(f"r{k}") > F.col(f"r{k - 1}")) & (F.col(f"r{k}") > F.col(f"r{k + 1}")) & (F.col(f"r{k}") > 0.5) for k in range(2, most)]
-    peaks = F.array_compact(F.array(*[F.when(t & (F.col("n") >= 10), F.struct(F.lit(k).alias("lag"), F.col(f"r{k}").alias("r"))) for k, t in zip(range(2, most), tests)]))
-    peak = F.get(peaks, F.lit(0))
-    return out.select("series_id", F.coalesce(peak["lag"], F.lit(0)).cast("long").alias("periodicity"), F.coalesce(peak["r"], F.lit(0.0)).alias("periodic_score"))
+    lags = F.sequence(F.lit(2).cast("long"), F.greatest(last - 1, F.lit(2)).cast("long"))
+    at = lambda k: F.try_element_at(F.col("r"), k)
+    peaks = F.filter(lags, lambda k: (k < last) & (at(k) > at(k - 1)) & (at(k) > at(k + 1)) & (at(k) > 0.5))
+    peak = F.when(F.col("n") >= 10, F.get(peaks, F.lit(0)))
+    return out.select("series_id", F.coalesce(peak, F.lit(0)).cast("long").alias("periodicity"), F.coalesce(at(peak), F.lit(0.0)).alias("periodic_score"))
 
 
 def profile(series: DataFrame, *, percentiles: bool = False) -> DataFrame:

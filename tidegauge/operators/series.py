@@ -1,4 +1,9 @@
-"""Series in long form, and segments of them."""
+"""Series in long form, chunks that spread a long series over tasks, and segments.
+
+A window over a whole series would put it into one task. So ordered operators work on chunks of CHUNK
+positions: windows are partitioned by (series_id, chunk), each chunk is summed up in one row (its last
+values, or a sum), and what a chunk needs of those before it comes from a window over these few rows.
+"""
 
 from __future__ import annotations
 
@@ -6,25 +11,86 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Values of a segment.
-SEGMENT = 5000
+from ..storage import write_table
+
+#: Positions of a chunk, and values of a segment.
+CHUNK, SEGMENT = 100_000, 5000
+KEY = ["series_id", "chunk"]
+BEFORE = (W.unboundedPreceding, -1)
+
+
+def _column(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
-def to_series(df: DataFrame, order: list[str | Column], value: str | Column, key: str | Column | None = None, raw: str | Column | None = None) -> DataFrame:
+def to_series(df: DataFrame, order: list[str | Column], value: str | Column, key: str | Column | None = None, raw: str | Column | None = None, spread: bool = False) -> DataFrame:
     """series_id, pos (from 0), value and, if given, raw, from the rows of df in the given order.
 
     Rows whose value is null are dropped before positions are given. key None: one series named "all".
+    spread=True numbers long series without putting one into one task, at the price of a table in the
+    shared folder; rows that tie in the order are then numbered in any order, as they are without it.
     """
-    as_column = lambda c: F.col(c) if isinstance(c, str) else c
-    name = F.lit("all") if key is None else as_column(key).cast("string")
-    rows = df.select(name.alias("series_id"), as_column(value).cast("double").alias("value"), *([as_column(raw).alias("raw")] if raw is not None else []), *[as_column(o).alias(f"order_{k}") for k, o in enumerate(order)])
-    by = W.partitionBy("series_id").orderBy(*[f"order_{k}" for k in range(len(order))])
-    rows = rows.where(F.col("value").isNotNull()).withColumn("pos", (F.row_number().over(by) - 1).cast("long"))
-    return rows.select("series_id", "pos", "value", *["raw"] * (raw is not None))
+    name = F.lit("all") if key is None else _column(key).cast("string")
+    by = [f"order_{k}" for k in range(len(order))]
+    rows = df.select(name.alias("series_id"), _column(value).cast("double").alias("value"), *([_column(raw).alias("raw")] if raw is not None else []), *[_column(o).alias(c) for o, c in zip(order, by)])
+    rows = rows.where(F.col("value").isNotNull())
+    if spread:
+        rows = numbered(rows, by)
+    else:
+        rows = rows.withColumn("pos", F.row_number().over(W.partitionBy("series_id").orderBy(*by)) - 1)
+    return rows.select("series_id", F.col("pos").cast("long").alias("pos"), "value", *["raw"] * (raw is not None))
+
+
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with pos, from 0 in each series: range-sorted, numbered within partitions, and moved by the
+    rows that a series has in the partitions before (a row a series and partition)."""
+    ranged = rows.repartitionByRange("series_id", *order).sortWithinPartitions("series_id", *order)
+    at = F.monotonically_increasing_id()
+    # written, as bounds of ranges are drawn anew when the plan runs again
+    ranged, _ = write_table(ranged.withColumns({"part": F.shiftright(at, 33), "at": at.bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    parts = ranged.groupBy("series_id", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("c"))
+    start = F.coalesce(F.sum("c").over(W.partitionBy("series_id").orderBy("part").rowsBetween(*BEFORE)), F.lit(0))
+    moves = parts.select("series_id", "part", (start - F.col("first")).alias("move"))
+    return ranged.join(moves, ["series_id", "part"]).withColumn("pos", F.col("at") + F.col("move")).drop("part", "at", "move")
+
+
+def in_chunk() -> W:
+    return W.partitionBy(*KEY).orderBy("pos")
+
+
+def chunk_size() -> int:
+    return CHUNK
+
+
+def chunked(series: DataFrame) -> DataFrame:
+    return series.withColumn("chunk", F.floor(F.col("pos") / chunk_size()))
+
+
+def neighbours(rows: DataFrame, value: str = "value") -> DataFrame:
+    """rows (of no null value) with chunk, p1 and p2: the value before and the one before that."""
+    w = in_chunk()
+    rows = chunked(rows).withColumns({"in1": F.lag(value, 1).over(w), "in2": F.lag(value, 2).over(w)})
+    ends = rows.groupBy(*KEY).agg(F.max_by(F.struct(F.col(value).alias("last"), F.col("in1").alias("second")), "pos").alias("end"))
+    over = W.partitionBy("series_id").orderBy("chunk")
+    c1, c2 = F.lag("end.last", 1).over(over), F.coalesce(F.lag("end.second", 1).over(over), F.lag("end.last", 2).over(over))
+    rows = rows.join(ends.select(*KEY, c1.alias("c1"), c2.alias("c2")), KEY)
+    p1 = F.coalesce("in1", "c1")
+    p2 = F.coalesce("in2", F.when(F.col("in1").isNull(), F.col("c2")).otherwise(F.col("c1")))
+    return rows.withColumns({"p1": p1, "p2": p2}).drop("in1", "in2", "c1", "c2")
+
+
+def running_sum(rows: DataFrame, column: str, out: str) -> DataFrame:
+    """rows (with chunk) and the sum of column up to and with each row of a series."""
+    w = in_chunk().rowsBetween(W.unboundedPreceding, 0)
+    sums = rows.groupBy(*KEY).agg(F.sum(column).alias("s"))
+    start = F.coalesce(F.sum("s").over(W.partitionBy("series_id").orderBy("chunk").rowsBetween(*BEFORE)), F.lit(0).cast(rows.schema[column].dataType))
+    rows = rows.withColumn(out, F.sum(column).over(w)).join(sums.select(*KEY, start.alias("start_sum")), KEY)
+    return rows.withColumn(out, F.col(out) + F.col("start_sum")).drop("start_sum")
 
 
-def by_pos() -> W:
-    return W.partitionBy("series_id").orderBy("pos")
+def with_stats(series: DataFrame, **stats: Column) -> DataFrame:
+    """series with aggregates of each whole series: summed up first, then joined, not a window."""
+    return series.join(series.groupBy("series_id").agg(*[c.alias(n) for n, c in stats.items()]), "series_id")
 
 
 def finite(value: str = "value") -> Column:
@@ -38,8 +104,8 @@ def segmented(series: DataFrame, size: int = SEGMENT, keep_rest: bool = False) -
     if keep_rest:
         return rows
     # the last position decides, so that rows aren't counted by segment
-    last = F.max("pos").over(W.partitionBy("series_id"))
-    return rows.withColumn("last_pos", last).where((F.col("segment_id") + 1) * size <= F.col("last_pos") + 1).drop("last_pos")
+    rows = with_stats(rows, last_pos=F.max("pos"))
+    return rows.where((F.col("segment_id") + 1) * size <= F.col("last_pos") + 1).drop("last_pos")
 
 
 def packed(series: DataFrame, size: int = SEGMENT, keep_rest: bool = True) -> DataFrame:

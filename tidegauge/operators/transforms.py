@@ -1,16 +1,13 @@
-"""Reversible transforms of series, forward and back, as windows over (series_id, pos)."""
+"""Reversible transforms of series, forward and back, chunk by chunk where order matters."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .series import by_pos
+from .series import chunked, neighbours, running_sum, with_stats
 
 V = F.col
-RUNNING = (W.unboundedPreceding, 0)
-EVERY = ["series_id"]
 
 
 def _with(series: DataFrame, value: Column, *more: Column) -> DataFrame:
@@ -19,12 +16,12 @@ def _with(series: DataFrame, value: Column, *more: Column) -> DataFrame:
 
 def delta(series: DataFrame) -> DataFrame:
     """Differences to the value before; the first value stays."""
-    return _with(series, V("value") - F.coalesce(F.lag("value").over(by_pos()), F.lit(0.0)))
+    return _with(neighbours(series), V("value") - F.coalesce("p1", F.lit(0.0)))
 
 
 def delta_recover(series: DataFrame) -> DataFrame:
     """Running sums. Exact for whole numbers; sums of doubles may differ in their last digits."""
-    return _with(series, F.sum("value").over(by_pos().rowsBetween(*RUNNING)))
+    return _with(running_sum(chunked(series), "value", "total"), V("total"))
 
 
 def delta2(series: DataFrame) -> DataFrame:
@@ -37,10 +34,8 @@ def delta2_recover(series: DataFrame) -> DataFrame:
 
 def ranged(series: DataFrame) -> DataFrame:
     """value - min, with base; a series of one value is left as it is, base 0."""
-    w = W.partitionBy(*EVERY)
-    base = F.when(F.count(F.lit(1)).over(w) > 1, F.min("value").over(w)).otherwise(F.lit(0.0))
-    rows = series.withColumn("base", base)
-    return _with(rows, V("value") - V("base"), V("base"))
+    base = F.when(F.count(F.lit(1)) > 1, F.min("value")).otherwise(F.lit(0.0))
+    return _with(with_stats(series, base=base), V("value") - V("base"), V("base"))
 
 
 def ranged_recover(series: DataFrame) -> DataFrame:
@@ -49,8 +44,7 @@ def ranged_recover(series: DataFrame) -> DataFrame:
 
 def logged(series: DataFrame) -> DataFrame:
     """ln(value + offset), offset = 1 - min. Not exact on the way back."""
-    rows = series.withColumn("offset", 1 - F.min("value").over(W.partitionBy(*EVERY)))
-    return _with(rows, F.log(V("value") + V("offset")), V("offset"))
+    return _with(with_stats(series, offset=1 - F.min("value")), F.log(V("value") + V("offset")), V("offset"))
 
 
 def logged_recover(series: DataFrame) -> DataFrame:
@@ -59,8 +53,7 @@ def logged_recover(series: DataFrame) -> DataFrame:
 
 def minmax(series: DataFrame) -> DataFrame:
     """To 0..1; an unvarying series to 0."""
-    w = W.partitionBy(*EVERY)
-    rows = series.withColumns({"low": F.min("value").over(w), "high": F.max("value").over(w)})
+    rows = with_stats(series, low=F.min("value"), high=F.max("value"))
     scaled = F.when(V("high") > V("low"), (V("value") - V("low")) / (V("high") - V("low"))).otherwise(0.0)
     return _with(rows, scaled, V("low"), V("high"))
 
@@ -71,8 +64,7 @@ def minmax_recover(series: DataFrame) -> DataFrame:
 
 def zscore(series: DataFrame) -> DataFrame:
     """(value - mean) / population deviation; an unvarying series to 0."""
-    w = W.partitionBy(*EVERY)
-    rows = series.withColumns({"mean": F.avg("value").over(w), "std": F.stddev_pop("value").over(w)})
+    rows = with_stats(series, mean=F.avg("value"), std=F.stddev_pop("value"))
     return _with(rows, F.when(V("std") > 0, (V("value") - V("mean")) * (1 / V("std"))).otherwise(0.0), V("mean"), V("std"))
 
 
@@ -122,21 +114,20 @@ def enum_recover(series: DataFrame, enumeration: DataFrame) -> DataFrame:
 
 def steps(series: DataFrame, falling: bool = False) -> DataFrame:
     """Differences cut to whole numbers, from the second value on; a fall's sign is turned if falling."""
-    rows = series.withColumn("before", F.lag("value").over(by_pos())).where("before is not null")
-    d = V("before") - V("value") if falling else V("value") - V("before")
+    rows = neighbours(series).where("p1 is not null")
+    d = V("p1") - V("value") if falling else V("value") - V("p1")
     return _with(rows, d.cast("long"))
 
 
 def steps_recover(series: DataFrame, base: float, falling: bool = False) -> DataFrame:
     """The values after base (at the position before the first step)."""
-    total = F.sum("value").over(by_pos().rowsBetween(*RUNNING))
-    return _with(series, F.lit(float(base)) + (-total if falling else total))
+    rows = running_sum(chunked(series), "value", "total")
+    return _with(rows, F.lit(float(base)) + (-V("total") if falling else V("total")))
 
 
 def discrete(series: DataFrame, step: float) -> DataFrame:
     """Steps from the series' minimum: (value - min) / step + 0.5, cut off."""
-    rows = series.withColumn("base", F.min("value").over(W.partitionBy(*EVERY)))
-    return _with(rows, ((V("value") - V("base")) / step + 0.5).cast("long"), V("base"))
+    return _with(with_stats(series, base=F.min("value")), ((V("value") - V("base")) / step + 0.5).cast("long"), V("base"))
 
 
 def discrete_recover(series: DataFrame, step: float) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators import constraints as cons
 from ..operators import encoding as enc
 from ..operators import profile as prof
 from ..operators import transforms as xf
-from ..operators.series import by_pos, packed, segmented, to_series
+from ..operators.series import packed, segmented, to_series
 from ..sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,8 +56,7 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a period of 12 orders, with a peak in each."""
-    by_order = F.row_number().over(by_pos()) - 1
-    return keys(spark, sf_dir).withColumn("value", F.pmod(by_order, F.lit(12)).cast("double"))
+    return keys(spark, sf_dir).withColumn("value", F.pmod("pos", F.lit(12)).cast("double"))
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
