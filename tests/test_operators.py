@@ -230,3 +230,26 @@ def test_spread_numbering_is_the_plain_one(spark):
     plain, spread = (sorted(map(tuple, to_series(df, ["t"], "v", "k", spread=s).collect())) for s in (False, True))
     assert plain == spread
     assert to_series(df.limit(0), ["t"], "v", spread=True).count() == 0
+
+
+def test_parts_of_doubles(spark):
+    from tidegauge.functions import floats
+
+    df = spark.createDataFrame([(3.25,), (-3.25,), (0.3,), (0.0,), (float("inf"),), (None,)], "v double")
+    v = F.col("v")
+    got = df.select(floats.split_mantissa(v), floats.split_exponent(v), floats.whole_part(v)).collect()
+    assert tuple(got[0]) == (0.8125, 2, 3.0) and tuple(got[1]) == (-0.8125, 2, -3.0) and tuple(got[2])[:2] == (0.3, 0)
+    assert got[4][1] is None and got[5][0] is None
+    assert df.select(floats.fraction_part(v)).collect()[1][0] == -0.25
+    word = lambda x: int(np.float64(x).view(np.uint64))
+    # 3.25: sign, exponent and one bit of the whole part, then 25 = 0b11001, lowest bit first
+    assert f"{word(floats.with_decimal_fraction(3.25)):064b}" == f"{word(3.0):064b}"[:13] + "10011" + "0" * 46
+    assert floats.with_decimal_fraction(1e300) == 1e300
+    assert df.select(floats.decimal_fraction(v)).collect()[5][0] is None
+
+
+def test_erased_bits(spark):
+    rows = enc.erased_bits(packed(series(spark, [1.1, 1.1, 1.2]), 10)).orderBy("at").collect()
+    assert [r["at"] for r in rows] == [1, 2] and rows[0]["direct_xor"] == 0
+    trailing = lambda x: (x & -x).bit_length()
+    assert trailing(rows[1]["erased_xor"]) > trailing(rows[1]["direct_xor"])

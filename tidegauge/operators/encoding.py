@@ -222,3 +222,23 @@ def bit_costs(segments: DataFrame) -> DataFrame:
     pairs = F.arrays_zip(F.get("costs", F.lit(0)).alias("xor_bits"), F.get("costs", F.lit(1)).alias("sub_bits"))
     rows = rows.select("series_id", "segment_id", F.posexplode(pairs).alias("at", "cost"))
     return rows.select("series_id", "segment_id", "at", F.col("cost.xor_bits"), F.col("cost.sub_bits"))
+
+
+def erased_bits(segments: DataFrame) -> DataFrame:
+    """series_id, segment_id, at, direct_xor, erased_xor: each value's bits xored with those before, as
+    they are and after clearing the bits that its decimals make redundant (a segment's first stays)."""
+    from ..codecs.erasing import erase
+    from ..codecs.words import words_of
+
+    def xors(words: list[int]) -> list[list[int]]:
+        short = words[:1] + [erase(w)[0] for w in words[1:]]
+        return [np.array([b ^ a for a, b in zip(w, w[1:])], np.uint64).view(np.int64).tolist() for w in (words, short)]
+
+    @F.arrow_udf(ArrayType(ArrayType(LongType())))
+    def run(v: pa.Array) -> pa.Array:
+        return pa.array([xors(words_of(x)) for x in segment_values(v)], pa.list_(pa.list_(pa.int64())))
+
+    rows = segments.withColumn("xors", run("values"))
+    pairs = F.arrays_zip(F.get("xors", F.lit(0)).alias("direct_xor"), F.get("xors", F.lit(1)).alias("erased_xor"))
+    rows = rows.select("series_id", "segment_id", F.posexplode(pairs).alias("at", "x"))
+    return rows.select("series_id", "segment_id", (F.col("at") + 1).alias("at"), "x.direct_xor", "x.erased_xor")

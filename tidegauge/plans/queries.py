@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..codecs import CODECS
 from ..functions.decimals import text_decimals
+from ..functions.floats import decimal_fraction, fraction_part, split_exponent, split_mantissa, whole_part
 from ..operators import constraints as cons
 from ..operators import encoding as enc
 from ..operators import profile as prof
@@ -130,6 +131,15 @@ def chosen_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("series_id", "segment_id", "n", enc.same_bits("values", "back").alias("round_trip_ok"))
 
 
+def float_parts(series: DataFrame) -> DataFrame:
+    v = F.col("value")
+    return series.select("series_id", "pos", split_mantissa(v).alias("mantissa"), split_exponent(v).alias("exponent"), whole_part(v).alias("whole"), fraction_part(v).alias("fraction"))
+
+
+def decimal_fractions(series: DataFrame) -> DataFrame:
+    return series.select("series_id", "pos", "value", decimal_fraction(F.col("value")).alias("rewritten"))
+
+
 QUERIES: dict[str, Query] = {
     "profile_basic": over(events, prof.basic),
     "profile_quantiles": over(events, prof.quantiles),
@@ -182,6 +192,9 @@ QUERIES: dict[str, Query] = {
     "bits_adjacent": lambda spark, sf_dir: enc.adjacent_bits(events(spark, sf_dir)),
     "bits_text": lambda spark, sf_dir: sinks.bit_dump(events(spark, sf_dir)),
     "bit_costs": lambda spark, sf_dir: enc.bit_costs(packed(events(spark, sf_dir), SMALL)),
+    "erased_bits": lambda spark, sf_dir: enc.erased_bits(packed(events(spark, sf_dir), SMALL)),
+    "float_parts": lambda spark, sf_dir: float_parts(events(spark, sf_dir)),
+    "decimal_fractions": lambda spark, sf_dir: decimal_fractions(events(spark, sf_dir)),
     "segment_tumbling": over(events, counted_segments),
     "codec_ratio": lambda spark, sf_dir: enc.ratios(packed(events(spark, sf_dir), SMALL), list(CODECS)),
     "best_combo": lambda spark, sf_dir: enc.best_combo(packed(events(spark, sf_dir), SMALL)),

@@ -128,6 +128,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT *, CAST(coalesce(sum(c) OVER (PARTITION BY series_id ORDER BY byte ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS below FROM f""",
     "bits_adjacent": f"WITH {EVENTS}, {BITS}, x AS (SELECT *, lag(bits) {W} AS before FROM b) SELECT series_id, pos, bits, xor(bits, before) AS bits_xor, {wrapped('+')} AS bits_add, {wrapped('-')} AS bits_sub FROM x WHERE before IS NOT NULL",
     "bits_text": each(EVENTS, "printf('%.10f', value) || chr(9) || CAST((value::DOUBLE)::BIT AS VARCHAR) AS line"),
+    "float_parts": f"""WITH {EVENTS}, {BITS}, e AS (SELECT *, CASE WHEN abs(value) < 1 THEN 0 ELSE ((bits >> 52) & 2047) - 1022 END AS exponent FROM b)
+        SELECT series_id, pos, value / pow(2.0, exponent) AS mantissa, exponent, trunc(value) AS whole, value - trunc(value) AS fraction FROM e""",
     "segment_tumbling": f"WITH {EVENTS} SELECT series_id, pos // 1000 AS segment_id, count(*) AS n, round(min(value), 4) AS low, round(max(value), 4) AS high FROM s GROUP BY ALL HAVING count(*) = 1000",
     **{f"codec_roundtrip_{name}": f"WITH {EVENTS} SELECT series_id, pos // 1000 AS segment_id, CAST(count(*) AS INTEGER) AS n, true AS round_trip_ok FROM s GROUP BY ALL" for name in [*CODECS, "chosen"]},
 }
