@@ -1,13 +1,14 @@
-"""What the corpus operators share: tables, the shared folder, column names, keys."""
+"""What the corpus operators share: tables, the shared folder, column names, keys, hot groups."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_path, remove, shared_dir, write_table
+
+__all__ = ["new_path", "remove", "shared_dir", "write_table"]
+
 #: The six ASCII white-space characters, and a word: a longest run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,42 +18,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset, as on one machine in a
-    test, a temporary folder is made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='tidegauge-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df to the shared folder and read it again: this cuts its lineage.
-
-    A lost executor costs the tasks it was running; what is written stays.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete tables of the shared folder that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-
-
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df less the columns named like one of names, whatever their case."""
     taken = {n.lower() for n in names}
@@ -66,3 +31,22 @@ def split_into(rows: int, per_part: int) -> int:
 def held_out() -> Column:
     """True for the documents that no model may learn from."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+#: Keys with at least one in so many of all rows are hot; so there are no more hot keys than this.
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows joined with groups, which has one row a key; ``size`` is the rows that each key has.
+
+    Rows of hot keys meet their groups by a broadcast, of HOT_SHARE rows at most, and stay where they
+    are; only the others are shuffled by key. Both tables should be cheap to read twice. Keys aren't null.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.where(F.col(size) * HOT_SHARE >= total)
+    at_once = rows.join(F.broadcast(hot), keys)
+    if total < HOT_SHARE:
+        return at_once  # every key is hot
+    others = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti")
+    return at_once.unionByName(others.join(groups.where(F.col(size) * HOT_SHARE < total), keys))

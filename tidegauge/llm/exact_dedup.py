@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, write_table
+from .common import SPACE, join_groups, write_table
 
 BLOCK = 2048
 #: Names are ranks within one of so many sorted ranges, so that no task sorts all of them.
@@ -49,12 +49,14 @@ def block_rows(docs: DataFrame, block_hash: Callable[[Column], Column], block: i
 def named_blocks(docs: DataFrame, block_hash: Callable[[Column], Column], block: int) -> DataFrame:
     """doc, sha, chars, n (blocks of the document), at, name: a row for each block."""
     with_text = block_rows(docs, block_hash, block, content=True)
-    by_hash = with_text.groupBy("h").agg(F.min("block").alias("low"), F.max("block").alias("high"))
-    found, _ = write_table(by_hash.select("h", (F.col("low") == F.col("high")).alias("single")), "block-hashes")
+    by_hash = with_text.groupBy("h").agg(F.min("block").alias("low"), F.max("block").alias("high"), F.count(F.lit(1)).alias("blocks"))
+    found, _ = write_table(by_hash.select("h", "blocks", (F.col("low") == F.col("high")).alias("single")), "block-hashes")
     shared = found.where("not single").select("h")
     # even names for blocks that are alone with their hash, odd names for the others
-    single = numbered(found.where("single").select("h"), ["h"]).withColumn("name", F.col("name") * 2)
-    named = block_rows(docs, block_hash, block, content=False).join(single, "h").drop("h")
+    single = numbered(found.where("single").select("h", "blocks"), ["h"]).withColumn("name", F.col("name") * 2)
+    single, _ = write_table(single, "block-singles")
+    hashed, _ = write_table(block_rows(docs, block_hash, block, content=False), "block-rows")
+    named = join_groups(hashed, single, ["h"], "blocks").drop("h", "blocks")
     if not shared.isEmpty():
         twins = with_text.join(shared, "h")
         variants = numbered(twins.select("h", "block").distinct(), ["h", "block"]).withColumn("name", F.col("name") * 2 + 1)
@@ -97,7 +99,8 @@ def find_copies(docs: DataFrame, *, block: int = BLOCK, block_hash: Callable[[Co
     named = named_documents(docs.select("doc_id", "text"), block_hash, block)
     best = F.struct("chars", F.col("doc").isNotNull().alias("has_id"), F.bitwise_not("doc").alias("first"))
     groups = named.groupBy("level", "name").agg(F.sum("copies").alias("group_size"), F.max(best).alias("best"))
-    rows = named.join(groups, ["level", "name"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    groups, _ = write_table(groups, "copies")
+    rows = join_groups(named, groups, ["level", "name"], "group_size").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     rows = rows.withColumn("keep_id", F.bitwise_not("best.first"))
     again = F.row_number().over(W.partitionBy(*ID).orderBy("copy"))
     kept = F.col("doc").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("best.chars")) & (again == 1)
