@@ -115,7 +115,7 @@ def by_position(mixed: DataFrame) -> DataFrame:
     return mixed.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def plan_mix(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, schedules: list[Schedule] = CONSTANT_3_1_2, rows_per_cell: int = 20_000) -> DataFrame:
+def plan_mix(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, schedules: list[Schedule] = CONSTANT_3_1_2, rows_per_cell: int = 2_000) -> DataFrame:
     """docs (doc_id, text, source, ...) with each document's part in the mix, by training position.
 
     Adds size (words), source_size, target (its source's, in words), start (the words of its source
@@ -132,7 +132,7 @@ def plan_mix(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, schedules
     return by_position(rows).select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"mix_{c}").alias(c) for c in ADDED])
 
 
-def mix(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, schedules: list[Schedule] = CONSTANT_3_1_2, rows_per_cell: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, schedules: list[Schedule] = CONSTANT_3_1_2, rows_per_cell: int = 2_000) -> DataFrame:
     """The mixed corpus: docs' own columns, a row for each time a document is trained on, by position.
 
     A document taken k times gives k rows. The one document of a source that is taken in part keeps
