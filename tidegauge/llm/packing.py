@@ -109,7 +109,7 @@ def place_rest(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, *, vocabulary: str, end: int = END, capacity: int = CAPACITY, shortest: int = SHORTEST, docs_per_bucket: int = 20_000, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, *, vocabulary: str, end: int = END, capacity: int = CAPACITY, shortest: int = SHORTEST, docs_per_bucket: int = 2_000, with_ids: bool = True) -> DataFrame:
     """Pieces of docs (doc_id, text) in sequences: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset and, with_ids, ids (little-endian unsigned 32-bit).
 
