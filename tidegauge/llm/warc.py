@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, write_table
+from .common import join_groups, new_path, write_table
 
 #: Compressed bytes after which an archive is closed.
 ARCHIVE_BYTES = 16 << 20
@@ -152,8 +152,10 @@ def write_archives(pages: DataFrame, *, folder: str | None = None, min_bytes: in
     html = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", "html")
     keyed = rows.select("page_id", F.sha1(html).alias("sha1"), F.unhex(F.sha2(html, 256)).alias("sha256")).where(F.octet_length(html) >= min_bytes)
-    first = keyed.groupBy("sha1", "sha256").agg(F.min("page_id").alias("refers_to"))
-    revisits = keyed.join(first, ["sha1", "sha256"]).where("not page_id <=> refers_to").select("page_id", "sha256", "refers_to").distinct()
+    keyed, _ = write_table(keyed, "payload-digests")
+    first = keyed.groupBy("sha1", "sha256").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("pages"))
+    first, _ = write_table(first, "payloads")
+    revisits = join_groups(keyed, first, ["sha1", "sha256"], "pages").where("not page_id <=> refers_to").select("page_id", "sha256", "refers_to").distinct()
     # joined by page and payload, so that the pages of one payload are spread
     key = lambda sha: F.concat_ws(":", F.col("page_id").cast("string"), F.hex(sha))
     revisits = revisits.select(key(F.col("sha256")).alias("key"), "refers_to", F.lit(True).alias("again"))
