@@ -1,7 +1,7 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-Features of a text: densities of lexicon words (a short fixed list of insults, and words whose log-odds
-in toxic documents are learnt), how near they are to second-person words, capitals, punctuation,
+Features of a text: densities of lexicon words (a short fixed list of insults, and words and stems whose
+log-odds in toxic documents are learnt), how near they are to second-person words, capitals, punctuation,
 obfuscation (digits or signs inside a word, letters drawn out) and lengths. Everything is learnt from a
 bounded sample of the labelled documents that aren't held out.
 """
@@ -9,6 +9,7 @@ bounded sample of the labelled documents that aren't held out.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 
-#: The sample's bound: documents of each label; learnt lexicon words; documents a word must be in.
-SAMPLE_DOCS, LEXICON, LEAST_DOCS = 4000, 1000, 8
+#: The sample's bound: documents of each label; learnt lexicon words and stems; documents one must be in.
+SAMPLE_DOCS, LEXICON, LEAST_DOCS = 4000, 2000, 4
+#: Letters of a stem, and of a word that has one.
+STEM, HAS_STEM = 4, 6
 TREES, DEPTH, RATE, BINS = 80, 3, 0.1, 64
 #: Tokens whose class a worker remembers; words around a hit that are near it.
 REMEMBER, NEAR = 300_000, 5
@@ -31,14 +34,19 @@ INSULTS = "idiot idiots moron morons stupid dumb fool loser losers trash garbage
 YOU = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes".split()
 SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", "+": "t", "|": "l"})
 
-EDGE = re.compile(r"^\W+|\W+$")
+EDGES, STAND_INS = string.punctuation + "«»„“”‚‘’…–—¡¿", "!@$|+*"
 INSIDE = re.compile(r"\w[^\w\s'’-]+\w|[^\W\d_]\d|\d[^\W\d_]")
 DRAWN = re.compile(r"(\w)\1\1")
-NAMES = ["insults", "learnt", "weight", "top_weight", "any_insult", "hits", "hidden_hits", "near_you", "you", "window_hits", "caps", "upper", "marks", "bangs", "odd_tail", "obfuscated", "drawn_out", "digits", "words", "word_length", "first_hit", "unlike"]
+NAMES = ["insults", "learnt", "weight", "top_weight", "any_insult", "hits", "hidden_hits", "near_you", "you", "window_hits", "caps", "upper", "marks", "bangs", "odd_tail", "obfuscated", "drawn_out", "digits", "words", "word_length", "first_hit", "unlike", "stems", "top_stem", "any_stem"]
 
 
 def plain(token: str) -> str:
-    return EDGE.sub("", token).lower()
+    return token.strip(EDGES).lower()
+
+
+def stem(word: str) -> str | None:
+    """The word's first letters with a mark that no word has: what inflected forms share."""
+    return f"{word[:STEM]}*" if len(word) >= HAS_STEM else None
 
 
 def folded(token: str) -> str:
@@ -54,20 +62,22 @@ class Features:
         self.known: dict[str, tuple[float, ...]] = {}
 
     def token(self, t: str) -> tuple[float, ...]:
-        """insult, learnt, weight, hidden, you, capital, marks, bangs, odd tail, obfuscated, drawn out, digit, letters"""
-        word = plain(t)
+        """insult, learnt, weight, hidden, you, capital, marks, bangs, odd tail, obfuscated, drawn out, digit, letters, stem weight"""
+        word = core = t.strip(EDGES)
+        word = word.lower()
+        whole, tail = core.isalpha(), t[-2:]
         hidden = False
-        if word not in self.insults and word not in self.weights and not t.isalpha():
+        if (not whole or t[0] in STAND_INS) and word not in self.insults and word not in self.weights:
             other = folded(t)
             hidden = other != word and other in self.insults
             word = other if hidden else word
         weight = self.weights.get(word, 0.0)
-        marks = sum(not (c.isalnum()) for c in t)
-        tail = t[-2:]
+        marks = 0 if whole and core == t else len(t) - sum(map(str.isalnum, t))
         return (
             word in self.insults, weight > 1.0, max(weight, 0.0), hidden, word in self.you,
-            len(word) > 1 and t.isupper(), marks / len(t), t.count("!") + t.count("?"), len(tail) == 2 and not tail[0].isalnum() and not tail[1].isalnum(),
-            bool(INSIDE.search(t)), bool(DRAWN.search(t)), any(c.isdigit() for c in t), len(word),
+            len(word) > 1 and t.isupper(), marks / len(t), t.count("!") + t.count("?") if marks else 0, marks > 0 and len(tail) == 2 and not tail[0].isalnum() and not tail[1].isalnum(),
+            not whole and bool(INSIDE.search(t)), bool(DRAWN.search(t)), not whole and any(map(str.isdigit, t)), len(word),
+            max(self.weights.get(stem(word) or "", 0.0), 0.0),
         )
 
     def row(self, text: str | None) -> list[float]:
@@ -95,6 +105,7 @@ class Features:
             mean[0], mean[1], mean[2], float(x[:, 2].max()), float(x[:, 0].any()), float(len(at)), float(x[:, 3].sum()), near, mean[4], float(window),
             mean[5], sum(map(str.isupper, text)) / len(text), mean[6], mean[7], mean[8], mean[9], mean[10], mean[11],
             float(np.log1p(n)), mean[12], float(at[0]) / n if len(at) else 1.0, float(x[:, 2].sum()) / (1 + len(at)),
+            mean[13], float(x[:, 13].max()), float((x[:, 13] > 1).sum()),
         ]
 
     def rows(self, texts: list[str | None]) -> np.ndarray:
@@ -220,7 +231,10 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_do
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(w, y) for t, y in zip(batch["text"].to_pylist(), batch["label"].to_pylist()) for w in {plain(t) for t in (t or "").split()} if w]
+            found = []
+            for text, y in zip(batch["text"].to_pylist(), batch["label"].to_pylist()):
+                own = {plain(t) for t in (text or "").split()}
+                found += [(w, y) for w in own | {stem(w) for w in own} if w]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())], ["word", "label"])
 
     seen = sample.where("not calibrate").mapInArrow(words, "word string, label int").groupBy("word").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("all"))
