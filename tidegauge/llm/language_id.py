@@ -30,7 +30,7 @@ TRAIN_DOCS, CALIBRATE_DOCS, MOST_LANGS = 240, 60, 256
 #: Lengths of the snippets that calibration adds to whole texts.
 SNIPPETS = (4, 8, 16, 32, 64)
 #: A text is rejected beyond so many deviations of its language's cross-entropy, or below this score.
-REJECT_Z, REJECT_SCORE = 6.0, 0.3
+REJECT_Z, REJECT_SCORE = 10.0, 0.3
 #: Characters scored at once.
 CHUNK = 1 << 19
 SPACE, UNKNOWN = np.uint32(32), "und"
