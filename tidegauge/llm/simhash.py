@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import remove, write_table
+from .common import join_groups, remove, write_table
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of a chunk: two chunks are compared at once, all against all, in memory.
@@ -180,12 +180,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, seed: int = SEED
     empty result. Other columns of docs are not read.
     """
     rows, _ = write_table(fingerprints(docs, shingle=shingle, seed=seed), "fingerprints")
-    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("docs"))
     root = components(links(first.select("fp"), radius, chunk))
-    groups = first.join(root, first["fp"] == root["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    groups = first.join(root, first["fp"] == root["node"], "left").select("fp", "first", "docs", F.coalesce("root", "fp").alias("root"))
     groups, _ = write_table(groups, "fingerprint-roots")
     smallest = groups.groupBy("root").agg(F.min("first").alias("component_id"))
-    placed = rows.join(groups.join(smallest, "root").select("fp", "component_id"), "fp")
+    placed, _ = write_table(groups.join(smallest, "root").select("fp", "docs", "component_id"), "fingerprint-components")
+    placed = join_groups(rows, placed, ["fp"], "docs")
     return placed.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
