@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import held_out
+from .common import held_out, slices
 
 ORDER = 4
 #: Documents a language to train and to calibrate on, and languages, the commonest: the sample's bound.
@@ -32,7 +32,7 @@ SNIPPETS = (4, 8, 16, 32, 64)
 #: A text is rejected beyond so many deviations of its language's cross-entropy, or below this score.
 REJECT_Z, REJECT_SCORE = 10.0, 0.3
 #: Characters scored at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 SPACE, UNKNOWN = np.uint32(32), "und"
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -272,7 +272,7 @@ def train(docs: DataFrame, *, order: int = ORDER, train_docs: int = TRAIN_DOCS,
     shared = spark.sparkContext.broadcast(model)
 
     def entropies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             langs, texts, whole = [], [], []
             for lang, text in zip(batch["lang"].to_pylist(), map(reduced, batch["text"].to_pylist())):
                 cuts = [text, *(np.r_[SPACE, text[len(text) // 3 :][:n]] for n in SNIPPETS if len(text) > n)]
@@ -300,7 +300,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [reduced(t) for t in batch["text"].to_pylist()]
             n = len(texts)
             langs, score, reject = shared.value.predict(texts) if shared.value and n else ([UNKNOWN] * n, np.zeros(n), np.ones(n, bool))

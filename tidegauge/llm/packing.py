@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import split_into, write_table
+from .common import slices, split_into, write_table
 
 CAPACITY, END = 2048, 1
 #: Shortest class that documents are cut to; what is shorter is a tail.
@@ -72,7 +72,7 @@ def encoder(vocabulary: str):
 def token_pieces(vocabulary: str, end: int, capacity: int, shortest: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode_ordinary
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 ids = np.array([*encode(text or ""), end], "<u4")

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, remove
+from .common import new_path, remove, slices
 
 #: Items hashed before blocks are cut; items of a hash range; runs of a level before they are merged.
 FLUSH, RANGE_ITEMS, FANOUT = 1_500_000, 1_200_000, 4
@@ -143,7 +143,7 @@ def hash_batch(hash_text: HashText, ranges: int, buckets: int, check: type):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, tags, found, n = [], [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for doc, tag, text in zip(batch["doc"].to_pylist(), batch["tag"].to_pylist(), batch["text"].to_pylist()):
                 items = hash_text((text or "").encode("utf-8", "surrogatepass"))
                 docs.append(NO_ID if doc is None else doc)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import join_groups, remove, write_table
+from .common import join_groups, remove, slices, write_table
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of a chunk: two chunks are compared at once, all against all, in memory.
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, seed: int = SEED) -
     """doc_id, fp (the 64 bits as a long) of every row of docs (doc_id, text); null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = [fingerprint((t or "").encode("utf-8", "surrogatepass"), shingle, seed) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, slices
 
 #: The sample's bound: documents of each label; learnt lexicon words and stems; documents one must be in.
 SAMPLE_DOCS, LEXICON, LEAST_DOCS = 4000, 2000, 4
@@ -230,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_do
         return Model({}, rate=float(rate))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for text, y in zip(batch["text"].to_pylist(), batch["label"].to_pylist()):
                 own = {plain(t) for t in (text or "").split()}
@@ -247,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_do
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(weights)
-        for batch in batches:
+        for batch in slices(batches):
             x = features.rows(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], batch["weight"], batch["calibrate"], pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "weight", "calibrate", "x"])
 
@@ -270,7 +270,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(shared.value.weights)
-        for batch in batches:
+        for batch in slices(batches):
             x = features.rows(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.clip(shared.value.scores(x), 0, 1))], ["doc_id", "score"])
 

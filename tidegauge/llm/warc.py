@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_groups, new_path, write_table
+from .common import join_groups, new_path, slices, write_table
 
 #: Compressed bytes after which an archive is closed.
 ARCHIVE_BYTES = 16 << 20
@@ -122,7 +122,7 @@ def writer(folder: str, archive_bytes: int):
                 file.write(bytes(held))
             return pa.RecordBatch.from_pydict({"archive": [name], "records": [n], "bytes": [len(held)]})
 
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 payload = (row["html"] or "").encode("utf-8", "surrogatepass")
                 data = record(row["page_id"], row["url"], payload, row["refers_to"], row["revisit"])
