@@ -87,6 +87,18 @@ def enum_sizes(series: DataFrame) -> DataFrame:
     return cons.enumeration(series).select("series_id", F.array_join(F.transform("enumeration", lambda v: F.format_string("%.2f", v)), " ").alias("enumeration"))
 
 
+def vector(series: DataFrame) -> DataFrame:
+    """The feature vector, a row a feature."""
+    return prof.flatten(prof.profile(series)).select("series_id", F.posexplode("features").alias("k", "value")).withColumn("k", F.col("k").cast("long"))
+
+
+def detected(series: DataFrame) -> DataFrame:
+    """All constraints of a series as one row, the enumeration as text."""
+    names = ["precision", "min_value", "max_value", "monotonicity", "allow_positive", "allow_negative", "sign", "discrete_step", "zero_ratio", "sparse"]
+    text = F.array_join(F.transform("enumeration", lambda v: F.format_string("%.2f", v)), " ")
+    return cons.detect(series).select("series_id", text.alias("enumeration"), *names)
+
+
 def precisions(series: DataFrame) -> DataFrame:
     out = cons.precision(series, use_text=True)
     return out.select("series_id", "precision", F.to_json("precision_distribution").alias("precision_distribution"))
@@ -153,7 +165,7 @@ QUERIES: dict[str, Query] = {
     "profile_mantissa_entropy": over(lines("l_quantity"), prof.mantissa_entropy),
     "profile_autocorr": over(events, correlations),
     "profile_periodicity": over(waves, prof.periodicity),
-    "profile_vector": lambda spark, sf_dir: prof.flatten(prof.profile(events(spark, sf_dir))),
+    "profile_vector": over(events, vector),
     "xf_delta": over(events, xf.delta),
     "xf_delta_recover": over(keys, recovered(xf.delta, xf.delta_recover)),
     "xf_delta2": over(events, xf.delta2),
@@ -182,7 +194,7 @@ QUERIES: dict[str, Query] = {
     "cons_discrete_mode": over(keys, cons.discrete_mode),
     "cons_sparse": over(sparse_lines, cons.sparse),
     "cons_validate": validated,
-    "cons_detect": lambda spark, sf_dir: cons.detect(lines("l_quantity")(spark, sf_dir)),
+    "cons_detect": over(lines("l_quantity"), detected),
     "precision_distribution": distribution,
     "text_decimals": decimals,
     "rle_encode": over(lines("l_discount"), enc.rle),

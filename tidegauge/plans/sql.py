@@ -49,37 +49,86 @@ RUNS = f"""f AS (SELECT *, CASE WHEN lag(value) {W} = value THEN 0 ELSE 1 END AS
     r AS (SELECT series_id, CAST(run AS BIGINT) AS run, min(pos) AS start, any_value(value) AS value, count(*) AS length FROM g GROUP BY series_id, run)"""
 LAGS = range(1, 11)
 CENTRED = f"c AS (SELECT *, value - avg(value) {ALL} AS c FROM s)"
-PEAKS = 30
+#: Lags up to 100, of which 99 can be a maximum.
+PEAKS = 101
 
-ORACLE_SQL: dict[str, str] = {
-    "profile_basic": per_series(EVENTS, """count(*) AS n, count(*) AS n_finite, round(min(value), 4) AS min, round(max(value), 4) AS max, round(avg(value), 4) AS mean, round(median(value), 4) AS median,
+
+def basic(source: str) -> str:
+    return per_series(source, """count(*) AS n, count(*) AS n_finite, round(min(value), 4) AS min, round(max(value), 4) AS max, round(avg(value), 4) AS mean, round(median(value), 4) AS median,
         round(stddev_pop(value), 4) AS std_dev, round(var_pop(value), 4) AS variance, round(avg((value - m) ** 3) / stddev_pop(value) ** 3, 4) AS skewness, round(avg((value - m) ** 4) / var_pop(value) ** 2, 4) AS kurtosis,
         round(max(value) - min(value), 4) AS range, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 4) AS iqr, round(quantile_cont(value, 0.25), 4) AS q1, round(quantile_cont(value, 0.75), 4) AS q3""",
-        "t", f", t AS (SELECT *, avg(value) {ALL} AS m FROM s)"),
-    "profile_quantiles": per_series(EVENTS, ", ".join(f"round(quantile_cont(value, {p / 100}), 4) AS p{p:02d}" for p in (5, 25, 50, 75, 95))),
-    "profile_value_props": per_series(lines("l_discount"), """count(DISTINCT value) AS unique_count, round(count(DISTINCT value) / count(*), 4) AS unique_ratio, count(*) FILTER (WHERE value = 0) AS zero_count,
-        round(count(*) FILTER (WHERE value = 0) / count(*), 4) AS zero_ratio, count(*) FILTER (WHERE value = floor(value)) AS integer_count, round(count(*) FILTER (WHERE value = floor(value)) / count(*), 4) AS integer_ratio"""),
-    "profile_diff": difference_stats("d1", 1),
-    "profile_second_diff": difference_stats("d2", 2),
-    "profile_trend": per_series(lines("l_quantity"), "round(coalesce(sum(t) / nullif(count(t), 0), 0), 4) AS monotonicity, count(*) FILTER (WHERE t <> before) AS change_points", "u",
-        f", d AS (SELECT *, nullif(sign(value - lag(value) {W}), 0) AS t FROM s), u AS (SELECT *, last_value(t IGNORE NULLS) {EARLIER} AS before FROM d)"),
-    "profile_runs": per_series(lines("l_discount"), """max(length) AS max_run_length, round(avg(length), 4) AS avg_run_length, count(*) AS run_count, round(count(*) FILTER (WHERE length > 1) / count(*), 4) AS constant_run_ratio,
-        round(1 - count(*) FILTER (WHERE length = 1 AND run < runs) / sum(length), 4) AS in_run_ratio""", "q", f", {RUNS}, q AS (SELECT *, max(run) {ALL} AS runs FROM r)"),
-    "profile_bits": f"""WITH {EVENTS}, {BITS}, x AS (SELECT *, ((bits >> 52) & 2047) - 1023 AS e, bits & 4503599627370495 AS m, (lag(value) {W} < 0) <> (value < 0) AS flip FROM b),
+        "t", f", t AS (SELECT *, avg(value) {ALL} AS m FROM s)")
+
+
+def value_props(source: str) -> str:
+    return per_series(source, """count(DISTINCT value) AS unique_count, round(count(DISTINCT value) / count(*), 4) AS unique_ratio, count(*) FILTER (WHERE value = 0) AS zero_count,
+        round(count(*) FILTER (WHERE value = 0) / count(*), 4) AS zero_ratio, count(*) FILTER (WHERE value = floor(value)) AS integer_count, round(count(*) FILTER (WHERE value = floor(value)) / count(*), 4) AS integer_ratio""")
+
+
+def trend(source: str) -> str:
+    return per_series(source, "round(coalesce(sum(t) / nullif(count(t), 0), 0), 4) AS monotonicity, count(*) FILTER (WHERE t <> before) AS change_points", "u",
+        f", d AS (SELECT *, nullif(sign(value - lag(value) {W}), 0) AS t FROM s), u AS (SELECT *, last_value(t IGNORE NULLS) {EARLIER} AS before FROM d)")
+
+
+def runs(source: str) -> str:
+    return per_series(source, """max(length) AS max_run_length, round(avg(length), 4) AS avg_run_length, count(*) AS run_count, round(count(*) FILTER (WHERE length > 1) / count(*), 4) AS constant_run_ratio,
+        round(1 - count(*) FILTER (WHERE length = 1 AND run < runs) / sum(length), 4) AS in_run_ratio""", "q", f", {RUNS}, q AS (SELECT *, max(run) {ALL} AS runs FROM r)")
+
+
+def bits(source: str) -> str:
+    return f"""WITH {source}, {BITS}, x AS (SELECT *, ((bits >> 52) & 2047) - 1023 AS e, bits & 4503599627370495 AS m, (lag(value) {W} < 0) <> (value < 0) AS flip FROM b),
         c AS (SELECT series_id, e, count(*) AS n FROM x GROUP BY ALL), k AS (SELECT series_id, arg_min(e, (-n, e)) AS common_exponent FROM c GROUP BY series_id),
         m AS (SELECT series_id, m, count(*) AS n FROM x GROUP BY ALL), h AS (SELECT series_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS mantissa_entropy FROM m GROUP BY series_id)
         SELECT series_id, round(avg(bit_count(bits)), 4) AS avg_set_bits, CAST(count(*) FILTER (WHERE flip) AS BIGINT) AS sign_changes, CAST(max(e) - min(e) AS BIGINT) AS exponent_range,
-        CAST(any_value(common_exponent) AS BIGINT) AS common_exponent, round(any_value(mantissa_entropy), 4) AS mantissa_entropy FROM x JOIN k USING (series_id) JOIN h USING (series_id) GROUP BY series_id""",
-    "profile_entropy": per_series(EVENTS, "round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 4) AS entropy", "c",
-        f", x AS (SELECT series_id, value, min(value) {ALL} AS low, max(value) {ALL} AS high FROM s), y AS (SELECT series_id, CASE WHEN high > low THEN least(99, CAST(trunc((value - low) / ((high - low) / 100)) AS INTEGER)) ELSE 0 END AS bin FROM x), c AS (SELECT series_id, bin, count(*) AS n FROM y GROUP BY ALL)"),
-    "profile_mantissa_entropy": per_series(lines("l_quantity"), "round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 4) AS mantissa_entropy", "c",
-        f", {BITS}, c AS (SELECT series_id, bits & 4503599627370495 AS m, count(*) AS n FROM b GROUP BY ALL)"),
-    "profile_autocorr": per_series(EVENTS, ", ".join(f"round(avg(c * c{k}) / var_pop(c), 4) AS r{k}" for k in LAGS), "x",
-        f", {CENTRED}, x AS (SELECT *, {', '.join(f'lag(c, {k}) {W} AS c{k}' for k in LAGS)} FROM c)"),
-    "profile_periodicity": f"""WITH {WAVES}, {CENTRED}, x AS (SELECT *, {', '.join(f'lag(c, {k}) {W} AS c{k}' for k in range(1, PEAKS))} FROM c),
+        CAST(any_value(common_exponent) AS BIGINT) AS common_exponent, round(any_value(mantissa_entropy), 4) AS mantissa_entropy FROM x JOIN k USING (series_id) JOIN h USING (series_id) GROUP BY series_id"""
+
+
+def entropy(source: str) -> str:
+    return per_series(source, "round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 4) AS entropy", "c",
+        f", x AS (SELECT series_id, value, min(value) {ALL} AS low, max(value) {ALL} AS high FROM s), y AS (SELECT series_id, CASE WHEN high > low THEN least(99, CAST(trunc((value - low) / ((high - low) / 100)) AS INTEGER)) ELSE 0 END AS bin FROM x), c AS (SELECT series_id, bin, count(*) AS n FROM y GROUP BY ALL)")
+
+
+def autocorr(source: str) -> str:
+    return per_series(source, ", ".join(f"round(avg(c * c{k}) / var_pop(c), 4) AS r{k}" for k in LAGS), "x",
+        f", {CENTRED}, x AS (SELECT *, {', '.join(f'lag(c, {k}) {W} AS c{k}' for k in LAGS)} FROM c)")
+
+
+def periodicity(source: str) -> str:
+    return f"""WITH {source}, {CENTRED}, x AS (SELECT *, {', '.join(f'lag(c, {k}) {W} AS c{k}' for k in range(1, PEAKS))} FROM c),
         y AS (SELECT series_id, [{', '.join(f'avg(c * c{k}) / var_pop(c)' for k in range(1, PEAKS))}] AS r FROM x GROUP BY series_id),
         z AS (SELECT series_id, unnest(range(2, {PEAKS - 1})) AS k, r FROM y)
-        SELECT series_id, min(k) AS periodicity, round(arg_min(r[k], k), 4) AS periodic_score FROM z WHERE r[k] > r[k - 1] AND r[k] > r[k + 1] AND r[k] > 0.5 GROUP BY series_id""",
+        SELECT series_id, min(k) AS periodicity, round(arg_min(r[k], k), 4) AS periodic_score FROM z WHERE r[k] > r[k - 1] AND r[k] > r[k + 1] AND r[k] > 0.5 GROUP BY series_id"""
+
+
+def vector() -> str:
+    """The features in the vector's order, a row each, from the families' own queries."""
+    parts = {"b": basic(EVENTS), "u": value_props(EVENTS), "d": difference_stats("d1", 1), "e": difference_stats("d2", 2), "t": trend(EVENTS), "r": runs(EVENTS), "i": bits(EVENTS), "h": entropy(EVENTS), "a": autocorr(EVENTS)}
+    names = [f"b.{c}" for c in ("min", "max", "mean", "median", "std_dev", "variance", "skewness", "kurtosis", "range", "iqr", "q1", "q3")]
+    names += [f"u.{c}_{x}" for c in ("unique", "zero", "integer") for x in ("count", "ratio")]
+    names += [f"{p}.{c}" for p in "de" for c in ("min", "max", "mean", "std_dev", "range", "zero_ratio", "unique_count", "unique_ratio")]
+    names += ["t.monotonicity", "e.std_dev", "t.change_points"] + [f"r.{c}" for c in ("max_run_length", "avg_run_length", "run_count", "constant_run_ratio")]
+    names += [f"i.{c}" for c in ("avg_set_bits", "sign_changes", "mantissa_entropy", "exponent_range", "common_exponent")] + ["h.entropy", "0", "0"]
+    names += [f"a.r{k}" for k in LAGS] + ["coalesce(p.periodicity, 0)", "coalesce(p.periodic_score, 0)"]
+    joined = " JOIN ".join(f"({q}) {k}" + (" USING (series_id)" if k != "b" else "") for k, q in parts.items())
+    values = ", ".join(f"CAST({n} AS DOUBLE)" for n in names)
+    return f"SELECT series_id, unnest(range({len(names)})) AS k, unnest([{values}]) AS value FROM {joined} LEFT JOIN ({periodicity(EVENTS)}) p USING (series_id)"
+
+
+ORACLE_SQL: dict[str, str] = {
+    "profile_basic": basic(EVENTS),
+    "profile_quantiles": per_series(EVENTS, ", ".join(f"round(quantile_cont(value, {p / 100}), 4) AS p{p:02d}" for p in (5, 25, 50, 75, 95))),
+    "profile_value_props": value_props(lines("l_discount")),
+    "profile_diff": difference_stats("d1", 1),
+    "profile_second_diff": difference_stats("d2", 2),
+    "profile_trend": trend(lines("l_quantity")),
+    "profile_runs": runs(lines("l_discount")),
+    "profile_bits": bits(EVENTS),
+    "profile_entropy": entropy(EVENTS),
+    "profile_mantissa_entropy": per_series(lines("l_quantity"), "round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 4) AS mantissa_entropy", "c",
+        f", {BITS}, c AS (SELECT series_id, bits & 4503599627370495 AS m, count(*) AS n FROM b GROUP BY ALL)"),
+    "profile_autocorr": autocorr(EVENTS),
+    "profile_periodicity": periodicity(WAVES),
+    "profile_vector": vector(),
     "xf_delta": each(EVENTS, f"round(value - coalesce(lag(value) {W}, 0), 4) AS value"),
     "xf_delta_recover": each(KEYS, "value"),
     "xf_delta2": f"WITH {EVENTS}, d AS (SELECT series_id, pos, value - coalesce(lag(value) {W}, 0) AS value FROM s) SELECT series_id, pos, round(value - coalesce(lag(value) {W}, 0), 4) AS value FROM d",
@@ -118,6 +167,16 @@ ORACLE_SQL: dict[str, str] = {
         x AS (SELECT s.*, low, high, lag(value) {W} AS before, length(rtrim(regexp_extract(raw, '[.](.*)$', 1), '0')) AS places FROM s JOIN q USING (series_id)),
         y AS (SELECT series_id, pos, round(value, 4) AS value, CASE WHEN value < low OR value > high THEN 1 WHEN places > 1 THEN 0 WHEN value < before THEN 3 WHEN value < 0 THEN 4 END AS constraint_type FROM x)
         SELECT * FROM y WHERE constraint_type IS NOT NULL UNION ALL SELECT series_id, -1, round(zeros, 4), 6 FROM q WHERE zeros < 0.9""",
+    "cons_detect": f"""WITH {lines('l_quantity')}, d AS (SELECT *, value - lag(value) {W} AS d FROM s), f AS (SELECT series_id, value, min(pos) AS first, count(*) AS c FROM s GROUP BY series_id, value),
+        e AS (SELECT series_id, string_agg(printf('%.2f', value), ' ' ORDER BY first) AS enumeration FROM f GROUP BY series_id HAVING count(*) <= greatest(1, sum(c) // 100)),
+        k AS (SELECT DISTINCT series_id, round(abs(d), 10) AS a FROM d WHERE abs(d) >= 1e-10), l AS (SELECT series_id, min(a) AS least, count(*) AS kinds FROM k GROUP BY series_id),
+        o AS (SELECT series_id, bool_and(abs(a / least - floor(a / least + 0.5)) <= 1e-10) AS whole FROM k JOIN l USING (series_id) GROUP BY series_id),
+        t AS (SELECT series_id, count(*) AS n, min(value) AS min_value, max(value) AS max_value, CAST(CASE WHEN bool_and(value = floor(value)) THEN 0 END AS INTEGER) AS precision,
+            CAST(CASE WHEN coalesce(bool_and(d > 0), true) THEN 2 WHEN bool_and(d < 0) THEN -2 WHEN bool_and(d >= 0) THEN 1 WHEN bool_and(d <= 0) THEN -1 ELSE 0 END AS INTEGER) AS monotonicity,
+            bool_or(value > 0) AS allow_positive, bool_or(value < 0) AS allow_negative, round(count(*) FILTER (WHERE value = 0) / count(*), 4) AS zero_ratio FROM d GROUP BY series_id)
+        SELECT series_id, precision, min_value, max_value, enumeration, monotonicity, allow_positive, allow_negative, NOT (allow_positive AND allow_negative) AS sign,
+            CASE WHEN max_value > min_value AND least > (max_value - min_value) / 10000 AND (whole AND kinds > 1 OR kinds <= 2 AND kinds < n // 5) THEN least ELSE 0.0 END AS discrete_step, zero_ratio, zero_ratio >= 0.9 AS sparse
+        FROM t LEFT JOIN e USING (series_id) LEFT JOIN l USING (series_id) LEFT JOIN o USING (series_id)""",
     "precision_distribution": f"WITH {PRICES}, p AS (SELECT series_id, CAST(length(rtrim(regexp_extract(raw, '[.](.*)$', 1), '0')) AS INTEGER) AS places FROM s), c AS (SELECT series_id, places, count(*) AS c FROM p GROUP BY ALL) SELECT *, round(100 * c / sum(c) {ALL}, 4) AS percent FROM c",
     "text_decimals": f"WITH {PRICES} SELECT series_id, pos, length(rtrim(regexp_extract(raw, '[.](.*)$', 1), '0')) AS places FROM s",
     "rle_encode": f"WITH {lines('l_discount')}, {RUNS} SELECT series_id, run, start, round(value, 4) AS value, length FROM r",
