@@ -84,6 +84,7 @@ def test_classes():
 def test_ids_are_ranks_of_the_vocabulary_file():
     with open(vocabulary(), encoding="utf-8") as file:
         model = json.load(file)["model"]
-    made = [a + b if isinstance(m, list) else m.replace(" ", "") for m in model["merges"] for a, b in [m if isinstance(m, list) else (m, "")]]
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = ["".join(pair) for pair in pairs]
     ids = [model["vocab"][m] for m in made]
     assert ids == sorted(ids)
