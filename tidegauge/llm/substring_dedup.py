@@ -61,7 +61,7 @@ def drop_covered(window: int):
     return run
 
 
-def remove_substrings(docs: DataFrame, *, window: int = WINDOW, batches: tuple[float, ...] = (0.1, 1.0), check: type = np.uint8) -> DataFrame:
+def remove_substrings(docs: DataFrame, *, window: int = WINDOW, batches: tuple[float, ...] = (0.1, 1.0), check: type = np.uint16) -> DataFrame:
     """doc_id, n_items (words), n_removed, kept_text of every row of docs (doc_id, text).
 
     Every word covered by a window of ``window`` consecutive words that also starts in a document with
