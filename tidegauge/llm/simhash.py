@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import join_groups, remove, slices, write_table
+from .common import join_groups, remove, slices, split_into, write_table
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of a chunk: two chunks are compared at once, all against all, in memory.
 CHUNK = 1024
-#: Fingerprints gathered before groups are compared.
-GATHER = 1 << 16
+#: Fingerprints gathered before groups are compared; edges of a file between the steps for components.
+GATHER, EDGES_A_FILE = 1 << 16, 500_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -163,7 +163,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while (after := state(now)) != before:
         before = after
-        new, new_path = write_table(stars(stars(now, True), False), "stars")
+        # a step makes about as many edges as there were: small tables needn't be many files
+        files = split_into(after[0], EDGES_A_FILE)
+        new, new_path = write_table(stars(stars(now, True), False).coalesce(files), "stars")
         remove(spark, path)
         now, path = new, new_path
     roots = now.select(F.col("b").alias("node")).distinct()
