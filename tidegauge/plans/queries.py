@@ -60,12 +60,12 @@ def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys(spark, sf_dir).withColumn("value", F.pmod("pos", F.lit(12)).cast("double"))
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, as sums of doubles depend on their order."""
     return df.select(*[F.round(F.col(c) + 0.0, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def over(source: Query, operator: Callable[[DataFrame], DataFrame], digits: int = 4) -> Query:
+def over(source: Query, operator: Callable[[DataFrame], DataFrame], digits: int = 6) -> Query:
     return lambda spark, sf_dir: rounded(operator(source(spark, sf_dir)), digits)
 
 

@@ -34,9 +34,9 @@ def per_series(source: str, columns: str, frm: str = "s", more: str = "") -> str
 
 def difference_stats(d: str, short_by: int) -> str:
     n = f"(count(*) - {short_by})"
-    return per_series(EVENTS, f"""round(min({d}), 4) AS min, round(max({d}), 4) AS max, round(sum({d}) / {n}, 4) AS mean, round(stddev_pop({d}), 4) AS std_dev,
-        round(max({d}) - min({d}), 4) AS range, round(count(*) FILTER (WHERE abs({d}) < 1e-10) / {n}, 4) AS zero_ratio,
-        count(DISTINCT {d}) AS unique_count, round(count(DISTINCT {d}) / count(*), 4) AS unique_ratio""", "e", f", {DIFFS}")
+    return per_series(EVENTS, f"""round(min({d}), 6) AS min, round(max({d}), 6) AS max, round(sum({d}) / {n}, 6) AS mean, round(stddev_pop({d}), 6) AS std_dev,
+        round(max({d}) - min({d}), 6) AS range, round(count(*) FILTER (WHERE abs({d}) < 1e-10) / {n}, 6) AS zero_ratio,
+        count(DISTINCT {d}) AS unique_count, round(count(DISTINCT {d}) / count(*), 6) AS unique_ratio""", "e", f", {DIFFS}")
 
 
 def wrapped(operator: str) -> str:
@@ -54,42 +54,42 @@ PEAKS = 101
 
 
 def basic(source: str) -> str:
-    return per_series(source, """count(*) AS n, count(*) AS n_finite, round(min(value), 4) AS min, round(max(value), 4) AS max, round(avg(value), 4) AS mean, round(median(value), 4) AS median,
-        round(stddev_pop(value), 4) AS std_dev, round(var_pop(value), 4) AS variance, round(avg((value - m) ** 3) / stddev_pop(value) ** 3, 4) AS skewness, round(avg((value - m) ** 4) / var_pop(value) ** 2, 4) AS kurtosis,
-        round(max(value) - min(value), 4) AS range, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 4) AS iqr, round(quantile_cont(value, 0.25), 4) AS q1, round(quantile_cont(value, 0.75), 4) AS q3""",
+    return per_series(source, """count(*) AS n, count(*) AS n_finite, round(min(value), 6) AS min, round(max(value), 6) AS max, round(avg(value), 6) AS mean, round(median(value), 6) AS median,
+        round(stddev_pop(value), 6) AS std_dev, round(var_pop(value), 6) AS variance, round(avg((value - m) ** 3) / stddev_pop(value) ** 3, 6) AS skewness, round(avg((value - m) ** 4) / var_pop(value) ** 2, 6) AS kurtosis,
+        round(max(value) - min(value), 6) AS range, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.75), 6) AS q3""",
         "t", f", t AS (SELECT *, avg(value) {ALL} AS m FROM s)")
 
 
 def value_props(source: str) -> str:
-    return per_series(source, """count(DISTINCT value) AS unique_count, round(count(DISTINCT value) / count(*), 4) AS unique_ratio, count(*) FILTER (WHERE value = 0) AS zero_count,
-        round(count(*) FILTER (WHERE value = 0) / count(*), 4) AS zero_ratio, count(*) FILTER (WHERE value = floor(value)) AS integer_count, round(count(*) FILTER (WHERE value = floor(value)) / count(*), 4) AS integer_ratio""")
+    return per_series(source, """count(DISTINCT value) AS unique_count, round(count(DISTINCT value) / count(*), 6) AS unique_ratio, count(*) FILTER (WHERE value = 0) AS zero_count,
+        round(count(*) FILTER (WHERE value = 0) / count(*), 6) AS zero_ratio, count(*) FILTER (WHERE value = floor(value)) AS integer_count, round(count(*) FILTER (WHERE value = floor(value)) / count(*), 6) AS integer_ratio""")
 
 
 def trend(source: str) -> str:
-    return per_series(source, "round(coalesce(sum(t) / nullif(count(t), 0), 0), 4) AS monotonicity, count(*) FILTER (WHERE t <> before) AS change_points", "u",
+    return per_series(source, "round(coalesce(sum(t) / nullif(count(t), 0), 0), 6) AS monotonicity, count(*) FILTER (WHERE t <> before) AS change_points", "u",
         f", d AS (SELECT *, nullif(sign(value - lag(value) {W}), 0) AS t FROM s), u AS (SELECT *, last_value(t IGNORE NULLS) {EARLIER} AS before FROM d)")
 
 
 def runs(source: str) -> str:
-    return per_series(source, """max(length) AS max_run_length, round(avg(length), 4) AS avg_run_length, count(*) AS run_count, round(count(*) FILTER (WHERE length > 1) / count(*), 4) AS constant_run_ratio,
-        round(1 - count(*) FILTER (WHERE length = 1 AND run < runs) / sum(length), 4) AS in_run_ratio""", "q", f", {RUNS}, q AS (SELECT *, max(run) {ALL} AS runs FROM r)")
+    return per_series(source, """max(length) AS max_run_length, round(avg(length), 6) AS avg_run_length, count(*) AS run_count, round(count(*) FILTER (WHERE length > 1) / count(*), 6) AS constant_run_ratio,
+        round(1 - count(*) FILTER (WHERE length = 1 AND run < runs) / sum(length), 6) AS in_run_ratio""", "q", f", {RUNS}, q AS (SELECT *, max(run) {ALL} AS runs FROM r)")
 
 
 def bits(source: str) -> str:
     return f"""WITH {source}, {BITS}, x AS (SELECT *, ((bits >> 52) & 2047) - 1023 AS e, bits & 4503599627370495 AS m, (lag(value) {W} < 0) <> (value < 0) AS flip FROM b),
         c AS (SELECT series_id, e, count(*) AS n FROM x GROUP BY ALL), k AS (SELECT series_id, arg_min(e, (-n, e)) AS common_exponent FROM c GROUP BY series_id),
         m AS (SELECT series_id, m, count(*) AS n FROM x GROUP BY ALL), h AS (SELECT series_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS mantissa_entropy FROM m GROUP BY series_id)
-        SELECT series_id, round(avg(bit_count(bits)), 4) AS avg_set_bits, CAST(count(*) FILTER (WHERE flip) AS BIGINT) AS sign_changes, CAST(max(e) - min(e) AS BIGINT) AS exponent_range,
-        CAST(any_value(common_exponent) AS BIGINT) AS common_exponent, round(any_value(mantissa_entropy), 4) AS mantissa_entropy FROM x JOIN k USING (series_id) JOIN h USING (series_id) GROUP BY series_id"""
+        SELECT series_id, round(avg(bit_count(bits)), 6) AS avg_set_bits, CAST(count(*) FILTER (WHERE flip) AS BIGINT) AS sign_changes, CAST(max(e) - min(e) AS BIGINT) AS exponent_range,
+        CAST(any_value(common_exponent) AS BIGINT) AS common_exponent, round(any_value(mantissa_entropy), 6) AS mantissa_entropy FROM x JOIN k USING (series_id) JOIN h USING (series_id) GROUP BY series_id"""
 
 
 def entropy(source: str) -> str:
-    return per_series(source, "round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 4) AS entropy", "c",
+    return per_series(source, "round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy", "c",
         f", x AS (SELECT series_id, value, min(value) {ALL} AS low, max(value) {ALL} AS high FROM s), y AS (SELECT series_id, CASE WHEN high > low THEN least(99, CAST(trunc((value - low) / ((high - low) / 100)) AS INTEGER)) ELSE 0 END AS bin FROM x), c AS (SELECT series_id, bin, count(*) AS n FROM y GROUP BY ALL)")
 
 
 def autocorr(source: str) -> str:
-    return per_series(source, ", ".join(f"round(avg(c * c{k}) / var_pop(c), 4) AS r{k}" for k in LAGS), "x",
+    return per_series(source, ", ".join(f"round(avg(c * c{k}) / var_pop(c), 6) AS r{k}" for k in LAGS), "x",
         f", {CENTRED}, x AS (SELECT *, {', '.join(f'lag(c, {k}) {W} AS c{k}' for k in LAGS)} FROM c)")
 
 
@@ -97,7 +97,7 @@ def periodicity(source: str) -> str:
     return f"""WITH {source}, {CENTRED}, x AS (SELECT *, {', '.join(f'lag(c, {k}) {W} AS c{k}' for k in range(1, PEAKS))} FROM c),
         y AS (SELECT series_id, [{', '.join(f'avg(c * c{k}) / var_pop(c)' for k in range(1, PEAKS))}] AS r FROM x GROUP BY series_id),
         z AS (SELECT series_id, unnest(range(2, {PEAKS - 1})) AS k, r FROM y)
-        SELECT series_id, min(k) AS periodicity, round(arg_min(r[k], k), 4) AS periodic_score FROM z WHERE r[k] > r[k - 1] AND r[k] > r[k + 1] AND r[k] > 0.5 GROUP BY series_id"""
+        SELECT series_id, min(k) AS periodicity, round(arg_min(r[k], k), 6) AS periodic_score FROM z WHERE r[k] > r[k - 1] AND r[k] > r[k + 1] AND r[k] > 0.5 GROUP BY series_id"""
 
 
 def vector() -> str:
@@ -116,7 +116,7 @@ def vector() -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "profile_basic": basic(EVENTS),
-    "profile_quantiles": per_series(EVENTS, ", ".join(f"round(quantile_cont(value, {p / 100}), 4) AS p{p:02d}" for p in (5, 25, 50, 75, 95))),
+    "profile_quantiles": per_series(EVENTS, ", ".join(f"round(quantile_cont(value, {p / 100}), 6) AS p{p:02d}" for p in (5, 25, 50, 75, 95))),
     "profile_value_props": value_props(lines("l_discount")),
     "profile_diff": difference_stats("d1", 1),
     "profile_second_diff": difference_stats("d2", 2),
@@ -124,31 +124,31 @@ ORACLE_SQL: dict[str, str] = {
     "profile_runs": runs(lines("l_discount")),
     "profile_bits": bits(EVENTS),
     "profile_entropy": entropy(EVENTS),
-    "profile_mantissa_entropy": per_series(lines("l_quantity"), "round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 4) AS mantissa_entropy", "c",
+    "profile_mantissa_entropy": per_series(lines("l_quantity"), "round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS mantissa_entropy", "c",
         f", {BITS}, c AS (SELECT series_id, bits & 4503599627370495 AS m, count(*) AS n FROM b GROUP BY ALL)"),
     "profile_autocorr": autocorr(EVENTS),
     "profile_periodicity": periodicity(WAVES),
     "profile_vector": vector(),
-    "xf_delta": each(EVENTS, f"round(value - coalesce(lag(value) {W}, 0), 4) AS value"),
+    "xf_delta": each(EVENTS, f"round(value - coalesce(lag(value) {W}, 0), 6) AS value"),
     "xf_delta_recover": each(KEYS, "value"),
-    "xf_delta2": f"WITH {EVENTS}, d AS (SELECT series_id, pos, value - coalesce(lag(value) {W}, 0) AS value FROM s) SELECT series_id, pos, round(value - coalesce(lag(value) {W}, 0), 4) AS value FROM d",
+    "xf_delta2": f"WITH {EVENTS}, d AS (SELECT series_id, pos, value - coalesce(lag(value) {W}, 0) AS value FROM s) SELECT series_id, pos, round(value - coalesce(lag(value) {W}, 0), 6) AS value FROM d",
     "xf_delta2_recover": each(KEYS, "value"),
-    "xf_ranged": each(EVENTS, f"round(value - min(value) {ALL}, 4) AS value, round(min(value) {ALL}, 4) AS base"),
-    "xf_ranged_recover": each(EVENTS, "round(value, 4) AS value"),
-    "xf_log": each(EVENTS, f'round(ln(value + 1 - min(value) {ALL}), 4) AS value, round(1 - min(value) {ALL}, 4) AS "offset"'),
-    "xf_log_recover": each(EVENTS, "round(value, 4) AS value"),
-    "xf_minmax": each(EVENTS, f"round((value - min(value) {ALL}) / (max(value) {ALL} - min(value) {ALL}), 4) AS value, round(min(value) {ALL}, 4) AS low, round(max(value) {ALL}, 4) AS high"),
-    "xf_minmax_recover": each(EVENTS, "round(value, 4) AS value"),
-    "xf_zscore": each(EVENTS, f"round((value - avg(value) {ALL}) / stddev_pop(value) {ALL}, 4) AS value, round(avg(value) {ALL}, 4) AS mean, round(stddev_pop(value) {ALL}, 4) AS std"),
-    "xf_zscore_recover": each(EVENTS, "round(value, 4) AS value"),
+    "xf_ranged": each(EVENTS, f"round(value - min(value) {ALL}, 6) AS value, round(min(value) {ALL}, 6) AS base"),
+    "xf_ranged_recover": each(EVENTS, "round(value, 6) AS value"),
+    "xf_log": each(EVENTS, f'round(ln(value + 1 - min(value) {ALL}), 6) AS value, round(1 - min(value) {ALL}, 6) AS "offset"'),
+    "xf_log_recover": each(EVENTS, "round(value, 6) AS value"),
+    "xf_minmax": each(EVENTS, f"round((value - min(value) {ALL}) / (max(value) {ALL} - min(value) {ALL}), 6) AS value, round(min(value) {ALL}, 6) AS low, round(max(value) {ALL}, 6) AS high"),
+    "xf_minmax_recover": each(EVENTS, "round(value, 6) AS value"),
+    "xf_zscore": each(EVENTS, f"round((value - avg(value) {ALL}) / stddev_pop(value) {ALL}, 6) AS value, round(avg(value) {ALL}, 6) AS mean, round(stddev_pop(value) {ALL}, 6) AS std"),
+    "xf_zscore_recover": each(EVENTS, "round(value, 6) AS value"),
     "xf_precision": each(EVENTS, "CAST(trunc(value * 10.0::DOUBLE) AS BIGINT) AS value"),
     "xf_precision_round": each(EVENTS, "CAST(trunc(value * 10.0::DOUBLE + CASE WHEN value >= 0 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END) AS BIGINT) AS value"),
     "xf_discrete": each(lines("l_quantity"), f"CAST(trunc(value - min(value) {ALL} + 0.5) AS BIGINT) AS value, min(value) {ALL} AS base"),
     "xf_discrete_recover": each(lines("l_quantity"), "value"),
     "xf_enum_index": f"WITH {lines('l_quantity')}, f AS (SELECT series_id, value, row_number() OVER (PARTITION BY series_id ORDER BY min(pos)) - 1 AS k FROM s GROUP BY series_id, value), n AS (SELECT series_id, count(*) AS kinds FROM f GROUP BY series_id), t AS (SELECT series_id, count(*) AS n FROM s GROUP BY series_id) SELECT series_id, pos, k AS value FROM s JOIN f USING (series_id, value) JOIN n USING (series_id) JOIN t USING (series_id) WHERE kinds <= greatest(1, t.n // 100)",
-    "xf_enum_recover": each(lines("l_quantity"), "value"),
+    "xf_enum_recover": each(lines("l_quantity"), "value") + " WHERE series_id IN (SELECT series_id FROM s GROUP BY series_id HAVING count(DISTINCT value) <= greatest(1, count(*) // 100))",
     "xf_steps": f"WITH {KEYS}, d AS (SELECT *, CAST(value - lag(value) {W} AS BIGINT) AS d FROM s) SELECT series_id, pos, d AS value FROM d WHERE d IS NOT NULL",
-    "cons_range": per_series(PRICES, "round(min(value), 4) AS min_value, round(max(value), 4) AS max_value"),
+    "cons_range": per_series(PRICES, "round(min(value), 6) AS min_value, round(max(value), 6) AS max_value"),
     "cons_precision": f"""WITH {PRICES}, p AS (SELECT series_id, length(rtrim(regexp_extract(raw, '[.](.*)$', 1), '0')) AS places FROM s), c AS (SELECT series_id, places, count(*) AS n FROM p GROUP BY ALL)
         SELECT series_id, CAST(max(places) AS INTEGER) AS precision, '{{' || string_agg('"' || places || '":' || n, ',' ORDER BY places) || '}}' AS precision_distribution FROM c GROUP BY series_id""",
     "cons_enum": f"""WITH {lines('l_discount')}, f AS (SELECT series_id, value, min(pos) AS first, count(*) AS c FROM s GROUP BY series_id, value)
@@ -158,29 +158,29 @@ ORACLE_SQL: dict[str, str] = {
     "cons_discrete_min": f"""WITH {lines('l_quantity')}, d AS (SELECT *, abs(value - lag(value) {W}) AS a FROM s), k AS (SELECT DISTINCT series_id, round(a, 10) AS a FROM d WHERE a >= 1e-10),
         l AS (SELECT series_id, min(a) AS least, count(*) AS kinds FROM k GROUP BY series_id), o AS (SELECT series_id, bool_and(abs(a / least - floor(a / least + 0.5)) <= 1e-10) AS whole FROM k JOIN l USING (series_id) GROUP BY series_id),
         t AS (SELECT series_id, max(value) - min(value) AS rng, count(*) AS n FROM s GROUP BY series_id)
-        SELECT series_id, CASE WHEN rng > 0 AND least > rng / 10000 AND (whole AND kinds > 1 OR kinds <= 2 AND kinds < n // 5) THEN round(least, 4) ELSE 0.0 END AS discrete_step FROM t JOIN l USING (series_id) JOIN o USING (series_id)""",
+        SELECT series_id, CASE WHEN rng > 0 AND least > rng / 10000 AND (whole AND kinds > 1 OR kinds <= 2 AND kinds < n // 5) THEN round(least, 6) ELSE 0.0 END AS discrete_step FROM t JOIN l USING (series_id) JOIN o USING (series_id)""",
     "cons_discrete_mode": f"""WITH {KEYS}, d AS (SELECT *, abs(value - lag(value) {W}) AS a FROM s), k AS (SELECT series_id, round(a, 10) AS a, count(*) AS c FROM d WHERE a >= 1e-10 GROUP BY ALL),
         t AS (SELECT series_id, count(*) AS n FROM s GROUP BY series_id), b AS (SELECT series_id, arg_min(a, (-c, a)) AS a, max(c) AS c FROM k GROUP BY series_id)
-        SELECT series_id, CASE WHEN c > n // 2 THEN round(a, 4) ELSE 0.0 END AS discrete_step FROM t JOIN b USING (series_id)""",
-    "cons_sparse": per_series(SPARSE, "round(count(*) FILTER (WHERE value = 0) / count(*), 4) AS zero_ratio, count(*) FILTER (WHERE value = 0) / count(*) >= 0.9 AS sparse"),
+        SELECT series_id, CASE WHEN c > n // 2 THEN round(a, 6) ELSE 0.0 END AS discrete_step FROM t JOIN b USING (series_id)""",
+    "cons_sparse": per_series(SPARSE, "round(count(*) FILTER (WHERE value = 0) / count(*), 6) AS zero_ratio, count(*) FILTER (WHERE value = 0) / count(*) >= 0.9 AS sparse"),
     "cons_validate": f"""WITH {PRICES}, q AS (SELECT series_id, quantile_cont(value, 0.05) AS low, quantile_cont(value, 0.95) AS high, count(*) FILTER (WHERE value = 0) / count(*) AS zeros FROM s GROUP BY series_id),
         x AS (SELECT s.*, low, high, lag(value) {W} AS before, length(rtrim(regexp_extract(raw, '[.](.*)$', 1), '0')) AS places FROM s JOIN q USING (series_id)),
-        y AS (SELECT series_id, pos, round(value, 4) AS value, CASE WHEN value < low OR value > high THEN 1 WHEN places > 1 THEN 0 WHEN value < before THEN 3 WHEN value < 0 THEN 4 END AS constraint_type FROM x)
-        SELECT * FROM y WHERE constraint_type IS NOT NULL UNION ALL SELECT series_id, -1, round(zeros, 4), 6 FROM q WHERE zeros < 0.9""",
+        y AS (SELECT series_id, pos, round(value, 6) AS value, CASE WHEN value < low OR value > high THEN 1 WHEN places > 1 THEN 0 WHEN value < before THEN 3 WHEN value < 0 THEN 4 END AS constraint_type FROM x)
+        SELECT * FROM y WHERE constraint_type IS NOT NULL UNION ALL SELECT series_id, -1, round(zeros, 6), 6 FROM q WHERE zeros < 0.9""",
     "cons_detect": f"""WITH {lines('l_quantity')}, d AS (SELECT *, value - lag(value) {W} AS d FROM s), f AS (SELECT series_id, value, min(pos) AS first, count(*) AS c FROM s GROUP BY series_id, value),
         e AS (SELECT series_id, string_agg(printf('%.2f', value), ' ' ORDER BY first) AS enumeration FROM f GROUP BY series_id HAVING count(*) <= greatest(1, sum(c) // 100)),
         k AS (SELECT DISTINCT series_id, round(abs(d), 10) AS a FROM d WHERE abs(d) >= 1e-10), l AS (SELECT series_id, min(a) AS least, count(*) AS kinds FROM k GROUP BY series_id),
         o AS (SELECT series_id, bool_and(abs(a / least - floor(a / least + 0.5)) <= 1e-10) AS whole FROM k JOIN l USING (series_id) GROUP BY series_id),
         t AS (SELECT series_id, count(*) AS n, min(value) AS min_value, max(value) AS max_value, CAST(CASE WHEN bool_and(value = floor(value)) THEN 0 END AS INTEGER) AS precision,
             CAST(CASE WHEN coalesce(bool_and(d > 0), true) THEN 2 WHEN bool_and(d < 0) THEN -2 WHEN bool_and(d >= 0) THEN 1 WHEN bool_and(d <= 0) THEN -1 ELSE 0 END AS INTEGER) AS monotonicity,
-            bool_or(value > 0) AS allow_positive, bool_or(value < 0) AS allow_negative, round(count(*) FILTER (WHERE value = 0) / count(*), 4) AS zero_ratio FROM d GROUP BY series_id)
+            bool_or(value > 0) AS allow_positive, bool_or(value < 0) AS allow_negative, round(count(*) FILTER (WHERE value = 0) / count(*), 6) AS zero_ratio FROM d GROUP BY series_id)
         SELECT series_id, precision, min_value, max_value, enumeration, monotonicity, allow_positive, allow_negative, NOT (allow_positive AND allow_negative) AS sign,
             CASE WHEN max_value > min_value AND least > (max_value - min_value) / 10000 AND (whole AND kinds > 1 OR kinds <= 2 AND kinds < n // 5) THEN least ELSE 0.0 END AS discrete_step, zero_ratio, zero_ratio >= 0.9 AS sparse
         FROM t LEFT JOIN e USING (series_id) LEFT JOIN l USING (series_id) LEFT JOIN o USING (series_id)""",
-    "precision_distribution": f"WITH {PRICES}, p AS (SELECT series_id, CAST(length(rtrim(regexp_extract(raw, '[.](.*)$', 1), '0')) AS INTEGER) AS places FROM s), c AS (SELECT series_id, places, count(*) AS c FROM p GROUP BY ALL) SELECT *, round(100 * c / sum(c) {ALL}, 4) AS percent FROM c",
+    "precision_distribution": f"WITH {PRICES}, p AS (SELECT series_id, CAST(length(rtrim(regexp_extract(raw, '[.](.*)$', 1), '0')) AS INTEGER) AS places FROM s), c AS (SELECT series_id, places, count(*) AS c FROM p GROUP BY ALL) SELECT *, round(100 * c / sum(c) {ALL}, 6) AS percent FROM c",
     "text_decimals": f"WITH {PRICES} SELECT series_id, pos, length(rtrim(regexp_extract(raw, '[.](.*)$', 1), '0')) AS places FROM s",
-    "rle_encode": f"WITH {lines('l_discount')}, {RUNS} SELECT series_id, run, start, round(value, 4) AS value, length FROM r",
-    "rle_decode": each(lines("l_discount"), "round(value, 4) AS value"),
+    "rle_encode": f"WITH {lines('l_discount')}, {RUNS} SELECT series_id, run, start, round(value, 6) AS value, length FROM r",
+    "rle_decode": each(lines("l_discount"), "round(value, 6) AS value"),
     "freq_value": f"WITH {lines('l_quantity')} SELECT series_id, value, count(*) AS c FROM s GROUP BY series_id, value",
     "freq_byte": f"""WITH {lines('l_quantity')}, {BITS}, y AS (SELECT series_id, CAST((bits >> (8 * k)) & 255 AS INTEGER) AS byte FROM b, range(8) t(k)), c AS (SELECT series_id, byte, count(*) AS n FROM y GROUP BY ALL),
         e AS (SELECT series_id, CAST(byte AS INTEGER) AS byte FROM (SELECT DISTINCT series_id FROM s), range(256) t(byte)), f AS (SELECT series_id, byte, coalesce(n, 0) + 1 AS c FROM e LEFT JOIN c USING (series_id, byte))
@@ -189,6 +189,6 @@ ORACLE_SQL: dict[str, str] = {
     "bits_text": each(EVENTS, "printf('%.10f', value) || chr(9) || CAST((value::DOUBLE)::BIT AS VARCHAR) AS line"),
     "float_parts": f"""WITH {EVENTS}, {BITS}, e AS (SELECT *, CASE WHEN abs(value) < 1 THEN 0 ELSE ((bits >> 52) & 2047) - 1022 END AS exponent FROM b)
         SELECT series_id, pos, value / pow(2.0, exponent) AS mantissa, exponent, trunc(value) AS whole, value - trunc(value) AS fraction FROM e""",
-    "segment_tumbling": f"WITH {EVENTS} SELECT series_id, pos // 1000 AS segment_id, count(*) AS n, round(min(value), 4) AS low, round(max(value), 4) AS high FROM s GROUP BY ALL HAVING count(*) = 1000",
+    "segment_tumbling": f"WITH {EVENTS} SELECT series_id, pos // 1000 AS segment_id, count(*) AS n, round(min(value), 6) AS low, round(max(value), 6) AS high FROM s GROUP BY ALL HAVING count(*) = 1000",
     **{f"codec_roundtrip_{name}": f"WITH {EVENTS} SELECT series_id, pos // 1000 AS segment_id, CAST(count(*) AS INTEGER) AS n, true AS round_trip_ok FROM s GROUP BY ALL" for name in [*CODECS, "chosen"]},
 }
