@@ -69,6 +69,22 @@ def test_strange_texts_are_rejected_and_clean_ones_kept(documents, model):
     assert sum(r["lang_rejected"] for r in told if r["doc_id"] < 1000) <= 2
 
 
+@pytest.mark.parametrize("rare", [1, 3, 30, 70])
+def test_rare_languages_are_learnt_beside_a_common_one(documents, rare):
+    rng = random.Random(3)
+    told = lambda lang, n=60: " ".join(rng.choice(WORDS[lang]) for _ in range(n))
+    learnt = [i for i in range(2000) if not held_out(i)]
+    rows = [(i, told("en"), "en", "s") for i in learnt[:300]] + [(i, told("de"), "de", "s") for i in learnt[300 : 300 + rare]]
+    rows += [(i, "12 34", "fr", "s") for i in learnt[400:420]] + [(learnt[420], told("fr"), "fr", "s")]
+    model = language_id.train(documents(rows).select("doc_id", "text", "lang"))
+    assert model.langs == ["de", "en", "fr"]
+    new = [(3000 + k, told(lang), lang, "s") for k, lang in enumerate(["de", "en", "fr"] * 15)]
+    strange = [(4000 + k, " ".join("".join(rng.choice("xqzjkw") for _ in range(9)) for _ in range(60)), None, "s") for k in range(5)]
+    got = {r["doc_id"]: r for r in language_id.predict(documents([*new, *strange]), model).collect()}
+    assert all(got[i]["lang_pred"] == lang and not got[i]["lang_rejected"] for i, _, lang, _ in new)
+    assert all(got[i]["lang_rejected"] for i, *_ in strange)
+
+
 def test_probabilities_add_up():
     """Over all characters after a context, seen or not."""
     model = language_id.estimate({"x": language_id.count_grams(["abab abb", "ba"], 3), "y": language_id.count_grams(["bbb"], 3)})

@@ -26,6 +26,7 @@ from .common import held_out, slices
 
 ORDER = 4
 #: Documents a language to train and to calibrate on, and languages, the commonest: the sample's bound.
+#: A language with fewer documents is split in the same ratio.
 TRAIN_DOCS, CALIBRATE_DOCS, MOST_LANGS = 240, 60, 256
 #: Lengths of the snippets that calibration adds to whole texts.
 SNIPPETS = (4, 8, 16, 32, 64)
@@ -209,7 +210,8 @@ def calibrate(model: Model, cases: list[tuple[str, int, bool, np.ndarray]]) -> N
     """Fit the score and what is usual, from (language, characters, whole text, cross-entropies)."""
     index = {lang: k for k, lang in enumerate(model.langs)}
     cases = [c for c in cases if c[0] in index and c[1] > 1]
-    model.usual = np.tile([0.0, np.inf, 0.0], (len(model.langs), 1))
+    # with too few cases of its own, a language takes what is likelier than letters drawn evenly
+    model.usual = np.tile([np.log(len(model.grams[0]) + 1), 0.01, 1.0], (len(model.langs), 1))
     if not cases:
         return
     truth = np.array([index[c[0]] for c in cases])
@@ -237,12 +239,13 @@ def calibrate(model: Model, cases: list[tuple[str, int, bool, np.ndarray]]) -> N
 
 
 def sample_of(docs: DataFrame, per_lang: int) -> DataFrame:
-    """At most per_lang documents of each of the MOST_LANGS commonest languages that may be learnt from.
+    """At most per_lang documents of each of the MOST_LANGS commonest languages that may be learnt from:
+    those with a letter.
 
     A threshold on a hash of the id brings the rows near the bound, so that a window orders only about
     twice as many as are taken; the counts that it rests on are MOST_LANGS rows at most.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
+    labelled = docs.where(F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30))
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("there")).orderBy(F.col("there").desc(), "lang").limit(MOST_LANGS)
     some = labelled.withColumn("draw", draw).join(F.broadcast(counts), "lang").where(F.col("draw") / float(1 << 30) < 2.0 * per_lang / F.col("there"))
@@ -252,19 +255,21 @@ def sample_of(docs: DataFrame, per_lang: int) -> DataFrame:
 def train(docs: DataFrame, *, order: int = ORDER, train_docs: int = TRAIN_DOCS, calibrate_docs: int = CALIBRATE_DOCS) -> Model | None:
     """A model from docs (doc_id, text, lang); None if no document has a language to learn.
 
+    Every language's documents are split by share, calibrate_docs of each train_docs + calibrate_docs;
+    the first one trains, so a language with one document is learnt too.
     What comes to the driver is bounded: for each language the n-grams of at most train_docs whole
     texts, then a few numbers for each of at most calibrate_docs. Languages are a few hundred at most.
     """
     spark = docs.sparkSession
-    sample = sample_of(docs, train_docs + calibrate_docs)
+    per_lang = train_docs + calibrate_docs
+    sample = sample_of(docs, per_lang)
+    calibrates = F.floor(F.col("nth") * calibrate_docs / per_lang) > F.floor((F.col("nth") - 1) * calibrate_docs / per_lang)
 
     def count(table: pa.Table) -> pa.Table:
         grams = pickle.dumps(count_grams(table["text"].to_pylist(), order))
         return pa.table({"lang": table["lang"].slice(0, 1), "grams": pa.array([grams], pa.binary())})
 
-    parts = sample.where(F.col("nth") > calibrate_docs).groupBy("lang").applyInArrow(count, "lang string, grams binary").collect()
-    if not any(pickle.loads(r["grams"]) for r in parts):
-        parts = sample.groupBy("lang").applyInArrow(count, "lang string, grams binary").collect()
+    parts = sample.where(~calibrates).groupBy("lang").applyInArrow(count, "lang string, grams binary").collect()
     tables = {r["lang"]: g for r in parts if (g := pickle.loads(r["grams"]))}
     if not tables:
         return None
@@ -283,7 +288,7 @@ def train(docs: DataFrame, *, order: int = ORDER, train_docs: int = TRAIN_DOCS,
             yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "size": sizes.astype(np.int64), "whole": whole, "entropy": pa.array(entropy.tolist(), pa.list_(pa.float64()))})
 
     fields = "lang string, size long, whole boolean, entropy array<double>"
-    cases = sample.where(F.col("nth") <= calibrate_docs).select("lang", "text").mapInArrow(entropies, fields).collect()
+    cases = sample.where(calibrates).select("lang", "text").mapInArrow(entropies, fields).collect()
     calibrate(model, [(r["lang"], r["size"], r["whole"], np.array(r["entropy"])) for r in cases])
     return model
 
