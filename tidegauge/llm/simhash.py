@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import join_groups, remove, slices, split_into, write_table
+from .resemblance import resembling
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of a chunk: two chunks are compared at once, all against all, in memory.
@@ -49,15 +50,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) of every row of docs (doc_id, text); null text counts as empty."""
+    """doc_id, text_hash, fp (the 64 bits as a long) of every row of docs (doc_id, text); null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             fps = [fingerprint((t or "").encode("utf-8", "surrogatepass"), shingle, seed) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
 
 
 def covering_masks(radius: int, seed: int = 7) -> list[int]:
@@ -172,10 +173,11 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS, chunk: int = CHUNK, similarity: float | None = None) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id of every row of docs (doc_id, text).
 
-    Two fingerprints are linked when they differ in at most ``radius`` bits; component_id is the
+    Two fingerprints are linked when they differ in at most ``radius`` bits, and, with ``similarity``,
+    when the sets of 5-word shingles of their texts are at least that similar; component_id is the
     smallest doc_id that can be reached over links. A text without words (null, empty) has fingerprint
     zero, which is linked like any other. Null doc_ids keep their fingerprint and component but are no
     component's id unless it has no other. Repeated rows give repeated rows. An empty table gives an
@@ -183,7 +185,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, seed: int = SEED
     """
     rows, _ = write_table(fingerprints(docs, shingle=shingle, seed=seed), "fingerprints")
     first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("docs"))
-    root = components(links(first.select("fp"), radius, chunk))
+    edges = links(first.select("fp"), radius, chunk)
+    if similarity is not None:
+        edges = edges.unionByName(resembling(docs, rows, components, similarity=similarity))
+    root = components(edges)
     groups = first.join(root, first["fp"] == root["node"], "left").select("fp", "first", "docs", F.coalesce("root", "fp").alias("root"))
     groups, _ = write_table(groups, "fingerprint-roots")
     smallest = groups.groupBy("root").agg(F.min("first").alias("component_id"))
