@@ -83,6 +83,27 @@ def test_null_and_repeated_ids(texts):
     assert out == [(7, 0), (7, 0), (7, 0), (8, 2), (None, 2), (None, 2)]
 
 
+@pytest.mark.parametrize("shared_id", [None, 7])
+def test_thousands_of_rows_with_one_id(texts, shared_id):
+    """Each row loses what it shares with document 1, at places of its own, and nothing else."""
+    common = "a line that is in the first document too"
+    own = lambda k: [f"row {k} has line {j} of its own" for j in range(k % 9)]
+    put = lambda k: [*own(k)[: k % 4], common, *own(k)[k % 4 :]]
+    rows = [(1, common), *((shared_id, "\n".join(put(k))) for k in range(4000))]
+    want = sorted((len(own(k)) + 1, 1, "\n".join(own(k))) for k in range(4000))
+    out = [r for r in line_dedup.remove_lines(texts(*rows)).collect() if r["doc_id"] != 1]
+    assert sorted((r["n_items"], r["n_removed"], r["kept_text"]) for r in out) == want
+    want = sorted(" ".join(own(k)) for k in range(4000))
+    out = [r for r in substring_dedup.remove_substrings(texts(*rows), window=9).collect() if r["doc_id"] != 1]
+    assert sorted(r["kept_text"] for r in out) == want
+
+
+def test_rows_with_one_id_are_spread_over_buckets():
+    tags = np.random.default_rng(1).integers(-(2**63), 2**63, 4000)
+    counts = np.bincount(runs.bucket_of(np.full(4000, runs.NO_ID), tags, 8), minlength=8)
+    assert counts.min() > 400
+
+
 def test_a_later_batch_is_held_against_the_index(spark, texts):
     index = runs.RunIndex(spark, 3, np.uint64, fanout=2)
     hash_text = line_dedup.line_hashes(10)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, remove, slices
@@ -30,8 +30,8 @@ from .common import new_path, remove, slices
 #: Items hashed before blocks are cut; items of a hash range; runs of a level before they are merged.
 FLUSH, RANGE_ITEMS, FANOUT = 1_500_000, 1_200_000, 4
 NO_ID = np.iinfo(np.int64).max
-#: Bits of its text that tell rows of one doc_id apart.
-TAG = np.uint16
+#: A hash of its text that tells rows of one doc_id apart; 0, which takes no space, where ids are enough.
+TAG = np.int64
 SCHEMA = "kind string, part long, rows long, block binary"
 
 Items = tuple[np.ndarray, np.ndarray]
@@ -71,8 +71,14 @@ def sums(differences: np.ndarray) -> np.ndarray:
     return np.cumsum(differences, dtype=differences.dtype)
 
 
-def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
-    mixed = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def tag_of(repeated: bool) -> Column:
+    """The column for TAG; repeated: non-null ids may have several texts, as null always may."""
+    own = F.xxhash64("text")
+    return own if repeated else F.when(F.col("doc_id").isNull(), own).otherwise(F.lit(0).cast("long"))
+
+
+def bucket_of(ids: np.ndarray, tags: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = (ids.view(np.uint64) ^ tags.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)
     return ((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
@@ -100,7 +106,7 @@ def firsts(hashes: np.ndarray, checks: np.ndarray, ids: np.ndarray, doc: np.ndar
 
 def flag_rows(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Flagged places, by bucket of their document: documents, tags, counts, places."""
-    bucket, out = bucket_of(ids, buckets), []
+    bucket, out = bucket_of(ids, tags, buckets), []
     order = np.lexsort((pos, tags, ids, bucket))
     bucket, ids, tags, pos = bucket[order], ids[order], tags[order], pos[order]
     edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
@@ -215,12 +221,13 @@ class RunIndex:
     def _read(self, paths: list[str], kind: str) -> DataFrame:
         return read_parts(self.spark, paths, kind)
 
-    def add(self, docs: DataFrame, hash_text: HashText, buckets: int, keep_run: bool = True) -> str:
+    def add(self, docs: DataFrame, hash_text: HashText, buckets: int, keep_run: bool = True, repeated: bool = True) -> str:
         """Flags of a batch (doc_id, text) against the runs and itself; its run joins the index.
 
         Returns the folder of the flags. keep_run=False: nothing will be merged with this batch.
+        repeated=False: no non-null doc_id is there twice.
         """
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.pmod(F.xxhash64("text"), F.lit(1 << 16)).alias("tag"), "text")
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc"), tag_of(repeated).alias("tag"), "text")
         rows = rows.mapInArrow(hash_batch(hash_text, self.ranges, buckets, self.check), SCHEMA)
         if old := [p for level in self.levels for p in level]:
             rows = rows.unionByName(self._read(old, "run"))
@@ -258,7 +265,7 @@ def pack_texts(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.array([NO_ID if d is None else d for d in batch["doc"].to_pylist()], np.int64)
-            bucket, out = bucket_of(ids, buckets), []
+            bucket, out = bucket_of(ids, batch["tag"].to_numpy(), buckets), []
             for k in np.unique(bucket):
                 own = batch.take(pa.array(np.flatnonzero(bucket == k)))
                 sink = pa.BufferOutputStream()
@@ -301,7 +308,8 @@ def remove_repeats(docs: DataFrame, hash_text: HashText, rewrite: Rewrite, *, ch
 
     The documents go through a RunIndex in batches of ascending doc_id; ``batches`` are the shares of
     the rows up to the end of each batch (the last is 1), whose bounds are approximate quantiles. The
-    last batch's run is not kept, as nothing follows it. Null ids are in the last batch.
+    last batch's run is not kept, as nothing follows it. Null ids are in the last batch. Rows with a null
+    or repeated id are told apart, and dealt to buckets, by 64 bits of a hash of their text too.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -311,14 +319,15 @@ def remove_repeats(docs: DataFrame, hash_text: HashText, rewrite: Rewrite, *, ch
     bounds = sorted({b for b in bounds if b is not None})
     index = RunIndex(spark, max(1, round(chars / chars_per_item / range_items)), check)
     buckets, paths = max(1, round(chars / bucket_chars)), []
+    repeated = not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     for k, top in enumerate([*bounds, None]):
         part = docs
         if k:
             part = part.where(F.col("doc_id").isNull() | (F.col("doc_id") > bounds[k - 1]))
         if top is not None:
             part = part.where(F.col("doc_id") <= top)
-        paths.append(index.add(part, hash_text, buckets, keep_run=top is not None))
-    texts = docs.select(F.col("doc_id").alias("doc"), F.pmod(F.xxhash64("text"), F.lit(1 << 16)).alias("tag"), "text").mapInArrow(pack_texts(buckets), SCHEMA)
+        paths.append(index.add(part, hash_text, buckets, keep_run=top is not None, repeated=repeated))
+    texts = docs.select(F.col("doc_id").alias("doc"), tag_of(repeated).alias("tag"), "text").mapInArrow(pack_texts(buckets), SCHEMA)
     flags = read_parts(spark, paths, "flags")
     fields = "doc_id long, n_items long, n_removed long, kept_text string"
     return texts.unionByName(flags).groupBy("part").applyInArrow(rewritten(rewrite), fields)
