@@ -67,6 +67,20 @@ def test_round_trip(texts, per_bucket):
     assert all(np.frombuffer(bytes(whole[i]), "<u4").tolist() == ids_of(t) for i, t in rows)
 
 
+def test_added_tokens_as_tokenizers_has_them_by_default(texts):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary())
+    rows = [*random_rows(60), (1000, "a <|endoftext|> b"), (1001, "<|endoftext|><|endoftext|>x"), (1002, "<|endoftext"), (1003, None)]
+    want = {i: [*plain.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
+    whole = {}
+    for p in sorted(packing.pack(texts(*rows), vocabulary=vocabulary(), added_tokens=True).collect(), key=lambda p: p["start"]):
+        whole.setdefault(p["doc_id"], bytearray()).extend(p["ids"])
+        assert p["doc_tokens"] == len(want[p["doc_id"]])
+    assert {i: np.frombuffer(bytes(b), "<u4").tolist() for i, b in whole.items()} == want
+    assert want[1000] == [64, 220, 50256, 275, 1]
+
+
 def test_odd_rows(texts):
     rows = [(1, None), (2, ""), (3, "a"), (3, "a"), (3, "b c"), (None, "null id"), (5, "long word " * 20_000), (6, "y" * 5000)]
     assert check(rows, packing.pack(texts(*rows), vocabulary=vocabulary()).collect()) < 0.1

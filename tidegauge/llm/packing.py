@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +55,8 @@ def encoder(vocabulary: str):
     """The byte-level BPE of a tokenizers file, once for each worker process.
 
     Its merges are in the order of their ids, so the ids serve as ranks for the faster library; tests
-    hold its ids against those that ``tokenizers`` gives. Strings of special tokens are ordinary text.
+    hold its ids against those that ``tokenizers`` gives. Added tokens are for callers to allow: by
+    ``encode_ordinary`` their strings are ordinary text.
     """
     if vocabulary not in _loaded:
         import tiktoken
@@ -63,15 +65,18 @@ def encoder(vocabulary: str):
         hidden = [b for b in range(256) if b not in visible]
         byte_of = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
         with open(vocabulary, encoding="utf-8") as file:
-            ids = json.load(file)["model"]["vocab"]
-        ranks = {bytes(byte_of[c] for c in word): k for word, k in ids.items() if not word.startswith("<|")}
-        _loaded[vocabulary] = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            whole = json.load(file)
+        added = {token["content"]: token["id"] for token in whole["added_tokens"]}
+        ranks = {bytes(byte_of[c] for c in word): k for word, k in whole["model"]["vocab"].items() if word not in added}
+        _loaded[vocabulary] = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
     return _loaded[vocabulary]
 
 
-def token_pieces(vocabulary: str, end: int, capacity: int, shortest: int, with_ids: bool):
+def token_pieces(vocabulary: str, end: int, capacity: int, shortest: int, with_ids: bool, added_tokens: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode_ordinary
+        if added_tokens:
+            encode = partial(encoder(vocabulary).encode, allowed_special="all")
         for batch in slices(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
@@ -109,7 +114,7 @@ def place_rest(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, *, vocabulary: str, end: int = END, capacity: int = CAPACITY, shortest: int = SHORTEST, docs_per_bucket: int = 2_000, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, *, vocabulary: str, end: int = END, capacity: int = CAPACITY, shortest: int = SHORTEST, docs_per_bucket: int = 2_000, with_ids: bool = True, added_tokens: bool = False) -> DataFrame:
     """Pieces of docs (doc_id, text) in sequences: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset and, with_ids, ids (little-endian unsigned 32-bit).
 
@@ -117,11 +122,14 @@ def pack(docs: DataFrame, *, vocabulary: str, end: int = END, capacity: int = CA
     document has at least one id and every id is in exactly one piece. A null doc_id is kept. Repeated
     rows are packed once each. An empty table gives an empty result. Other columns are not read.
     A sequence is as long as what is in it; the trainer pads it to ``capacity``.
+
+    The string of an added token of the vocabulary file, as <|endoftext|>, is ordinary text, so that no
+    document can end itself; with added_tokens it is that token, as ``tokenizers`` has it by default.
     """
     spark = docs.sparkSession
     buckets = split_into(docs.count(), docs_per_bucket)
     fields = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    pieces = docs.select("doc_id", "text").mapInArrow(token_pieces(vocabulary, end, capacity, shortest, with_ids), fields)
+    pieces = docs.select("doc_id", "text").mapInArrow(token_pieces(vocabulary, end, capacity, shortest, with_ids, added_tokens), fields)
     rest = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(buckets)).cast("long"))
     full, level = [], 0
     fit = F.floor(F.lit(capacity) / F.col("length"))
