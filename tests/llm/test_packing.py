@@ -16,7 +16,6 @@ def ids_of(text):
 
     if not hasattr(ids_of, "t"):
         ids_of.t = Tokenizer.from_file(vocabulary())
-        ids_of.t.encode_special_tokens = True
     return [*ids_of.t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -58,7 +57,7 @@ def random_rows(n):
 
 @pytest.mark.parametrize("per_bucket", [20_000, 7])
 def test_round_trip(texts, per_bucket):
-    rows = random_rows(150)
+    rows = random_rows(400)
     pieces = packing.pack(texts(*rows), vocabulary=vocabulary(), docs_per_bucket=per_bucket).collect()
     assert check(rows, pieces) < 0.03
     whole = {}
@@ -67,18 +66,32 @@ def test_round_trip(texts, per_bucket):
     assert all(np.frombuffer(bytes(whole[i]), "<u4").tolist() == ids_of(t) for i, t in rows)
 
 
-def test_added_tokens_as_tokenizers_has_them_by_default(texts):
+def test_added_tokens(texts):
+    """A token by default, as in ``tokenizers``; ordinary text on request."""
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(vocabulary())
     rows = [*random_rows(60), (1000, "a <|endoftext|> b"), (1001, "<|endoftext|><|endoftext|>x"), (1002, "<|endoftext"), (1003, None)]
-    want = {i: [*plain.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
-    whole = {}
-    for p in sorted(packing.pack(texts(*rows), vocabulary=vocabulary(), added_tokens=True).collect(), key=lambda p: p["start"]):
-        whole.setdefault(p["doc_id"], bytearray()).extend(p["ids"])
-        assert p["doc_tokens"] == len(want[p["doc_id"]])
-    assert {i: np.frombuffer(bytes(b), "<u4").tolist() for i, b in whole.items()} == want
-    assert want[1000] == [64, 220, 50256, 275, 1]
+    for added in (True, False):
+        plain = Tokenizer.from_file(vocabulary())
+        plain.encode_special_tokens = not added
+        want = {i: [*plain.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
+        whole = {}
+        options = {} if added else {"added_tokens": False}
+        for p in sorted(packing.pack(texts(*rows), vocabulary=vocabulary(), **options).collect(), key=lambda p: p["start"]):
+            whole.setdefault(p["doc_id"], bytearray()).extend(p["ids"])
+            assert p["doc_tokens"] == len(want[p["doc_id"]])
+        assert {i: np.frombuffer(bytes(b), "<u4").tolist() for i, b in whole.items()} == want
+        assert (want[1000] == [64, 220, 50256, 275, 1]) == added
+
+
+def test_sequence_ids_never_run_into_each_other(texts, monkeypatch):
+    rows = random_rows(40)
+    monkeypatch.setattr(packing, "LEVEL_BITS", 63 - (6).bit_length() - (2048).bit_length())
+    with pytest.raises(ValueError):
+        packing.pack(texts(*rows), vocabulary=vocabulary(), docs_per_bucket=7)
+    monkeypatch.setattr(packing, "LEVEL_BITS", 62 - (6).bit_length() - (2048).bit_length())
+    with pytest.raises(Exception, match="63 bits"):
+        packing.pack(texts(*rows, (99, "long word " * 9000)), vocabulary=vocabulary(), docs_per_bucket=7).collect()
 
 
 def test_odd_rows(texts):

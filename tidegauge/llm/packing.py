@@ -31,6 +31,8 @@ CAPACITY, END = 2048, 1
 SHORTEST = 32
 #: Buckets that go up into one.
 FANOUT = 64
+#: Bits of sequence_id for the level: there are as many levels as FANOUT goes into the buckets.
+LEVEL_BITS = 4
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -55,8 +57,8 @@ def encoder(vocabulary: str):
     """The byte-level BPE of a tokenizers file, once for each worker process.
 
     Its merges are in the order of their ids, so the ids serve as ranks for the faster library; tests
-    hold its ids against those that ``tokenizers`` gives. Added tokens are for callers to allow: by
-    ``encode_ordinary`` their strings are ordinary text.
+    hold its ids against those that ``tokenizers`` gives. Added tokens found in a text are for callers
+    to allow: by ``encode_ordinary`` their strings are ordinary text.
     """
     if vocabulary not in _loaded:
         import tiktoken
@@ -72,7 +74,7 @@ def encoder(vocabulary: str):
     return _loaded[vocabulary]
 
 
-def token_pieces(vocabulary: str, end: int, capacity: int, shortest: int, with_ids: bool, added_tokens: bool = False):
+def token_pieces(vocabulary: str, end: int, capacity: int, shortest: int, with_ids: bool, added_tokens: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode_ordinary
         if added_tokens:
@@ -114,7 +116,7 @@ def place_rest(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, *, vocabulary: str, end: int = END, capacity: int = CAPACITY, shortest: int = SHORTEST, docs_per_bucket: int = 2_000, with_ids: bool = True, added_tokens: bool = False) -> DataFrame:
+def pack(docs: DataFrame, *, vocabulary: str, end: int = END, capacity: int = CAPACITY, shortest: int = SHORTEST, docs_per_bucket: int = 2_000, with_ids: bool = True, added_tokens: bool = True) -> DataFrame:
     """Pieces of docs (doc_id, text) in sequences: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset and, with_ids, ids (little-endian unsigned 32-bit).
 
@@ -123,11 +125,18 @@ def pack(docs: DataFrame, *, vocabulary: str, end: int = END, capacity: int = CA
     rows are packed once each. An empty table gives an empty result. Other columns are not read.
     A sequence is as long as what is in it; the trainer pads it to ``capacity``.
 
-    The string of an added token of the vocabulary file, as <|endoftext|>, is ordinary text, so that no
-    document can end itself; with added_tokens it is that token, as ``tokenizers`` has it by default.
+    The string of an added token of the vocabulary file, as <|endoftext|>, is that token, as
+    ``tokenizers`` has it by default; with added_tokens=False it is ordinary text.
+
+    sequence_id is unique, not dense: it holds level, bucket, class and number. Where they don't fit
+    into 63 bits (2^30 buckets leave 2^17 sequences a class and bucket), the query fails.
     """
     spark = docs.sparkSession
     buckets = split_into(docs.count(), docs_per_bucket)
+    bucket_bits, class_bits = buckets.bit_length(), capacity.bit_length()
+    number_bits = 63 - LEVEL_BITS - bucket_bits - class_bits
+    if number_bits < 1:
+        raise ValueError(f"{buckets} buckets are too many for a sequence_id of 64 bits")
     fields = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     pieces = docs.select("doc_id", "text").mapInArrow(token_pieces(vocabulary, end, capacity, shortest, with_ids, added_tokens), fields)
     rest = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(buckets)).cast("long"))
@@ -141,8 +150,10 @@ def pack(docs: DataFrame, *, vocabulary: str, end: int = END, capacity: int = CA
         # later levels read this: it is written so that they don't tokenize and number again
         placed, _ = write_table(placed, f"packed-{level}")
         whole = F.col("nth") < F.floor(F.col("there") / fit) * fit
-        # level (4 bits), bucket (24), length (12), number of the sequence in its class and bucket (23)
-        number = F.shiftleft(F.shiftleft(F.shiftleft(F.lit(level + 1).cast("long"), 24) + F.col("bucket"), 12) + F.col("length"), 23) + F.floor(F.col("nth") / fit)
+        nth = F.floor(F.col("nth") / fit)
+        nth = F.when(nth < 1 << max(0, number_bits), nth).otherwise(F.raise_error(F.lit("sequences of a class and bucket don't fit into 63 bits of sequence_id")).cast("long"))
+        number = F.shiftleft(F.lit(level + 1).cast("long"), bucket_bits) + F.col("bucket")
+        number = F.shiftleft(F.shiftleft(number, class_bits) + F.col("length"), number_bits) + nth
         full.append(placed.where(whole).select(*names, number.alias("sequence_id"), ((F.col("nth") % fit) * F.col("length")).cast("long").alias("offset")))
         rest = placed.where(~whole).drop("nth", "there")
         if buckets == 1:
