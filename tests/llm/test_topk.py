@@ -51,6 +51,36 @@ def test_large_components_stay_exact(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_components_of_any_size(spark):
+    """Scores beyond a long are held at its ends; a component that overflows when scaled isn't finite."""
+    huge = [(0, [1e18, 1.0]), (1, [1e18, 2.0]), (2, [-1e18, 3.0]), (3, [1e-3, 0.5]), (4, [1e200, -1e200]), (5, [1e306, 0.0]), (100, [-3.0, 0.0]), (200, [1e300, 1e300])]
+    df = spark.createDataFrame([(i, v, 0, "x") for i, v in huge], SCHEMA.replace("float", "double"))
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_k(df, seeds=3).collect()}
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in huge if i != 5}
+    want = {(q, i): min(max(sum(x * y for x, y in zip(a, b)), -(2**63)), 2**63 - 1) for q, a in whole.items() if q % 100 == 0 for i, b in whole.items() if i != q}
+    assert got == want
+
+
+def test_a_query_that_is_repeated_often(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=6).tolist()) for k in range(1, 60)] + [(100, [1.0] * 6)] * 40
+    assert run(spark, rows, query_block=7) == brute(rows)
+
+
+def test_levels_prune_more_and_more():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 64))
+    x = np.floor(1024 * (centres[np.arange(3000) % 30] + 0.1 * rng.normal(size=(3000, 64))))
+    best, ids = topk.Best(20, 10), np.arange(3000)
+    ask = lambda part: topk.search(x[:20], ids[:20], x[part], ids[part], best, np.arange(20), (4, 16))
+    ask(slice(0, 500))
+    pairs, first, second = ask(slice(500, 3000))
+    assert pairs == 20 * 2500 > first > second >= 20 * 10 // 2
+    exact = x[:20] @ x.T
+    exact[np.arange(20), np.arange(20)] = -np.inf
+    assert (np.sort(best.score, axis=1)[:, ::-1] == -np.sort(-exact, axis=1)[:, :10]).all()
+
+
 def test_bounds_are_never_below_the_product():
     rng = np.random.default_rng(1)
     q, x = np.floor(rng.normal(size=(40, 64)) * 300), np.floor(rng.normal(size=(60, 64)) * 300)
