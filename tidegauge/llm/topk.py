@@ -58,13 +58,17 @@ def segments(x: np.ndarray, parts: int) -> np.ndarray:
     return np.hstack([mean, np.sqrt(square)]) * np.sqrt(np.concatenate([m, m]))
 
 
-def dots(q: np.ndarray, x: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query, row and exact inner product of the pairs that are alive; beyond a long's range, its end."""
-    which, row = np.nonzero(alive)
+def dots(q: np.ndarray, x: np.ndarray, alive: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and exact inner product of the pairs that are alive, if it is the query's least or more;
+    beyond a long's range, its end."""
     if not q.shape[1] or float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < EXACT:
-        if 16 * len(which) < alive.size:
-            return which, row, np.einsum("ij,ij->i", q[which], x[row]).astype(np.int64)
-        return which, row, (q @ x.T)[which, row].astype(np.int64)
+        if 16 * np.count_nonzero(alive) >= alive.size:
+            scores = q @ x.T
+            which, row = np.nonzero(alive & (scores >= least[:, None]))
+            return which, row, scores[which, row].astype(np.int64)
+        which, row = np.nonzero(alive)
+        return which, row, np.einsum("ij,ij->i", q[which], x[row]).astype(np.int64)
+    which, row = np.nonzero(alive)
     whole = [[int(v) for v in r] for r in q.tolist()], [[int(v) for v in r] for r in x.tolist()]
     scores = (sum(a * b for a, b in zip(whole[0][i], whole[1][j])) for i, j in zip(which.tolist(), row.tolist()))
     return which, row, np.array([min(max(s, LEAST_SCORE), MOST_SCORE) for s in scores], np.int64)
@@ -118,7 +122,7 @@ def search(queries: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray,
                 some = alive.any(axis=0)
                 rows, alive = rows[some], alive[:, some]
                 outlive[level + 1] += alive.sum()
-            q, r, score = dots(queries[sub], x[rows], alive)
+            q, r, score = dots(queries[sub], x[rows], alive, best.least[which[sub]])
             best.add(which[sub][q], score, ids[rows][r])
     return outlive
 
