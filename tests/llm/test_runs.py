@@ -115,6 +115,58 @@ def test_a_later_batch_is_held_against_the_index(spark, texts):
     assert [len(level) for level in index.levels] == [1, 1]
 
 
+def test_an_index_is_opened_again_by_another_session(spark, texts, tmp_path):
+    """Batches in two sessions, with ranges that are cut as history grows, and a merge of levels."""
+    rows = sorted((i, t) for i, t in dict(passages(150)).items())
+    parts = [rows[k::7] for k in range(7)]
+    index = substring_dedup.new_index(spark, f"file://{tmp_path}/index", 50, fanout=3)
+    out = []
+    for k, part in enumerate(parts):
+        if k in (2, 5):
+            index = runs.RunIndex.open(spark.newSession(), f"file://{tmp_path}/index")
+        ranked = [(1000 * k + i, t) for i, t in part]
+        index.make_room(200 * k, range_items=300)
+        out += got(substring_dedup.remove_substrings(texts(*ranked), window=5, batches=(1.0,), index=index))
+    assert out == substrings([(1000 * k + i, t) for k, part in enumerate(parts) for i, t in part], 5)
+    assert index.ranges > 1 and [len(level) for level in index.levels] == [1, 2]
+    assert index.items == sum(r["rows"] for r in index._read(index._runs(), "run").collect())
+
+
+def test_a_batch_that_fails_leaves_the_index_as_it_was(spark, texts, tmp_path):
+    path = f"file://{tmp_path}/index"
+    index = line_dedup.new_index(spark, path, 10)
+    line_dedup.remove_lines(texts((5, "a line that is long enough")), index=index).collect()
+
+    def broken(text):
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        index.add(texts((6, "a line that is long enough")), broken, 1)
+    index = runs.RunIndex.open(spark, path)
+    again = line_dedup.remove_lines(texts((1, "A line that is long enough"), (2, "another line")), batches=(1.0,), index=index)
+    assert got(again) == [(1, 1, 1, ""), (2, 1, 0, "another line")]
+
+
+def test_the_queries_batches_reach_the_second_level(spark, texts, monkeypatch):
+    made = []
+    real = runs.RunIndex.__init__
+    monkeypatch.setattr(runs.RunIndex, "__init__", lambda self, *a, **k: (real(self, *a, **k), made.append(self))[0])
+    rows = [(k, f"line number {k // 2} of this text") for k in range(400)]
+    assert got(line_dedup.remove_lines(texts(*rows))) == lines(rows)
+    assert got(substring_dedup.remove_substrings(texts(*rows), window=5)) == substrings(rows, 5)
+    assert [[len(level) for level in index.levels] for index in made] == [[2, 1], [1, 1]]
+
+
+def test_bits_that_verify_grow_with_the_corpus():
+    for items in (10, 1e6, 1e9, 1e13):
+        bits = 64 + runs.check_bits(items)
+        assert items * items / 2 / 2.0**bits <= 2.0**-32
+    hashes = substring_dedup.window_hashes(3)
+    one, two = hashes(b"a b c d")
+    again = substring_dedup.window_hashes(3)(b"x a b c d")
+    assert (one == again[0][1:]).all() and (two == again[1][1:]).all() and not (one == two).any()
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(0)
     a, b = np.sort(rng.integers(0, 2**64, 1000, dtype=np.uint64)), rng.integers(0, 255, 7).astype(np.uint8)

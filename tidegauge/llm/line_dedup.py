@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from .runs import Items, remove_repeats
+from .runs import FANOUT, RANGE_ITEMS, Items, RunIndex, remove_repeats
 
 SHORTEST = 10
+#: Four runs are merged into one of the second level, and two more batches are held against it.
+BATCHES = (1 / 6, 2 / 6, 3 / 6, 4 / 6, 5 / 6, 1.0)
 
 
 def keys(text: bytes, shortest: int) -> list[tuple[int, bytes]]:
@@ -43,15 +45,24 @@ def drop_lines(shortest: int):
     return run
 
 
-def remove_lines(docs: DataFrame, *, shortest: int = SHORTEST, batches: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0)) -> DataFrame:
+def new_index(spark: SparkSession, path: str, lines: float, fanout: int = FANOUT) -> RunIndex:
+    """An empty index, kept at path; ``lines`` that the first batch is expected to have."""
+    return RunIndex(spark, max(1, round(lines / RANGE_ITEMS)), np.uint64, fanout, path=path)
+
+
+def remove_lines(docs: DataFrame, *, shortest: int = SHORTEST, batches: tuple[float, ...] = BATCHES, index: RunIndex | None = None) -> DataFrame:
     """doc_id, n_items (lines), n_removed, kept_text of every row of docs (doc_id, text).
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Lines whose key
     has at least ``shortest`` code points stay only in the smallest doc_id that holds the key, as often
     as they are there. Other lines stay; kept lines are joined by a line feed. A null or empty text is
-    one empty line. A null doc_id ranks after all others, and null ids don't repeat each other; nor do
-    repeated rows with one id. An empty table gives an empty result. Other columns are not read.
+    one empty line. A null doc_id ranks after all others (and with 2^63 - 1), and null ids don't repeat
+    each other; nor do repeated rows with one id. An empty table gives an empty result. Other columns
+    are not read.
+
+    index: documents that came before docs, whatever their ids, for deduplication batch by batch; docs
+    join it. Without one, docs are split into ``batches`` that go through an index of their own.
 
     Lines are compared by 128 bits of a hash of the key.
     """
-    return remove_repeats(docs, line_hashes(shortest), drop_lines(shortest), check=np.uint64, chars_per_item=60, batches=batches)
+    return remove_repeats(docs, line_hashes(shortest), drop_lines(shortest), check=np.uint64, chars_per_item=60, batches=batches, index=index)

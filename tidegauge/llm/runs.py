@@ -4,9 +4,12 @@ An item is what is deduplicated within documents: a window of words, or a line.
 is hashed and cut, by hash range, into sorted blocks. For each range, one task merges the batch's blocks
 with the runs that hold the earlier batches' hashes: an item is flagged if its hash is in a run, or in
 the same batch in a document with a smaller doc_id. The batch's own distinct hashes become a new run.
-Runs are levelled: FANOUT runs of a level are merged into one of the next.
+Runs are levelled: FANOUT runs of a level are merged into one of the next. An index is a folder of
+manifests that name its runs, the latest one counts; so a batch that fails leaves the index as it was,
+and another session can open it and go on. As history grows, its ranges are halved.
 
-A hash has 64 bits that order it and ``check`` more bytes that verify it. Blocks are stored as byte
+A hash has 64 bits that order it and more bits that verify it, from a hash of its own: as many that
+among all items of the corpus two different ones agree with a probability under 2^-SURE. Blocks are stored as byte
 planes of differences, compressed to little more than what is random in them.
 Equal hashes within one block of a batch are combined before the shuffle, so an item that many
 documents share costs one entry a block, however common it is.
@@ -14,6 +17,8 @@ documents share costs one entry a block, however common it is.
 
 from __future__ import annotations
 
+import json
+import math
 import struct
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -29,6 +34,8 @@ from .common import new_path, remove, slices
 
 #: Items hashed before blocks are cut; items of a hash range; runs of a level before they are merged.
 FLUSH, RANGE_ITEMS, FANOUT = 1_500_000, 1_200_000, 4
+#: Two different items of a corpus agree with a probability under 2^-SURE, whatever its size.
+SURE = 32
 NO_ID = np.iinfo(np.int64).max
 #: A hash of its text that tells rows of one doc_id apart; 0, which takes no space, where ids are enough.
 TAG = np.int64
@@ -63,6 +70,15 @@ def unpack_arrays(block: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
+def check_bits(items: float) -> int:
+    """Bits beyond the first 64 by which so many items, in items^2 / 2 pairs, are told apart."""
+    return min(64, max(8, math.ceil(2 * math.log2(max(2.0, items))) - 1 + SURE - 64))
+
+
+def unsigned(bits: int) -> type:
+    return np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.uint32 if bits <= 32 else np.uint64
+
+
 def steps(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=values.dtype.type(0))
 
@@ -82,6 +98,11 @@ def bucket_of(ids: np.ndarray, tags: np.ndarray, buckets: int) -> np.ndarray:
     return ((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """A multiple of so many ranges cuts each of them: hashes / 2^32 * ranges / 2^32, rounded down."""
+    return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
 def rows_of(kind: str, found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     parts, rows, blocks = zip(*found) if found else ((), (), ())
     columns = [pa.array([kind] * len(parts), pa.string()), pa.array(parts, pa.int64()), pa.array(rows, pa.int64()), pa.array(blocks, pa.binary())]
@@ -117,7 +138,7 @@ def flag_rows(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray, buckets: int)
     return rows_of("flags", out)
 
 
-def hash_batch(hash_text: HashText, ranges: int, buckets: int, check: type):
+def hash_batch(hash_text: HashText, ranges: int, buckets: int, check: type, bits: int):
     """From rows (doc, tag, text), a block for each hash range: hashes, checks, places, documents.
 
     Of a hash within a block, the places in its smallest document go on; those in other documents of
@@ -128,7 +149,7 @@ def hash_batch(hash_text: HashText, ranges: int, buckets: int, check: type):
         sizes = np.array([len(h) for h, _ in found], np.int64)
         if not sizes.sum():
             return
-        hashes, checks = np.concatenate([h for h, _ in found]), np.concatenate([c for _, c in found]).astype(check)
+        hashes, checks = np.concatenate([h for h, _ in found]), np.concatenate([c for _, c in found]).astype(check) & check((1 << bits) - 1)
         found.clear()
         ids, tag = np.array(docs, np.int64), np.array(tags, TAG)
         doc = np.repeat(np.arange(len(ids), dtype=np.uint32), sizes)
@@ -138,7 +159,7 @@ def hash_batch(hash_text: HashText, ranges: int, buckets: int, check: type):
         late, _ = firsts(hashes, checks, ids, doc)
         yield flag_rows(ids[doc[late]], tag[doc[late]], pos[late], buckets)
         hashes, checks, doc, pos = hashes[~late], checks[~late], doc[~late], pos[~late]
-        share = ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        share = range_of(hashes, ranges)
         bounds = np.searchsorted(share, np.arange(ranges + 1))
         out = []
         for k in np.flatnonzero(np.diff(bounds)):
@@ -208,19 +229,78 @@ def merge_runs(check: type):
     return run
 
 
+def split_runs(ranges: int, check: type):
+    """Each block of a run, cut by finer ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for block in batch["block"].to_pylist():
+                hashes, checks = unpack_arrays(block, np.uint64, check)
+                hashes = sums(hashes)
+                own = range_of(hashes, ranges)
+                for k in np.unique(own):
+                    mine = own == k
+                    out.append((int(k), int(mine.sum()), pack_arrays(steps(hashes[mine]), checks[mine])))
+            yield rows_of("run", out)
+
+    return run
+
+
 class RunIndex:
     """The hashes of all batches so far, in levelled runs in the shared folder.
 
-    ``ranges`` hash ranges, fixed for the index; ``check`` is the numpy type of the verifying bits.
+    ``ranges`` hash ranges to begin with; ``check`` is the numpy type of the verifying bits, ``bits`` how
+    many there are; both are fixed for the index. With ``path``, every batch that joins leaves a manifest
+    there, by which ``RunIndex.open`` finds the index again.
     """
 
-    def __init__(self, spark: SparkSession, ranges: int, check: type, fanout: int = FANOUT):
-        self.spark, self.ranges, self.check, self.fanout = spark, ranges, check, fanout
+    def __init__(self, spark: SparkSession, ranges: int, check: type, fanout: int = FANOUT, *, bits: int | None = None, path: str | None = None):
+        self.spark, self.ranges, self.check, self.fanout, self.path = spark, ranges, check, fanout, path
+        self.bits = 8 * np.dtype(check).itemsize if bits is None else bits
         self.levels: list[list[str]] = []
+        self.items, self.version = 0, 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> RunIndex:
+        """The index as the latest whole manifest has it."""
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = [f.getPath().getName() for f in fs.listStatus(at)]
+        whole = [n for n in found if n.startswith("manifest-") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+        told = json.loads(spark.read.text(f"{path}/{max(whole)}").first()[0])
+        index = cls(spark, told["ranges"], np.dtype(told["check"]).type, told["fanout"], bits=told["bits"], path=path)
+        index.levels, index.items, index.version = told["levels"], told["items"], told["version"]
+        return index
+
+    def _save(self) -> None:
+        if self.path:
+            self.version += 1
+            told = {"ranges": self.ranges, "check": np.dtype(self.check).name, "bits": self.bits, "fanout": self.fanout, "levels": self.levels, "items": self.items, "version": self.version}
+            row = self.spark.createDataFrame([(json.dumps(told),)], "value string")
+            row.coalesce(1).write.text(f"{self.path}/manifest-{self.version:09d}")
 
     def _read(self, paths: list[str], kind: str) -> DataFrame:
         return read_parts(self.spark, paths, kind)
 
+    def _runs(self) -> list[str]:
+        return [p for level in self.levels for p in level]
+
+    def make_room(self, items: float, range_items: int = RANGE_ITEMS) -> None:
+        """Cut the ranges until, with so many items more, none is expected to hold over range_items."""
+        factor = 1
+        while (self.items + items) / (self.ranges * factor) > range_items:
+            factor *= 2
+        if factor == 1:
+            return
+        old = self._runs()
+        cut = lambda p: write_parts(self._read([p], "run").mapInArrow(split_runs(self.ranges * factor, self.check), SCHEMA))
+        self.levels = [[cut(p) for p in level] for level in self.levels]
+        self.ranges *= factor
+        self._save()
+        remove(self.spark, *(f"{p}/kind=run" for p in old))
+
     def add(self, docs: DataFrame, hash_text: HashText, buckets: int, keep_run: bool = True, repeated: bool = True) -> str:
         """Flags of a batch (doc_id, text) against the runs and itself; its run joins the index.
 
@@ -228,25 +308,29 @@ class RunIndex:
         repeated=False: no non-null doc_id is there twice.
         """
         rows = docs.select(F.col("doc_id").cast("long").alias("doc"), tag_of(repeated).alias("tag"), "text")
-        rows = rows.mapInArrow(hash_batch(hash_text, self.ranges, buckets, self.check), SCHEMA)
-        if old := [p for level in self.levels for p in level]:
+        rows = rows.mapInArrow(hash_batch(hash_text, self.ranges, buckets, self.check, self.bits), SCHEMA)
+        if old := self._runs():
             rows = rows.unionByName(self._read(old, "run"))
         merged = rows.groupBy("part").applyInArrow(merge_range(buckets, self.check, keep_run), SCHEMA)
         # groups of flags and of items may have one number; a group of flags only passes
         path = write_parts(merged)
         if keep_run:
-            self._push(path, 0)
+            self.items += self._read([path], "run").agg(F.sum("rows")).first()[0] or 0
+            late = self._push(path, 0)
+            self._save()
+            remove(self.spark, *(f"{p}/kind=run" for p in late))
         return path
 
-    def _push(self, path: str, level: int) -> None:
+    def _push(self, path: str, level: int) -> list[str]:
+        """Returns the runs that are merged into others: they may go once a manifest leaves them out."""
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
-        if len(self.levels[level]) >= self.fanout:
-            paths, self.levels[level] = self.levels[level], []
-            path = write_parts(self._read(paths, "run").groupBy("part").applyInArrow(merge_runs(self.check), SCHEMA))
-            remove(self.spark, *(f"{p}/kind=run" for p in paths))
-            self._push(path, level + 1)
+        if len(self.levels[level]) < self.fanout:
+            return []
+        paths, self.levels[level] = self.levels[level], []
+        path = write_parts(self._read(paths, "run").groupBy("part").applyInArrow(merge_runs(self.check), SCHEMA))
+        return paths + self._push(path, level + 1)
 
 
 def write_parts(df: DataFrame) -> str:
@@ -303,13 +387,20 @@ def rewritten(rewrite: Rewrite):
     return run
 
 
-def remove_repeats(docs: DataFrame, hash_text: HashText, rewrite: Rewrite, *, check: type, chars_per_item: float, batches: tuple[float, ...], bucket_chars: int = 12_000_000, range_items: int = RANGE_ITEMS) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, hash_text: HashText, rewrite: Rewrite, *, check: type | None = None, chars_per_item: float, batches: tuple[float, ...],
+    bucket_chars: int = 12_000_000, range_items: int = RANGE_ITEMS, index: RunIndex | None = None, keep_last: bool = True,
+) -> DataFrame:
     """doc_id, n_items, n_removed, kept_text of every row of docs (doc_id, text).
 
     The documents go through a RunIndex in batches of ascending doc_id; ``batches`` are the shares of
-    the rows up to the end of each batch (the last is 1), whose bounds are approximate quantiles. The
-    last batch's run is not kept, as nothing follows it. Null ids are in the last batch. Rows with a null
-    or repeated id are told apart, and dealt to buckets, by 64 bits of a hash of their text too.
+    the rows up to the end of each batch (the last is 1), whose bounds are approximate quantiles. Null
+    ids are in the last batch. Rows with a null or repeated id are told apart, and dealt to buckets, by
+    64 bits of a hash of their text too.
+
+    index: what it holds comes before all of docs; every batch joins it. Without one, an index is made
+    for this call; keep_last=False then leaves out the last batch's run, which nothing reads.
+    check: the type of the verifying bits, all of which are used; by default sized by check_bits.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -317,7 +408,13 @@ def remove_repeats(docs: DataFrame, hash_text: HashText, rewrite: Rewrite, *, ch
     chars, *bounds = docs.agg(F.sum(F.length("text")), *[c.alias(f"cut{k}") for k, c in enumerate(cuts)]).first()
     chars = chars or 0
     bounds = sorted({b for b in bounds if b is not None})
-    index = RunIndex(spark, max(1, round(chars / chars_per_item / range_items)), check)
+    items = chars / chars_per_item
+    if index is None:
+        bits = None if check else check_bits(items)
+        index = RunIndex(spark, max(1, round(items / range_items)), check or unsigned(bits), bits=bits)
+    else:
+        keep_last = True
+        index.make_room(items, range_items)
     buckets, paths = max(1, round(chars / bucket_chars)), []
     repeated = not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     for k, top in enumerate([*bounds, None]):
@@ -326,7 +423,7 @@ def remove_repeats(docs: DataFrame, hash_text: HashText, rewrite: Rewrite, *, ch
             part = part.where(F.col("doc_id").isNull() | (F.col("doc_id") > bounds[k - 1]))
         if top is not None:
             part = part.where(F.col("doc_id") <= top)
-        paths.append(index.add(part, hash_text, buckets, keep_run=top is not None, repeated=repeated))
+        paths.append(index.add(part, hash_text, buckets, keep_run=keep_last or top is not None, repeated=repeated))
     texts = docs.select(F.col("doc_id").alias("doc"), tag_of(repeated).alias("tag"), "text").mapInArrow(pack_texts(buckets), SCHEMA)
     flags = read_parts(spark, paths, "flags")
     fields = "doc_id long, n_items long, n_removed long, kept_text string"

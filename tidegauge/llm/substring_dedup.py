@@ -3,27 +3,42 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from .runs import Items, remove_repeats
+from .runs import FANOUT, RANGE_ITEMS, Items, RunIndex, check_bits, remove_repeats, unsigned
 
 WINDOW = 13
+#: Characters of a word, at a guess: sizes of ranges and hashes rest on it, results don't.
+WORD_CHARS = 6
+#: Four small batches make a run of the second level; what comes after is held against it.
+BATCHES = (0.025, 0.05, 0.075, 0.1, 0.15, 1.0)
 #: Words whose hashes a worker remembers.
 REMEMBER = 400_000
 MIX, MIX_CHECK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def window_hashes(window: int):
-    """Two polynomial hashes of each window over its words' 64-bit hashes, finished by mixing."""
+    """Two polynomial hashes of each window, over two 64-bit hashes of its words, finished by mixing."""
     known: dict[bytes, int] = {}
+    hashes = np.zeros((2, 1024), np.uint64)
 
     def finish(h: np.ndarray) -> np.ndarray:
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         return h ^ (h >> np.uint64(32))
 
-    def run(text: bytes) -> Items:
+    def learn(words: set[bytes]) -> None:
         import xxhash
 
+        nonlocal hashes
+        new = sorted(words.difference(known))
+        both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, new)), "<u8").reshape(-1, 2).T
+        n = len(known)
+        if n + len(new) > hashes.shape[1]:
+            hashes = np.concatenate([hashes, np.zeros((2, n + len(new)), np.uint64)], axis=1)
+        hashes[:, n : n + len(new)] = both
+        known.update(zip(new, range(n, n + len(new))))
+
+    def run(text: bytes) -> Items:
         words = text.split()
         n = len(words) - window + 1
         if n < 1:
@@ -31,16 +46,15 @@ def window_hashes(window: int):
         if len(known) > REMEMBER:
             known.clear()
         try:
-            own = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         except KeyError:
-            h = xxhash.xxh3_64_intdigest
-            for w in set(words).difference(known):
-                known[w] = h(w)
-            own = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            learn(set(words))
+            at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        one, two = hashes[0][at], hashes[1][at]
         a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         for k in range(window):
-            a = a * MIX + own[k : n + k]
-            b = b * MIX_CHECK + own[k : n + k]
+            a = a * MIX + one[k : n + k]
+            b = b * MIX_CHECK + two[k : n + k]
         return finish(a), finish(b)
 
     return run
@@ -61,15 +75,26 @@ def drop_covered(window: int):
     return run
 
 
-def remove_substrings(docs: DataFrame, *, window: int = WINDOW, batches: tuple[float, ...] = (0.1, 1.0), check: type = np.uint16) -> DataFrame:
+def new_index(spark: SparkSession, path: str, words: float, fanout: int = FANOUT) -> RunIndex:
+    """An empty index, kept at path, for a history that is to grow to about so many words."""
+    bits = check_bits(words)
+    return RunIndex(spark, max(1, round(words / RANGE_ITEMS)), unsigned(bits), fanout, bits=bits, path=path)
+
+
+def remove_substrings(docs: DataFrame, *, window: int = WINDOW, batches: tuple[float, ...] = BATCHES, check: type | None = None, index: RunIndex | None = None) -> DataFrame:
     """doc_id, n_items (words), n_removed, kept_text of every row of docs (doc_id, text).
 
     Every word covered by a window of ``window`` consecutive words that also starts in a document with
     a smaller doc_id is removed; windows are those of the input. Kept words are joined by one space.
     Words are separated by ASCII white space. A null or empty text has no words. A null doc_id ranks
-    after all others, and null ids don't repeat each other; nor do repeated rows with one id. An empty
-    table gives an empty result. Other columns of docs are not read.
+    after all others (and with 2^63 - 1), and null ids don't repeat each other; nor do repeated rows with
+    one id. An empty table gives an empty result. Other columns of docs are not read.
+
+    index: documents that came before docs, whatever their ids, for deduplication batch by batch; docs
+    join it. Without one, docs are split into ``batches`` that go through an index of their own.
 
-    Windows are compared by 64 + 8 * sizeof(check) bits of two hashes.
+    Windows are compared by 64 bits of one hash and as many of another, of other hashes of the words,
+    that any two different windows of the corpus agree with a probability under 2^-32 (``check`` sets
+    other bits), not word by word.
     """
-    return remove_repeats(docs, window_hashes(window), drop_covered(window), check=check, chars_per_item=6, batches=batches)
+    return remove_repeats(docs, window_hashes(window), drop_covered(window), check=check, chars_per_item=WORD_CHARS, batches=batches, index=index, keep_last=False)
