@@ -1,7 +1,9 @@
 """Language ID and toxicity."""
 
 import binascii
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -46,7 +48,7 @@ def test_held_out_labels_are_never_read(documents, model):
     changed = [(i, t, "xx" if held_out(i) else lang, s) for i, t, lang, s in corpus()]
     again = language_id.train(documents(changed).select("doc_id", "text", "lang"))
     assert again.langs == model.langs == ["de", "en", "fr"]
-    assert all((a == b).all() for a, b in zip(again.logp, model.logp))
+    assert all((a == b).all() for a, b in zip(again.blocks[0].logp, model.blocks[0].logp))
 
 
 def test_texts_without_letters_and_odd_tables(documents, model):
@@ -93,11 +95,87 @@ def test_probabilities_add_up():
         total = np.zeros(2)
         for c in alphabet:
             h = language_id.gram_hashes(np.array([*context, c], np.uint32), 3)
-            total += np.exp(model.log_probs([x[-1:] for x in h], [x[-2:-1] for x in h[:-1]], 3)[0])
+            total += np.exp(model.blocks[0].log_probs([x[-1:] for x in h], [x[-2:-1] for x in h[:-1]], 3)[0])
         # what is missing is the share of characters that no text has
         assert (total <= 1 + 1e-6).all() and (total > 0.7).all()
 
 
+class KneserNey:
+    """Interpolated Kneser-Ney by its definition, with dicts of strings."""
+
+    def __init__(self, texts, order, alphabet):
+        self.order, self.alphabet = order, alphabet
+        self.counts = [Counter() for _ in range(order)]
+        top = Counter()
+        for t in texts:
+            padded = " " * (order - 1) + t
+            for i in range(1, len(t)):  # the leading space isn't predicted
+                top[padded[i : i + order]] += 1
+        self.counts[order - 1] = top
+        for k in range(order - 1, 0, -1):
+            for gram in self.counts[k]:
+                self.counts[k - 1][gram[1:]] += 1
+        self.discount = []
+        for c in self.counts:
+            ones, twos = (sum(n == k for n in c.values()) for k in (1, 2))
+            self.discount.append(ones / (ones + 2 * twos) if ones and twos else 0.5)
+
+    def p(self, gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / (self.alphabet + 1)
+        after = {g: n for g, n in self.counts[k - 1].items() if g[:-1] == gram[:-1]}
+        total, d = sum(after.values()), self.discount[k - 1]
+        if not total:
+            return self.p(gram[1:])
+        return max(after.get(gram, 0) - d, 0) / total + d * len(after) / total * self.p(gram[1:])
+
+    def entropy(self, text):
+        padded = " " * (self.order - 1) + text
+        return -sum(math.log(self.p(padded[i : i + self.order])) for i in range(1, len(text))) / (len(text) - 1)
+
+
+@pytest.mark.parametrize("lang_block", [1, 2, 64])
+def test_kneser_ney_by_its_definition(lang_block):
+    """However languages are cut into blocks."""
+    texts = {"x": ["The cat, the hat.", "a cat sat"], "y": ["der Hut und", "die Katze", "ß"], "z": ["zzz"], "w": ["l'été été"]}
+    plain = {lang: ["".join(map(chr, language_id.reduced(t))) for t in own] for lang, own in texts.items()}
+    alphabet = len({c for own in plain.values() for t in own for c in t[1:]})
+    model = language_id.estimate({lang: language_id.count_grams(own, 3) for lang, own in texts.items()}, lang_block)
+    asked = ["the cat", "Katze und Hut", "q", "été zz", "unseen Ω"]
+    entropy, sizes = model.entropies([language_id.reduced(t) for t in asked])
+    assert model.langs == ["w", "x", "y", "z"] and model.alphabet == alphabet
+    for t, found, n in zip(asked, entropy, sizes):
+        text = "".join(map(chr, language_id.reduced(t)))
+        assert n == len(text) - 1
+        assert found == pytest.approx([KneserNey(plain[lang], 3, alphabet).entropy(text) for lang in model.langs], rel=1e-4)
+
+
+def test_more_languages_than_a_block_holds(documents):
+    """A language a letter pair, each learnt and told, however rare."""
+    pairs = [a + b for a in "abcdefgh" for b in "ijklmnopqrstuvwxyz"]
+    learnt = [i for i in range(4000) if not held_out(i)]
+    rows = [(learnt[2 * k + j], " ".join([pair, pair[::-1], pair * 2] * 9), pair, "s") for k, pair in enumerate(pairs) for j in range(2)]
+    model = language_id.train(documents(rows).select("doc_id", "text", "lang"), order=3)
+    assert model.langs == sorted(pairs) and len(model.blocks) == -(-len(pairs) // language_id.LANG_BLOCK) > 1
+    told = language_id.predict(documents([(9000 + k, " ".join([pair * 2, pair] * 5), None, "s") for k, pair in enumerate(pairs)]), model)
+    assert {r["doc_id"]: r["lang_pred"] for r in told.collect()} == {9000 + k: pair for k, pair in enumerate(pairs)}
+
+
+def test_long_documents_are_sampled_only_where_there_are_no_others(documents, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_CHARS", 40)
+    learnt = [i for i in range(200) if not held_out(i)]
+    rows = [(i, "short one", "a", "s") for i in learnt[:5]] + [(i, "long text " * 9, "a", "s") for i in learnt[5:9]] + [(i, "long only " * (9 + i), "b", "s") for i in learnt[9:20]]
+    sample = language_id.sample_of(documents(rows), 100).collect()
+    assert sorted((r["lang"], r["long"]) for r in sample) == [("a", False)] * 5 + [("b", True)]
+
+
+def test_rejection_is_read_from_the_tail():
+    z = np.random.default_rng(0).exponential(size=4000)
+    assert language_id.tail_bound(z, 1e-4) == pytest.approx(-np.log(1e-4), rel=0.1)
+    assert language_id.tail_bound(z[:50]) == language_id.REJECT_Z
+
+
 def test_long_texts_are_scored_in_chunks(model, monkeypatch):
     texts = [language_id.reduced(t) for _, t, _, _ in corpus(20)] + [language_id.reduced("der die das " * 300)]
     whole, sizes = model.entropies(texts)

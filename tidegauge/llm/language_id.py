@@ -2,11 +2,12 @@
 
 A text is reduced to lower-case letters with single spaces between runs of them. Each language has a
 model of ORDER characters, trained on a bounded sample of its labelled documents: top-order counts,
-continuation counts below, one discount an order. The models of all languages share sorted arrays of
-n-gram hashes, one an order, with a row of log-probabilities (a column a language) for each n-gram; an
+continuation counts below, one discount an order. The models of a block of languages share sorted arrays
+of n-gram hashes, one an order, with a row of log-probabilities (a column a language) for each n-gram; an
 n-gram that no language has falls back over its context's weights to the order below. The language with
 the lowest cross-entropy a character is the answer. Its score is the calibrated probability that it is
-right; a text that is too unlikely even in it, for its length, is rejected.
+right; a text that is too unlikely even in it, for its length, is rejected: beyond the deviations that a
+stated share of clean texts is expected to reach, by the tail of held-back ones.
 """
 
 from __future__ import annotations
@@ -22,16 +23,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import held_out, slices
+from .common import held_out, slices, write_table
 
 ORDER = 4
-#: Documents a language to train and to calibrate on, and languages, the commonest: the sample's bound.
-#: A language with fewer documents is split in the same ratio.
-TRAIN_DOCS, CALIBRATE_DOCS, MOST_LANGS = 240, 60, 256
+#: The sample's bound: documents a language to train and to calibrate on, and characters of a document.
+#: A language with fewer documents is split in the same ratio; one without a document so short learns
+#: from one that is longer.
+TRAIN_DOCS, CALIBRATE_DOCS, MOST_CHARS = 240, 60, 50_000
+#: Languages of a block: how many a row of log-probabilities holds. There is no bound on blocks.
+LANG_BLOCK = 64
 #: Lengths of the snippets that calibration adds to whole texts.
 SNIPPETS = (4, 8, 16, 32, 64)
-#: A text is rejected beyond so many deviations of its language's cross-entropy, or below this score.
-REJECT_Z, REJECT_SCORE = 10.0, 0.3
+#: The share of clean texts that may be rejected as too unlikely (one of a billion); the upper share of held-back texts whose
+#: tail it is read from; deviations that stand in where there are fewer than so many in the tail.
+REJECT_SHARE, TAIL_SHARE, TOO_FEW, REJECT_Z = 1e-9, 0.1, 20, 10.0
+#: A text is rejected too if the probability that its language is right is lower.
+REJECT_SCORE = 0.3
 #: Characters scored at once.
 CHUNK = 1 << 17
 SPACE, UNKNOWN = np.uint32(32), "und"
@@ -95,16 +102,18 @@ def count_grams(texts: list[str | None], order: int) -> list[dict[str, np.ndarra
 
 
 @dataclass
-class Model:
-    """langs; for each order: sorted n-grams with log-probabilities, sorted contexts with log-weights."""
+class Block:
+    """langs; for each order: sorted n-grams with log-probabilities, sorted contexts with log-weights.
+
+    alphabet: the characters of all languages, of other blocks too.
+    """
 
     langs: list[str]
     grams: list[np.ndarray]
     logp: list[np.ndarray]
     contexts: list[np.ndarray]
     logw: list[np.ndarray]
-    slope: tuple[float, float] = (0.0, 1.0)
-    usual: np.ndarray | None = None  # a row a language: mean, variance between texts, variance a character
+    alphabet: int
 
     @property
     def order(self) -> int:
@@ -119,7 +128,7 @@ class Model:
             if k > 1:
                 out[miss] += self.log_probs([h[miss] for h in hashes[:k]], [h[miss] for h in before[: k - 1]], k - 1)
             else:
-                out[miss] -= np.log(len(self.grams[0]) + 1)
+                out[miss] -= np.log(self.alphabet + 1)
         return out
 
     def weights(self, contexts: np.ndarray, k: int) -> np.ndarray:
@@ -153,6 +162,29 @@ class Model:
             flush()
         return -sums / np.maximum(sizes, 1)[:, None], np.maximum(sizes, 0)
 
+
+@dataclass
+class Model:
+    """Blocks of languages, and what calibration has found."""
+
+    blocks: list[Block]
+    slope: tuple[float, float] = (0.0, 1.0)
+    usual: np.ndarray | None = None  # a row a language: mean, variance between texts, variance a character
+    most: float = REJECT_Z  # deviations from what is usual
+
+    @property
+    def langs(self) -> list[str]:
+        return [lang for block in self.blocks for lang in block.langs]
+
+    @property
+    def alphabet(self) -> int:
+        return self.blocks[0].alphabet
+
+    def entropies(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropy a character of each reduced text in each language, and the characters."""
+        found = [block.entropies(texts) for block in self.blocks]
+        return np.hstack([entropy for entropy, _ in found]), found[0][1]
+
     def predict(self, texts: list[np.ndarray]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether it is rejected, of each reduced text."""
         entropy, sizes = self.entropies(texts)
@@ -164,15 +196,22 @@ class Model:
         reject = score < REJECT_SCORE
         if self.usual is not None:
             mean, between, per_char = self.usual[best].T
-            reject |= low > mean + REJECT_Z * np.sqrt(between + per_char / np.maximum(sizes, 1))
+            reject |= low > mean + self.most * np.sqrt(between + per_char / np.maximum(sizes, 1))
         empty = sizes == 0
         langs = [UNKNOWN if e else self.langs[b] for b, e in zip(best, empty)]
         return langs, np.where(empty, 0.0, score), reject | empty
 
 
-def estimate(tables: dict[str, list[dict[str, np.ndarray]]]) -> Model:
+def estimate(tables: dict[str, list[dict[str, np.ndarray]]], lang_block: int = LANG_BLOCK) -> Model:
     """Interpolated Kneser-Ney over the n-gram counts of each language."""
     langs = sorted(tables)
+    alphabet = len(np.unique(np.concatenate([t[0]["gram"] for t in tables.values()])))
+    cuts = [langs[a : a + lang_block] for a in range(0, len(langs), lang_block)]
+    return Model([estimate_block({lang: tables[lang] for lang in cut}, alphabet) for cut in cuts])
+
+
+def estimate_block(tables: dict[str, list[dict[str, np.ndarray]]], alphabet: int) -> Block:
+    langs = list(tables)
     order = max(len(t) for t in tables.values())
     grams, logp, contexts, logw = [], [], [], []
     lower = None
@@ -184,7 +223,7 @@ def estimate(tables: dict[str, list[dict[str, np.ndarray]]]) -> Model:
         all_contexts = np.unique(context)
         at_context = np.searchsorted(all_contexts, context)
         if k == 1:
-            below = np.full((len(every), len(langs)), 1 / (len(every) + 1))
+            below = np.full((len(every), len(langs)), 1 / (alphabet + 1))
         else:
             below = lower[np.searchsorted(grams[-1], suffix)]
         p, w = np.empty((len(every), len(langs))), np.ones((len(all_contexts), len(langs)))
@@ -203,7 +242,7 @@ def estimate(tables: dict[str, list[dict[str, np.ndarray]]]) -> Model:
         logp.append(np.log(p).astype(np.float32))
         contexts.append(all_contexts)
         logw.append(np.log(w).astype(np.float32))
-    return Model(langs, grams, logp, contexts, logw)
+    return Block(langs, grams, logp, contexts, logw, alphabet)
 
 
 def calibrate(model: Model, cases: list[tuple[str, int, bool, np.ndarray]]) -> None:
@@ -211,7 +250,7 @@ def calibrate(model: Model, cases: list[tuple[str, int, bool, np.ndarray]]) -> N
     index = {lang: k for k, lang in enumerate(model.langs)}
     cases = [c for c in cases if c[0] in index and c[1] > 1]
     # with too few cases of its own, a language takes what is likelier than letters drawn evenly
-    model.usual = np.tile([np.log(len(model.grams[0]) + 1), 0.01, 1.0], (len(model.langs), 1))
+    model.usual = np.tile([np.log(model.alphabet + 1), 0.01, 1.0], (len(model.langs), 1))
     if not cases:
         return
     truth = np.array([index[c[0]] for c in cases])
@@ -236,20 +275,36 @@ def calibrate(model: Model, cases: list[tuple[str, int, bool, np.ndarray]]) -> N
             mean = own[mine].mean()
             per_char = ((own[short] - mean) ** 2 * sizes[short]).mean() if short.any() else own[mine].var() * sizes[mine].mean()
             model.usual[k] = mean, own[mine].var() + 0.01, per_char
+    mean, between, per_char = model.usual[truth].T
+    model.most = tail_bound((own - mean) / np.sqrt(between + per_char / sizes))
+
+
+def tail_bound(z: np.ndarray, share: float = REJECT_SHARE) -> float:
+    """The deviations that this share of texts is expected to be beyond, by an exponential tail over the
+    upper TAIL_SHARE of those given: clean texts that nothing was learnt from."""
+    start = np.quantile(z, 1 - TAIL_SHARE)
+    over = z[z > start] - start
+    if len(over) < TOO_FEW:
+        return REJECT_Z
+    return float(start + over.mean() * np.log(TAIL_SHARE / share))
 
 
 def sample_of(docs: DataFrame, per_lang: int) -> DataFrame:
-    """At most per_lang documents of each of the MOST_LANGS commonest languages that may be learnt from:
-    those with a letter.
+    """At most per_lang documents of each language, of those that may be learnt from and have a letter:
+    of at most MOST_CHARS characters, or one, if there is none so short.
 
     A threshold on a hash of the id brings the rows near the bound, so that a window orders only about
-    twice as many as are taken; the counts that it rests on are MOST_LANGS rows at most.
+    twice as many as are taken. The counts that it rests on are a row a language.
     """
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
+    labelled = labelled.withColumn("long", F.length("text") > MOST_CHARS)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30))
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("there")).orderBy(F.col("there").desc(), "lang").limit(MOST_LANGS)
-    some = labelled.withColumn("draw", draw).join(F.broadcast(counts), "lang").where(F.col("draw") / float(1 << 30) < 2.0 * per_lang / F.col("there"))
-    return some.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id", "text"))).where(F.col("nth") <= per_lang)
+    # short ones are wanted, so they count; where there are only long ones, those do
+    counts = labelled.groupBy("lang").agg(F.count_if(~F.col("long")).alias("short"), F.count(F.lit(1)).alias("there"))
+    counts = counts.select("lang", F.col("short") == 0, F.when(F.col("short") > 0, F.col("short")).otherwise(F.col("there"))).toDF("lang", "long", "there")
+    some = labelled.withColumn("draw", draw).join(counts, ["lang", "long"]).where(F.col("draw") / float(1 << 30) < 2.0 * per_lang / F.col("there"))
+    some = some.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id", "text")))
+    return some.where((F.col("nth") <= per_lang) & (~F.col("long") | (F.col("nth") == 1)))
 
 
 def train(docs: DataFrame, *, order: int = ORDER, train_docs: int = TRAIN_DOCS, calibrate_docs: int = CALIBRATE_DOCS) -> Model | None:
@@ -257,12 +312,12 @@ def train(docs: DataFrame, *, order: int = ORDER, train_docs: int = TRAIN_DOCS,
 
     Every language's documents are split by share, calibrate_docs of each train_docs + calibrate_docs;
     the first one trains, so a language with one document is learnt too.
-    What comes to the driver is bounded: for each language the n-grams of at most train_docs whole
-    texts, then a few numbers for each of at most calibrate_docs. Languages are a few hundred at most.
+    What comes to the driver is bounded for each language: the n-grams of at most train_docs whole texts
+    (see sample_of), then a few numbers for each of at most calibrate_docs.
     """
     spark = docs.sparkSession
     per_lang = train_docs + calibrate_docs
-    sample = sample_of(docs, per_lang)
+    sample, _ = write_table(sample_of(docs, per_lang), "language-sample")
     calibrates = F.floor(F.col("nth") * calibrate_docs / per_lang) > F.floor((F.col("nth") - 1) * calibrate_docs / per_lang)
 
     def count(table: pa.Table) -> pa.Table:
