@@ -21,6 +21,8 @@ from .common import SPACE, WORD, split_into, without
 #: A schedule is a list of (time, weight) knots from time 0 to time 1, straight in between.
 Schedule = list[tuple[float, float]]
 CONSTANT_3_1_2: list[Schedule] = [[(0, 3), (1, 3)], [(0, 1), (1, 1)], [(0, 2), (1, 2)]]
+#: The same weights in all: falling, rising, and highest half-way.
+CURRICULUM_3_1_2: list[Schedule] = [[(0, 4), (1, 2)], [(0, 0.5), (1, 1.5)], [(0, 1), (0.5, 3), (1, 1)]]
 ADDED = ["size", "source_size", "target", "start", "taken", "position"]
 
 
@@ -73,15 +75,21 @@ def source_targets(sizes: DataFrame, share: float, cap: float, schedules: list[S
     return ranked.select("no_source", "source_key", "source_size", "schedule", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def laid_out(docs: DataFrame, share: float, cap: float, schedules: list[Schedule], rows_per_cell: int) -> DataFrame:
+def words_of(text: str = "text") -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def laid_out(docs: DataFrame, share: float, cap: float, schedules: list[Schedule], rows_per_cell: int, words: str | None = None) -> DataFrame:
     """docs' columns and mix_size, mix_source_size, mix_target, mix_schedule, mix_start and mix_taken."""
     cells = split_into(docs.count(), rows_per_cell)
+    # null ids are told apart by their text, or what is known of it
+    unnamed = F.concat(F.lit("null "), F.coalesce(F.sha2(F.col(words or "text").cast("string"), 256), F.lit("")))
     rows = docs.select(
         "*",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("mix_size"),
+        (F.col(words).cast("long") if words else words_of()).alias("mix_size"),
         F.col("source").isNull().alias("no_source"),
         F.coalesce("source", F.lit("")).alias("source_key"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("mix_hash"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), unnamed).cast("binary")).alias("mix_hash"),
     )
     head = F.conv(F.substring("mix_hash", 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("mix_cell", F.shiftright(head * F.lit(cells).cast("long"), 32))
@@ -115,7 +123,7 @@ def by_position(mixed: DataFrame) -> DataFrame:
     return mixed.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def plan_mix(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, schedules: list[Schedule] = CONSTANT_3_1_2, rows_per_cell: int = 2_000) -> DataFrame:
+def plan_mix(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, schedules: list[Schedule] = CONSTANT_3_1_2, rows_per_cell: int = 2_000, words: str | None = None) -> DataFrame:
     """docs (doc_id, text, source, ...) with each document's part in the mix, by training position.
 
     Adds size (words), source_size, target (its source's, in words), start (the words of its source
@@ -124,10 +132,12 @@ def plan_mix(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, schedules
     one document of a source is taken in part, in the last pass over that source.
 
     Nulls: a null text has size 0; the null source is a source of its own, the last in order; a null
-    doc_id is hashed as an empty string. Repeated rows are mixed as separate documents. An empty table
+    doc_id is placed by a hash of the text. Repeated rows are mixed as separate documents. An empty table
     gives an empty result. Input columns named like an added one are replaced.
+
+    words: a column of docs with each document's words, counted before; text isn't read then.
     """
-    rows = laid_out(docs, share, cap, schedules, rows_per_cell).withColumn("mix_position", position(schedules, F.col("mix_start")))
+    rows = laid_out(docs, share, cap, schedules, rows_per_cell, words).withColumn("mix_position", position(schedules, F.col("mix_start")))
     kept = without(docs, ADDED).columns
     return by_position(rows).select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"mix_{c}").alias(c) for c in ADDED])
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, language_id, line_dedup, mixing, packing, simhash, substring_dedup, topk, toxicity, warc
-from .common import held_out, read
+from .common import held_out, read, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +20,10 @@ def vocabulary() -> str:
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    # texts are read once, for their words
+    docs, _ = write_table(read(spark, sf_dir, "documents").select("doc_id", "source", mixing.words_of().alias("words")), "words")
+    mixed = mixing.plan_mix(docs, schedules=mixing.CURRICULUM_3_1_2, words="words")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,18 +78,25 @@ ORACLE_SQL = {
         WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
                           md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
         s AS (SELECT source, sum(size)::DOUBLE AS n FROM d GROUP BY source),
-        r AS (SELECT *, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS w FROM s),
+        r AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS curve, [3.0, 1.0, 2.0][1 + curve] AS w FROM s),
         f AS (SELECT *, 2.0 * n / w AS full_at, row_number() OVER (ORDER BY 2.0 * n / w, source IS NULL, source) AS k FROM r),
         l AS (SELECT *, (1.5 * sum(n) OVER () - 2.0 * coalesce(sum(n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                         / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
         v AS (SELECT arg_min(level, k) AS level FROM l WHERE level <= full_at),
-        t AS (SELECT source, CAST(n AS BIGINT) AS source_size, least(2.0 * n, v.level * w) AS target FROM l LEFT JOIN v ON true),
-        p AS (SELECT d.doc_id, size, source_size, coalesce(target, 0.0) AS target,
+        t AS (SELECT source, curve, CAST(n AS BIGINT) AS source_size, least(2.0 * n, v.level * w) AS target FROM l LEFT JOIN v ON true),
+        p AS (SELECT d.doc_id, curve, size, source_size, coalesce(target, 0.0) AS target,
                      CASE WHEN source_size > 0 THEN CAST(floor(floor(target) / source_size) AS BIGINT) ELSE 0 END AS e,
                      coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
-              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target,
-               CAST(e * size + greatest(0, least(size, floor(target) - e * source_size - c)) AS BIGINT) AS taken FROM p""",
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        k AS (SELECT *, CAST(e * size + greatest(0, least(size, floor(target) - e * source_size - c)) AS BIGINT) AS taken,
+                     CASE WHEN target > 0 THEN [3.0, 1.0, 2.0][1 + curve]::DOUBLE * (c::DOUBLE / target) END AS part FROM p)
+        -- the curves' weights: 4 - 2t; 0.5 + t; 1 + 4t, from t = 0.5 on 3 - 4 (t - 0.5)
+        SELECT doc_id, size, source_size, target, taken,
+               CASE WHEN taken > 0 THEN
+                    CASE WHEN curve = 0 THEN 2e0 * part / (4e0 + sqrt(greatest(0e0, 16e0 - 4e0 * part)))
+                         WHEN curve = 1 THEN 2e0 * part / (0.5e0 + sqrt(greatest(0e0, 0.25e0 + 2e0 * part)))
+                         WHEN part >= 1 THEN 0.5e0 + 2e0 * (part - 1e0) / (3e0 + sqrt(greatest(0e0, 9e0 - 8e0 * (part - 1e0))))
+                         ELSE 2e0 * part / (1e0 + sqrt(greatest(0e0, 1e0 + 8e0 * part))) END END AS position FROM k""",
     "op2_topk": """
         WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
