@@ -12,6 +12,9 @@ from tidegauge.llm import exact_dedup, language_id, mixing, packing, simhash
 from tidegauge.llm.common import read, write_table
 from tidegauge.llm.queries import vocabulary
 
+#: Near copies share this much of their 5-word shingles; fingerprints alone miss most of them.
+SIMILARITY = 0.8
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language a model of docs' own labelled texts recognises; rejected ones go."""
@@ -26,8 +29,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by links between close fingerprints, the one with the smallest doc_id."""
-    return simhash.drop_near_duplicates(docs)
+    """Of documents joined by links between close fingerprints, or between texts whose sets of 5-word
+    shingles are alike by SIMILARITY, the one with the smallest doc_id."""
+    return simhash.drop_near_duplicates(docs, similarity=SIMILARITY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
