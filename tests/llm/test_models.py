@@ -235,6 +235,72 @@ def test_isotonic_fit():
     assert x.tolist() == [1, 2.5, 4] and y.tolist() == [0, 0.5, 1]
 
 
+def test_isotonic_fit_against_every_way_to_cut():
+    """The best non-decreasing step function, of all cuts of the points into blocks of their means."""
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        n = int(rng.integers(2, 8))
+        x, y, w = np.sort(rng.random(n)), rng.integers(0, 2, n).astype(float), rng.integers(1, 4, n).astype(float)
+        best = None
+        for cuts in range(1 << (n - 1)):
+            block = np.cumsum([0, *((cuts >> k) & 1 for k in range(n - 1))])
+            level = np.bincount(block, w * y) / np.bincount(block, w)
+            loss = (w * (y - level[block]) ** 2).sum()
+            if (np.diff(level) >= 0).all() and (best is None or loss < best[0] - 1e-12):
+                best = loss, level[block]
+        at, level = toxicity.isotonic(x, y, w)
+        spread, k, left = [], 0, n
+        # a block's middle is the weighted mean of its points: walk through them in order
+        for m, v in zip(at, level):
+            size = next(s for s in range(1, left + 1) if abs(np.average(x[k : k + s], weights=w[k : k + s]) - m) < 1e-12)
+            spread += [v] * size
+            k, left = k + size, left - size
+        assert left == 0
+        assert (w * (y - np.array(spread)) ** 2).sum() == pytest.approx(best[0]) and np.allclose(spread, best[1])
+
+
+def test_first_tree_against_exhaustive_splits(monkeypatch):
+    """One tree, level by level: each node takes the split of the greatest gain of all features and cuts."""
+    monkeypatch.setattr(toxicity, "TREES", 1)
+    monkeypatch.setattr(toxicity, "DEPTH", 2)
+    rng = np.random.default_rng(11)
+    x = np.round(rng.random((60, 4)), 2)
+    y = ((x[:, 1] > 0.4) & (x[:, 3] < 0.7) | (x[:, 0] > 0.9)).astype(float)
+    w = rng.integers(1, 4, 60).astype(float)
+    trees = toxicity.Trees().fit(x, y, w)
+    base = np.average(y, weights=w)
+    g, h = w * (base - y), w * base * (1 - base)
+    part = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + 1)
+
+    def grow(rows, depth):
+        if depth == 0:
+            out = np.zeros(60)
+            out[rows] = -toxicity.RATE * g[rows].sum() / (h[rows].sum() + 1)
+            return out
+        best = (1e-6, rows, rows[:0])
+        for k in range(4):
+            for edge in trees.edges[k]:
+                low, high = rows[x[rows, k] < edge], rows[x[rows, k] >= edge]
+                if len(low) and len(high) and min(h[low].sum(), h[high].sum()) >= 1:
+                    gain = part(low) + part(high) - part(rows)
+                    if gain > best[0] + 1e-12:
+                        best = (gain, low, high)
+        return grow(best[1], depth - 1) + (grow(best[2], depth - 1) if len(best[2]) else 0)
+
+    assert np.allclose(trees.margin(x), np.log(base / (1 - base)) + grow(np.arange(60), 2))
+
+
+def test_lexicon_of_a_fold_leaves_out_its_documents(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PARTS", 4)
+    rows = [(k, "zork the" if k % 2 else "plain the", k % 2, 1.0, 1 + k % 3) for k in range(120)] + [(500 + k, "glorp", 1, 1.0, 2) for k in range(20)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int, weight double, part long")
+    learning = {y: [sum(r[2] == y and r[4] == p for r in rows) for p in (1, 2, 3)] for y in (0, 1)}
+    every, one, two, three = toxicity.learn_lexicons(sample, learning)
+    assert {"zork", "glorp"} <= set(every) and "glorp" in one and "glorp" in three and "glorp" not in two and "zork" in two
+    bad, good = 60, 0
+    assert every["zork"] == pytest.approx(math.log((bad + 0.5) / (80 + 1)) - math.log((good + 0.5) / (60 + 1)))
+
+
 def test_trees_learn_a_rule():
     x = np.random.default_rng(2).random((600, 3))
     y = ((x[:, 0] > 0.5) ^ (x[:, 2] > 0.3)).astype(float)
