@@ -18,6 +18,38 @@ def test_csv_column_skips_what_is_no_number(spark, tmp_path):
     assert files.csv_column(spark, str(tmp_path / "a.csv"), column=1, skip=1, limit=2).count() == 2
 
 
+def test_quoted_line_feeds_and_many_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/b.csv").write_text('h,"a\nb"\n"x\ny, ""z""",1\n\n,2\n')
+    (tmp_path / "in/a.csv").write_text("h,h\n0,3\n0,4\n" + "0,5\n" * 3000)
+    got = files.csv_column(spark, str(tmp_path / "in"), column=1, skip=1)
+    assert [r["value"] for r in got.orderBy("pos").collect()] == [3.0, 4.0, *[5.0] * 3000, 1.0, 2.0]
+    assert [r["pos"] for r in got.orderBy("pos").collect()] == list(range(3004))
+
+
+def test_splits_of_a_file_stay_in_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("h\n" + "".join(f"{k}\n" for k in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = files.csv_column(spark, str(tmp_path / "a.csv"), column=0, skip=1, limit=4000, quoted_breaks=False).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["pos"], r["value"]) for r in rows) == [(k, float(k)) for k in range(4000)]
+
+
+def test_file_exists(spark, tmp_path):
+    (tmp_path / "a").write_text("")
+    assert files.file_exists(spark, str(tmp_path / "a")) and not files.file_exists(spark, str(tmp_path / "b"))
+
+
+def test_merged_csvs_go_under_the_first_header(spark, tmp_path):
+    for name, text in (("rain_b.csv", "x,y\n3,4\n"), ("rain_a.csv", "p,q\n2,1\n1,2\n"), ("wind.csv", "p,q\n9,9\n")):
+        (tmp_path / name).write_text(text)
+    got = files.merge_csvs(spark, str(tmp_path), "rain", numbered=True)
+    assert got.columns == ["pos", "p", "q"] and rows(got, "pos") == [(0, "2", "1"), (1, "1", "2"), (2, "3", "4")]
+    assert files.merge_csvs(spark, str(tmp_path), "snow").count() == 0
+
+
 def test_ucr_folders(spark, tmp_path):
     for name in ("A", "B"):
         (tmp_path / name).mkdir()

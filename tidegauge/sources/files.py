@@ -1,7 +1,8 @@
 """Series from CSV, tab-separated and ZIP files, and files merged and sampled.
 
-Columns are given by position and read as text, so nothing is inferred. A file's rows get their position
-from the file's row index where a reader has one, else from one ordered window a file.
+Columns are given by position and read as text, so nothing is inferred. Rows get their position from their
+place in their split of a file, and from the rows in the splits before it: a row a split is summed up in one
+task, but no file is, nor all of them.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,31 +30,59 @@ def parsed(text: Column) -> Column:
     return F.when(value.isNotNull() & (F.abs(value) == float("inf")) & ~text.rlike(INFINITE), F.lit(None)).otherwise(value)
 
 
+def file_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+#: What tells splits of files apart, and a record's number that grows along a split.
+SPLIT = ["path", "block"]
+
+
+def _split_columns() -> list[Column]:
+    return [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+
+
 def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, line_no, line: text files numbered line by line.
+    """path, block, at, line of text files."""
+    return spark.read.text(paths).select(*_split_columns(), F.col("value").alias("line"))
+
+
+def _records(spark: SparkSession, paths: str | list[str], columns: int, quoted_breaks: bool) -> DataFrame:
+    """path, block, at, _c0, _c1, ... of CSV files, all of them text."""
+    reader = spark.read.schema(", ".join(f"_c{k} string" for k in range(columns))).option("escape", '"').option("multiLine", quoted_breaks)
+    return reader.csv(paths).select(*_split_columns(), *[f"_c{k}" for k in range(columns)])
 
-    monotonically_increasing_id grows along a file, as its splits are read in order.
-    """
-    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
-    order = W.partitionBy("path").orderBy("block", "at")
-    return rows.select("path", (F.row_number().over(order) - 1).alias("line_no"), "line")
 
+def _placed(rows: DataFrame, group: list[str], order: list[str], out: str = "pos") -> DataFrame:
+    """rows (path, block, at, ...) with their number, from 0, among those of a group: by splits in the
+    given order, which are counted first, and by place within a split."""
+    keys = [*group, *[c for c in [*order, *SPLIT] if c not in group]]
+    own = F.row_number().over(W.partitionBy(*keys).orderBy("at")) - 1
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("there"))
+    earlier = W.partitionBy(*(group or [F.lit(0)])).orderBy(*keys[len(group) :]).rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(*keys, F.coalesce(F.sum("there").over(earlier), F.lit(0)).alias("start"))
+    return rows.withColumn(out, own).join(starts, keys).withColumn(out, (F.col(out) + F.col("start")).cast("long")).drop("start")
 
-def csv_column(spark: SparkSession, path: str, *, column: int, skip: int = 0, limit: int | None = None, raw: bool = False) -> DataFrame:
-    """pos, value and, if asked, raw: a column of CSV files by its ordinal, in file order.
 
-    The first ``skip`` records of a file are left out; so are rows that are too short and cells that
-    aren't numbers. limit counts the rows that are left.
+def csv_column(spark: SparkSession, path: str | list[str], *, column: int, skip: int = 0, limit: int | None = None, raw: bool = False, quoted_breaks: bool = True) -> DataFrame:
+    """pos, value and, if asked, raw: a column of CSV files by its ordinal, in order of files and records.
+
+    The first ``skip`` records of a file are left out; so are records that are too short and cells that
+    aren't numbers. limit counts the rows that are left. quoted_breaks=False: no field holds a line feed,
+    so a large file is read by as many tasks as it has splits, and not by one.
     """
-    fields = F.from_csv(F.col("line"), F.lit(", ".join(f"_c{k} string" for k in range(column + 1))), {"mode": "PERMISSIVE"})
-    rows = _lines(spark, path).where((F.col("line_no") >= skip) & (F.length("line") > 0))
-    rows = rows.select("path", "line_no", fields[f"_c{column}"].alias("raw")).where("raw is not null")
-    rows = rows.withColumn("value", parsed(F.col("raw"))).where("value is not null")
+    rows = _records(spark, path, column + 1, quoted_breaks).withColumnRenamed(f"_c{column}", "raw")
+    if skip:
+        # a file's first records are in its first split
+        nth = F.row_number().over(W.partitionBy(*SPLIT).orderBy("at"))
+        rows = rows.withColumn("nth", nth).where((F.col("block") > 0) | (F.col("nth") > skip))
+    rows = rows.withColumn("value", parsed(F.col("raw"))).where("value is not null").select(*SPLIT, "at", "value", "raw")
+    rows = _placed(rows, [], [])
     if limit is not None:
-        rows = rows.orderBy("path", "line_no").limit(limit)
-    order = W.partitionBy(F.lit(0)).orderBy("path", "line_no")
-    out = rows.select((F.row_number().over(order) - 1).cast("long").alias("pos"), "value", *["raw"] * raw)
-    return out
+        rows = rows.where(F.col("pos") < limit)
+    return rows.select("pos", "value", *["raw"] * raw)
 
 
 def concatenated(parts: list[DataFrame]) -> DataFrame:
@@ -74,40 +104,51 @@ def big_data(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def labelled_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, line_no, at, text: the fields after the class label, split at tabs or else at blanks."""
+    """path, block, at, field, text: the fields after the class label, split at tabs or else at blanks."""
     line = F.trim(F.col("line"))
     by_tab = F.split(line, "\t")
     fields = F.when(F.size(by_tab) >= 2, by_tab).otherwise(F.split(line, r"\s+"))
     rows = _lines(spark, paths).where(F.length(F.trim("line")) > 0)
-    return rows.select("path", "line_no", F.posexplode(F.slice(fields, 2, 1_000_000_000)).alias("at", "text")).where(F.length(F.trim("text")) > 0)
+    rows = rows.select(*SPLIT, F.col("at").alias("line_at"), F.posexplode(F.slice(fields, 2, 1_000_000_000)).alias("field", "text"))
+    return rows.withColumn("at", F.struct("line_at", "field")).drop("line_at", "field").where(F.length(F.trim("text")) > 0)
 
 
 def ucr_values(spark: SparkSession, base: str) -> DataFrame:
     """dataset, pos, text: every data set's folder <name>/<name>_TRAIN.tsv, then _TEST.tsv."""
     rows = labelled_lines(spark, f"{base}/*/*_T[RE][AS][IT]*.tsv")
-    name = F.element_at(F.split("path", "/"), -1)
-    dataset = F.element_at(F.split("path", "/"), -2)
-    rows = rows.select(dataset.alias("dataset"), name.alias("file"), "line_no", "at", "text")
-    rows = rows.where((F.col("file") == F.concat("dataset", F.lit("_TRAIN.tsv"))) | (F.col("file") == F.concat("dataset", F.lit("_TEST.tsv"))))
-    order = W.partitionBy("dataset").orderBy(F.col("file").endswith("_TEST.tsv"), "line_no", "at")
-    return rows.select("dataset", (F.row_number().over(order) - 1).cast("long").alias("pos"), "text")
+    name, dataset = (F.element_at(F.split("path", "/"), -k) for k in (1, 2))
+    rows = rows.withColumns({"dataset": dataset, "file": name}).where((F.col("file") == F.concat("dataset", F.lit("_TRAIN.tsv"))) | (F.col("file") == F.concat("dataset", F.lit("_TEST.tsv"))))
+    rows = rows.withColumn("test", F.col("file").endswith("_TEST.tsv"))
+    return _placed(rows, ["dataset"], ["test"]).select("dataset", "pos", "text")
 
 
 def all_values(spark: SparkSession, base: str) -> DataFrame:
     """dataset, pos, text of every <name>/all_values.txt: trimmed, blank lines left out."""
     rows = _lines(spark, f"{base}/*/all_values.txt").withColumn("text", F.trim("line")).where(F.length("text") > 0)
-    dataset = F.element_at(F.split("path", "/"), -2)
-    order = W.partitionBy("dataset").orderBy("line_no")
-    return rows.select(dataset.alias("dataset"), "line_no", "text").select("dataset", (F.row_number().over(order) - 1).cast("long").alias("pos"), "text")
+    rows = rows.withColumn("dataset", F.element_at(F.split("path", "/"), -2))
+    return _placed(rows, ["dataset"], []).select("dataset", "pos", "text")
 
 
 def value_counts(values: DataFrame) -> DataFrame:
     return values.groupBy("dataset").agg(F.count(F.lit(1)).alias("c"))
 
 
-def merge_csvs(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """The rows of all CSV files below folder whose name contains pattern, under the first one's header."""
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{pattern}*.csv").option("header", True).csv(folder)
+def merge_csvs(spark: SparkSession, folder: str, pattern: str, numbered: bool = False, quoted_breaks: bool = True) -> DataFrame:
+    """The records of all CSV files below folder whose name contains pattern, under the first one's header.
+
+    Files come in order of their paths; columns go by position, whatever the other files' headers say.
+    numbered adds pos, the record's place among all. An empty selection has no columns.
+    """
+    found = {"recursiveFileLookup": True, "pathGlobFilter": f"*{pattern}*.csv"}
+    first = spark.read.options(**found).format("binaryFile").load(folder).agg(F.min("path")).first()[0]
+    if first is None:
+        return spark.createDataFrame([], "")
+    names = [f"`{c}`" for c in spark.read.option("header", True).option("escape", '"').csv(first).columns]
+    reader = spark.read.options(**found).schema(", ".join(f"{c} string" for c in names)).option("header", True).option("escape", '"').option("multiLine", quoted_breaks)
+    rows = reader.csv(folder)
+    if not numbered:
+        return rows
+    return _placed(rows.select(*_split_columns(), F.struct(*names).alias("record")), [], []).select("pos", "record.*")
 
 
 def sample_windows(values: DataFrame, *, datasets: int, size: int, seed: int) -> DataFrame:
@@ -120,12 +161,17 @@ def sample_windows(values: DataFrame, *, datasets: int, size: int, seed: int) ->
     order = W.partitionBy("dataset").orderBy("pos")
     rows = rows.withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
     sizes = rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
-    chosen = sizes.orderBy(F.xxhash64(F.lit(seed), "dataset"), "dataset").limit(datasets)
-    start = F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), "dataset"), F.greatest(F.lit(1), F.col("n") - size + 1))
+    drawn = lambda what: F.md5(F.concat(F.lit(f"{seed} {what} "), "dataset").cast("binary"))
+    chosen = sizes.orderBy(drawn("data set"), "dataset").limit(datasets)
+    start = F.conv(F.substring(drawn("start"), 1, 8), 16, 10).cast("long") % F.greatest(F.lit(1), F.col("n") - size + 1)
     rows = rows.join(chosen.withColumn("start", start), "dataset").where((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + size))
     return rows.select("dataset", (F.col("pos") - F.col("start")).alias("pos"), "text")
 
 
+#: Lines of a ZIP member that are held at once.
+LINES_AT_ONCE = 50_000
+
+
 def zip_members(spark: SparkSession, folder: str, *, contains: str = "Stocks", suffix: str = ".his") -> DataFrame:
     """archive, country, member, row_no, line: lines of the archives' members ending in suffix.
 
@@ -133,23 +179,25 @@ def zip_members(spark: SparkSession, folder: str, *, contains: str = "Stocks", s
     ends there, and the others go on.
     """
 
+    kinds = {"path": pa.string(), "member": pa.string(), "row_no": pa.int64(), "line": pa.string()}
+
+    def lines(archive: zipfile.ZipFile) -> Iterator[tuple[str, int, str]]:
+        for member in archive.namelist():
+            if member.lower().endswith(suffix):
+                try:
+                    with archive.open(member) as file:
+                        for k, line in enumerate(io.TextIOWrapper(file, "utf-8", newline="")):
+                            yield member, k, line.rstrip("\r\n")
+                except (UnicodeDecodeError, zipfile.BadZipFile):
+                    continue
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
-                rows: list[tuple] = []
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for member in archive.namelist():
-                        if not member.lower().endswith(suffix):
-                            continue
-                        try:
-                            with archive.open(member) as file:
-                                for k, line in enumerate(io.TextIOWrapper(file, "utf-8", newline="")):
-                                    rows.append((path, member, k, line.rstrip("\r\n")))
-                        except (UnicodeDecodeError, zipfile.BadZipFile):
-                            continue
-                columns = list(zip(*rows)) or [()] * 4
-                kinds = [pa.string(), pa.string(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["path", "member", "row_no", "line"])
+                    found = ((path, *line) for line in lines(archive))
+                    while rows := list(islice(found, LINES_AT_ONCE)):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], list(kinds))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{contains}*.zip").load(folder)
     rows = files.select("path", "content").mapInArrow(run, "path string, member string, row_no long, line string")
@@ -182,9 +230,12 @@ def features_json(spark: SparkSession, path: str) -> DataFrame:
 
 def training_csvs(spark: SparkSession, features: str, labels: str) -> DataFrame:
     """row_no, features, ranged, scale, del, algo from two headerless CSV files of as many rows."""
-    x = _lines(spark, features).select("line_no", F.transform(F.split("line", ","), lambda t: t.try_cast("double")).alias("features"))
-    y = _lines(spark, labels).select("line_no", F.transform(F.split("line", ","), lambda t: t.try_cast("int")).alias("y"))
+    def lines(path: str, kind: str) -> DataFrame:
+        rows = _placed(_lines(spark, path), [], [], "row_no")
+        return rows.select("row_no", F.transform(F.split("line", ","), lambda t: t.try_cast(kind)).alias("fields"))
+
+    x, y = lines(features, "double"), lines(labels, "int").withColumnRenamed("fields", "y")
     if x.count() != y.count():
         raise ValueError("features and labels differ in their number of rows")
     names = ["ranged", "scale", "del", "algo"]
-    return x.join(y, "line_no").select(F.col("line_no").alias("row_no"), "features", *[F.get("y", F.lit(k)).alias(c) for k, c in enumerate(names)])
+    return x.join(y, "row_no").select("row_no", F.col("fields").alias("features"), *[F.get("y", F.lit(k)).alias(c) for k, c in enumerate(names)])

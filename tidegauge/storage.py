@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``. Only where that is unset, as on one machine in a test, a
-    temporary folder is made and set."""
+    """The cluster's ``spark.checkpoint.dir``. Only on one machine, as in a test, a temporary folder is
+    made and set where that is unset: on a cluster it would be another folder on each executor."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tidegauge-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
