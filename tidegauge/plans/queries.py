@@ -16,6 +16,7 @@ from ..operators import profile as prof
 from ..operators import transforms as xf
 from ..operators.series import packed, segmented, to_series
 from ..sources import sinks
+from . import file_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Values of a segment in the codec queries.
@@ -212,4 +213,5 @@ QUERIES: dict[str, Query] = {
     "best_combo": lambda spark, sf_dir: enc.best_combo(packed(events(spark, sf_dir), SMALL)),
     "codec_roundtrip_chosen": chosen_round_trip,
     **{f"codec_roundtrip_{name}": round_trips(name) for name in CODECS},
+    **file_queries.QUERIES,
 }

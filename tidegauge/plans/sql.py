@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..codecs import CODECS
+from . import file_queries
 
 EVENTS = "s AS (SELECT event_type AS series_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS pos, value FROM events WHERE value IS NOT NULL)"
 PRICES = "s AS (SELECT o_orderstatus AS series_id, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS pos, o_totalprice AS value, CAST(CAST(o_totalprice AS DECIMAL(20,4)) AS VARCHAR) AS raw FROM orders WHERE o_totalprice IS NOT NULL)"
@@ -191,4 +192,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT series_id, pos, value / pow(2.0, exponent) AS mantissa, exponent, trunc(value) AS whole, value - trunc(value) AS fraction FROM e""",
     "segment_tumbling": f"WITH {EVENTS} SELECT series_id, pos // 1000 AS segment_id, count(*) AS n, round(min(value), 6) AS low, round(max(value), 6) AS high FROM s GROUP BY ALL HAVING count(*) = 1000",
     **{f"codec_roundtrip_{name}": f"WITH {EVENTS} SELECT series_id, pos // 1000 AS segment_id, CAST(count(*) AS INTEGER) AS n, true AS round_trip_ok FROM s GROUP BY ALL" for name in [*CODECS, "chosen"]},
+    **file_queries.ORACLE_SQL,
+    "src_feature_records": f"""SELECT min, max, mean, median, unique_count, diff_mean, run_count FROM ({basic(EVENTS)}) b JOIN ({value_props(EVENTS)}) u USING (series_id)
+        JOIN (SELECT series_id, mean AS diff_mean FROM ({difference_stats('d1', 1)})) d USING (series_id) JOIN ({runs(EVENTS)}) r USING (series_id)""",
 }

@@ -214,8 +214,8 @@ def country_rows(members: DataFrame) -> DataFrame:
     return rows.join(first, "country").select("country", "header", "line_no", "line")
 
 
-def features_json(spark: SparkSession, path: str) -> DataFrame:
-    """Feature records, an object a file."""
+def features_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Feature records, an object a file, or a line."""
     part = "struct<min: double, max: double, mean: double, std_dev: double, range: double, zero_ratio: double, unique_count: bigint, unique_ratio: double>"
     schema = (
         "min double, max double, mean double, median double, std_dev double, variance double, skewness double, kurtosis double, range double, iqr double, q1 double, q3 double, "
@@ -225,7 +225,7 @@ def features_json(spark: SparkSession, path: str) -> DataFrame:
         "bit_stats struct<avg_set_bits: double, sign_changes: bigint, mantissa_entropy: double, exponent_range: bigint, common_exponent: bigint>, "
         "entropy double, percentile_95 double, percentile_5 double, auto_correlation array<double>, periodicity bigint, periodic_score double"
     )
-    return spark.read.option("multiLine", True).schema(schema).json(path)
+    return spark.read.option("multiLine", not lines).schema(schema).json(path)
 
 
 def training_csvs(spark: SparkSession, features: str, labels: str) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bits import binary_text, double_bits
+from ..storage import new_path, remove
 
 
 def append_benchmark(results: DataFrame, path: str) -> None:
@@ -55,3 +56,25 @@ def predictions_csv(predicted: DataFrame, path: str) -> None:
 def predictions_json(predicted: DataFrame) -> DataFrame:
     """series_id, segment_id, labels: the four labels as a JSON array."""
     return predicted.select("series_id", "segment_id", F.to_json(F.array("ranged", "scale", "del", "algo")).alias("labels"))
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A file of what the driver holds."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
+def one_text_file(rows: DataFrame, order: str, text: str, path: str) -> None:
+    """The texts as lines of one file, by order: for readers that want a file and not a folder of parts."""
+    spark = rows.sparkSession
+    parts = new_path(spark, "lines")
+    rows.select(order, text).coalesce(1).sortWithinPartitions(order).select(text).write.text(parts)
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = Path(parts).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(Path(path).getParent())
+    fs.rename(fs.globStatus(Path(f"{parts}/part-*"))[0].getPath(), Path(path))
+    remove(spark, parts)
