@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.decimals import text_decimals, value_decimals
+from ..storage import write_table
 from .series import neighbours, with_stats
 
 # Ids of the constraints, and the limits of their rules.
@@ -62,10 +63,10 @@ def _moves(series: DataFrame) -> DataFrame:
     return neighbours(series).withColumn("d", F.col("value") - F.col("p1"))
 
 
-def monotonicity(series: DataFrame) -> DataFrame:
+def monotonicity(series: DataFrame, moves: DataFrame | None = None) -> DataFrame:
     """2 strictly rising (also a series of one value), 1 rising, -2 strictly falling, -1 falling, 0 none."""
     d = F.col("d")
-    out = _moves(series).groupBy("series_id").agg(F.count_if(d > 0).alias("up"), F.count_if(d < 0).alias("down"), F.count(d).alias("n"))
+    out = (_moves(series) if moves is None else moves).groupBy("series_id").agg(F.count_if(d > 0).alias("up"), F.count_if(d < 0).alias("down"), F.count(d).alias("n"))
     up, down, n = F.col("up"), F.col("down"), F.col("n")
     code = F.when(up == n, 2).when(down == n, -2).when(down == 0, 1).when(up == 0, -1).otherwise(0)
     return out.select("series_id", code.cast("int").alias("monotonicity"))
@@ -82,19 +83,19 @@ def sign(series: DataFrame, use_text: bool = False) -> DataFrame:
     return out.select("series_id", "allow_positive", "allow_negative", ((pos | neg) if use_text else ~(pos & neg)).alias("sign"))
 
 
-def step_counts(series: DataFrame) -> DataFrame:
-    """series_id, step, c, n, low, high: sizes of moves, alike when they round to the same SAME_STEP digits."""
+def step_counts(series: DataFrame, moves: DataFrame | None = None) -> DataFrame:
+    """series_id, step, c, n, low, high, least: sizes of moves (and the least), alike when they round to the same SAME_STEP digits."""
     size = F.abs(F.col("d"))
-    rows = _moves(series).withColumn("step", F.when(size >= TINY, F.round(size, SAME_STEP)))
+    rows = (_moves(series) if moves is None else moves).withColumn("step", F.when(size >= TINY, F.round(size, SAME_STEP)))
     steps = rows.groupBy("series_id", "step").agg(F.count(F.lit(1)).alias("c"), F.min("value").alias("low"), F.max("value").alias("high"))
-    every = W.partitionBy("series_id")
-    return steps.withColumns({"n": F.sum("c").over(every), "low": F.min("low").over(every), "high": F.max("high").over(every)})
+    # a series may have as many steps as rows: summed up and joined, not a window
+    every = steps.groupBy("series_id").agg(F.sum("c").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("step").alias("least"))
+    return steps.drop("low", "high").join(every, "series_id")
 
 
-def discrete_min(series: DataFrame) -> DataFrame:
+def discrete_min(series: DataFrame, moves: DataFrame | None = None) -> DataFrame:
     """discrete_step by the smallest move: 0 unless all moves are multiples of it, or one or two are all."""
-    every = W.partitionBy("series_id")
-    rows = step_counts(series).withColumn("least", F.min("step").over(every))
+    rows = step_counts(series, moves)
     ratio = F.col("step") / F.col("least")
     odd = F.abs(ratio - F.floor(ratio + 0.5)) > TINY
     out = rows.groupBy("series_id").agg(F.max("least").alias("least"), F.count("step").alias("kinds"), F.count_if(odd).alias("odd"), F.max("n").alias("n"), F.max(F.col("high") - F.col("low")).alias("range"))
@@ -103,9 +104,9 @@ def discrete_min(series: DataFrame) -> DataFrame:
     return out.select("series_id", F.when(holds, F.col("least")).otherwise(0.0).alias("discrete_step"))
 
 
-def discrete_mode(series: DataFrame) -> DataFrame:
+def discrete_mode(series: DataFrame, moves: DataFrame | None = None) -> DataFrame:
     """discrete_step by the commonest move (ties: the smallest): 0 unless over half of the rows make it."""
-    rows = step_counts(series)
+    rows = step_counts(series, moves)
     best = F.max(F.when(F.col("step").isNotNull(), F.struct("c", (-F.col("step")).alias("less"))))
     out = rows.groupBy("series_id").agg(best.alias("best"), F.max("n").alias("n"))
     holds = F.col("best.c") > F.floor(F.col("n") / 2)
@@ -119,8 +120,9 @@ def sparse(series: DataFrame) -> DataFrame:
 
 def detect(series: DataFrame, use_text: bool = False) -> DataFrame:
     """All constraints of each series as one row. use_text: series has raw, the values' texts."""
+    moves, _ = write_table(_moves(series).select("series_id", "value", "d"), "moves")
     out = value_range(series)
-    for part in (precision(series, use_text), enumeration(series), monotonicity(series), sign(series, use_text), discrete_mode(series) if use_text else discrete_min(series), sparse(series)):
+    for part in (precision(series, use_text), enumeration(series), monotonicity(series, moves), sign(series, use_text), discrete_mode(series, moves) if use_text else discrete_min(series, moves), sparse(series)):
         out = out.join(part, "series_id", "left")
     return out.withColumns({"precision": F.coalesce("precision", F.lit(-1)), "enabled": F.array(*enabled())})
 

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bits import double_bits, exponent, mantissa
+from ..storage import write_table
 from .series import KEY, chunk_size, chunked, finite, in_chunk, neighbours, running_sum, with_stats
 
 #: Differences smaller than this are zero; bins of the value histogram; lags of the autocorrelation.
@@ -30,6 +31,11 @@ def _finite(series: DataFrame) -> DataFrame:
     return series.where(finite()).select("series_id", "pos", F.col("value").alias("v"))
 
 
+def near(series: DataFrame) -> DataFrame:
+    """The finite values with the two before them, on which several families rest."""
+    return neighbours(_finite(series), "v")
+
+
 def _sizes(series: DataFrame) -> DataFrame:
     return series.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -73,11 +79,11 @@ def value_props(series: DataFrame) -> DataFrame:
     return out.select("series_id", *[x for name in ("unique", "zero", "integer") for x in (F.col(f"{name}_count"), _ratio(F.col(f"{name}_count"), F.col("n")).alias(f"{name}_ratio"))])
 
 
-def _difference_stats(series: DataFrame, second: bool) -> DataFrame:
+def _difference_stats(series: DataFrame, second: bool, rows: DataFrame | None) -> DataFrame:
     """Of d1 = v - p1, or d2 = d1 - (p1 - p2); p1 and p2 are the two finite values before v."""
     d1 = F.col("v") - F.col("p1")
     step = d1 - (F.col("p1") - F.col("p2")) if second else d1
-    by_value = neighbours(_finite(series), "v").groupBy("series_id", step.alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    by_value = (near(series) if rows is None else rows).groupBy("series_id", step.alias("x")).agg(F.count(F.lit(1)).alias("c"))
     x, c = F.col("x"), F.col("c")
     unique = by_value.groupBy("series_id").agg(
         F.count(x).alias("unique_count"), F.min(x).alias("min"), F.max(x).alias("max"), F.sum(x * c).alias("total"), F.sum(x * x * c).alias("squares"),
@@ -94,19 +100,19 @@ def _difference_stats(series: DataFrame, second: bool) -> DataFrame:
     )
 
 
-def diff(series: DataFrame) -> DataFrame:
+def diff(series: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Statistics of the differences between neighbours; the deviation is a population's."""
-    return _difference_stats(series, second=False)
+    return _difference_stats(series, second=False, rows=rows)
 
 
-def second_diff(series: DataFrame) -> DataFrame:
+def second_diff(series: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Statistics of the differences between neighbouring differences."""
-    return _difference_stats(series, second=True)
+    return _difference_stats(series, second=True, rows=rows)
 
 
-def trend(series: DataFrame) -> DataFrame:
+def trend(series: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """monotonicity: (rises - falls) / (rises + falls); change_points: turns between them, flats aside."""
-    rows = neighbours(_finite(series), "v").withColumn("t", F.nullif(F.signum(F.col("v") - F.col("p1")), F.lit(0.0)))
+    rows = (near(series) if rows is None else rows).withColumn("t", F.nullif(F.signum(F.col("v") - F.col("p1")), F.lit(0.0)))
     moves = rows.where("t is not null").withColumn("before", F.lag("t").over(in_chunk()))
     chunks = moves.groupBy(*KEY).agg(
         F.sum("t").alias("net"), F.count("t").alias("moves"), F.count_if(F.col("t") != F.col("before")).alias("turns"), F.min_by("t", "pos").alias("first"), F.max_by("t", "pos").alias("last")
@@ -118,9 +124,9 @@ def trend(series: DataFrame) -> DataFrame:
     return out.select("series_id", F.coalesce(_ratio(F.col("net"), F.col("moves")), F.lit(0.0)).alias("monotonicity"), F.coalesce("change_points", F.lit(0)).alias("change_points"))
 
 
-def runs(series: DataFrame) -> DataFrame:
+def runs(series: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Runs of equal finite values. in_run_ratio leaves out single values; a series' last run never is one."""
-    rows = neighbours(_finite(series), "v").withColumn("new", F.when(F.col("v") == F.col("p1"), 0).otherwise(1).cast("long"))
+    rows = (near(series) if rows is None else rows).withColumn("new", F.when(F.col("v") == F.col("p1"), 0).otherwise(1).cast("long"))
     lengths = running_sum(rows, "new", "run").groupBy("series_id", "run").agg(F.count(F.lit(1)).alias("length"))
     length = F.col("length")
     out = lengths.groupBy("series_id").agg(
@@ -132,9 +138,9 @@ def runs(series: DataFrame) -> DataFrame:
     return out.select("series_id", "max_run_length", "avg_run_length", "run_count", (F.col("constant") / F.col("run_count")).alias("constant_run_ratio"), (1 - singles / F.col("n")).alias("in_run_ratio"))
 
 
-def bits(series: DataFrame) -> DataFrame:
+def bits(series: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Set bits, sign changes, range and mode of exponents (ties: the smallest), mantissa entropy."""
-    rows = neighbours(_finite(series), "v")
+    rows = near(series) if rows is None else rows
     flip = F.coalesce((F.col("p1") < 0) != (F.col("v") < 0), F.lit(False))
     rows = rows.withColumn("flip", flip).withColumn("b", double_bits(F.col("v")))
     rows = rows.select("series_id", "flip", F.bit_count("b").alias("ones"), exponent(F.col("b")).alias("e"), mantissa(F.col("b")).alias("m"))
@@ -218,17 +224,17 @@ def _at(lag: int) -> Column:
     return F.try_element_at(F.col("r"), F.lit(lag).cast("long"))
 
 
-def autocorrelation(series: DataFrame, lags: int = LAGS) -> DataFrame:
+def autocorrelation(series: DataFrame, lags: int = LAGS, correlations: DataFrame | None = None) -> DataFrame:
     """auto_correlation: lags 1..; null if there are not more values than lags or all are equal."""
-    out = _correlations(series, lags)
+    out = _correlations(series, lags) if correlations is None else correlations
     known = (F.col("n") > lags) & (F.col("variance") > 0)
     return out.select("series_id", F.when(known, F.array(*map(_at, range(1, lags + 1)))).alias("auto_correlation"))
 
 
-def periodicity(series: DataFrame, most: int = MOST_LAG) -> DataFrame:
+def periodicity(series: DataFrame, most: int = MOST_LAG, correlations: DataFrame | None = None) -> DataFrame:
     """The first lag (from 2, to n / 2 and ``most``) at which the autocorrelation has a local maximum
     over 0.5, and its value; 0 and 0 if there is none or there are under 10 values."""
-    out = _correlations(series, most)
+    out = _correlations(series, most) if correlations is None else correlations
     last = F.least(F.floor(F.col("n") / 2), F.lit(most))
     lags = F.sequence(F.lit(2).cast("long"), F.greatest(last - 1, F.lit(2)).cast("long"))
     at = lambda k: F.try_element_at(F.col("r"), k)
@@ -247,10 +253,12 @@ def profile(series: DataFrame, *, percentiles: bool = False) -> DataFrame:
     tails = quantiles(series, (0.95, 0.05)).select("series_id", F.col("p95").alias("percentile_95"), F.col("p05").alias("percentile_5"))
     if not percentiles:
         tails = None
-    smooth = second_diff(series)
+    # what several families rest on is computed once: a table of rows, and one of a row a series
+    rows, _ = write_table(near(series), "neighbours")
+    lags, _ = write_table(_correlations(series, MOST_LAG).coalesce(1), "correlations")
     parts = [
-        basic(series), value_props(series), nest(diff(series), "diff_stats"), nest(smooth, "second_diff_stats"), trend(series),
-        nest(runs(series), "run_length"), nest(bits(series), "bit_stats"), entropy(series), autocorrelation(series), periodicity(series),
+        basic(series), value_props(series), nest(diff(series, rows), "diff_stats"), nest(second_diff(series, rows), "second_diff_stats"), trend(series, rows),
+        nest(runs(series, rows), "run_length"), nest(bits(series, rows), "bit_stats"), entropy(series), autocorrelation(series, correlations=lags), periodicity(series, correlations=lags),
     ]
     out = reduce(lambda a, b: a.join(b, "series_id", "left"), [*parts, *([tails] if tails is not None else [])])
     if tails is None:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import write_table
+from ..storage import remove, write_table
 
 #: Positions of a chunk, and values of a segment.
 CHUNK, SEGMENT = 100_000, 5000
@@ -23,12 +23,13 @@ def _column(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def to_series(df: DataFrame, order: list[str | Column], value: str | Column, key: str | Column | None = None, raw: str | Column | None = None, spread: bool = False) -> DataFrame:
+def to_series(df: DataFrame, order: list[str | Column], value: str | Column, key: str | Column | None = None, raw: str | Column | None = None, spread: bool = True) -> DataFrame:
     """series_id, pos (from 0), value and, if given, raw, from the rows of df in the given order.
 
     Rows whose value is null are dropped before positions are given. key None: one series named "all".
-    spread=True numbers long series without putting one into one task, at the price of a table in the
-    shared folder; rows that tie in the order are then numbered in any order, as they are without it.
+    A series of any length is numbered without putting it into one task, at the price of a table in the
+    shared folder. spread=False uses a window a series instead, for series that are known to be short.
+    Rows that tie in the order are numbered in any order.
     """
     name = F.lit("all") if key is None else _column(key).cast("string")
     by = [f"order_{k}" for k in range(len(order))]
@@ -43,15 +44,20 @@ def to_series(df: DataFrame, order: list[str | Column], value: str | Column, key
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows with pos, from 0 in each series: range-sorted, numbered within partitions, and moved by the
-    rows that a series has in the partitions before (a row a series and partition)."""
+    rows that a series has in the partitions before (a row a series and partition). The result is a table
+    in the shared folder."""
     ranged = rows.repartitionByRange("series_id", *order).sortWithinPartitions("series_id", *order)
     at = F.monotonically_increasing_id()
     # written, as bounds of ranges are drawn anew when the plan runs again
-    ranged, _ = write_table(ranged.withColumns({"part": F.shiftright(at, 33), "at": at.bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    kept = [c for c in rows.columns if c not in order]
+    ranged, path = write_table(ranged.select(*kept, F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "numbered")
     parts = ranged.groupBy("series_id", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("c"))
     start = F.coalesce(F.sum("c").over(W.partitionBy("series_id").orderBy("part").rowsBetween(*BEFORE)), F.lit(0))
     moves = parts.select("series_id", "part", (start - F.col("first")).alias("move"))
-    return ranged.join(moves, ["series_id", "part"]).withColumn("pos", F.col("at") + F.col("move")).drop("part", "at", "move")
+    # written once more, so that those who read a series often don't join it each time
+    out, _ = write_table(ranged.join(moves, ["series_id", "part"]).withColumn("pos", F.col("at") + F.col("move")).drop("part", "at", "move"), "series")
+    remove(rows.sparkSession, path)
+    return out
 
 
 def in_chunk() -> W:

@@ -73,7 +73,7 @@ def training_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled_files(spark: SparkSession, sf_dir: str) -> str:
     """A folder an order status: lines of a label and PER_LINE totals, even ones to train and odd to test."""
     base = new_path(spark, "labelled")
-    rows = to_series(orders(spark, sf_dir), ["o_orderkey"], "o_totalprice", "o_orderstatus", raw=price(), spread=True)
+    rows = to_series(orders(spark, sf_dir), ["o_orderkey"], "o_totalprice", "o_orderstatus", raw=price())
     line = F.floor(F.col("pos") / PER_LINE)
     rows = rows.groupBy("series_id", line.alias("line")).agg(F.array_sort(F.collect_list(F.struct("pos", "raw"))).alias("told"))
     text = F.concat_ws("\t", F.lit("1"), F.array_join("told.raw", "\t"))
@@ -138,7 +138,7 @@ def country_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles as JSON, and what is in the records that are read back."""
     path = new_path(spark, "features")
-    series = to_series(spark.read.parquet(f"{sf_dir}/events.parquet"), ["ts", "event_id"], "value", "event_type", spread=True)
+    series = to_series(spark.read.parquet(f"{sf_dir}/events.parquet"), ["ts", "event_id"], "value", "event_type")
     sinks.features_json(prof.profile(series), path)
     return files.features_json(spark, path, lines=True).select(*[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "median")], "unique_count", F.round("diff_stats.mean", 6).alias("diff_mean"), F.col("run_length.run_count").alias("run_count"))
 
@@ -189,7 +189,7 @@ def existing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bit_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dump of values and bits as a text file, read back."""
     path = new_path(spark, "bits")
-    rows = to_series(orders(spark, sf_dir), ["o_orderkey"], "o_totalprice", "o_orderstatus", spread=True)
+    rows = to_series(orders(spark, sf_dir), ["o_orderkey"], "o_totalprice", "o_orderstatus")
     sinks.write_lines(sinks.bit_dump(rows), path)
     return spark.read.text(path).withColumnRenamed("value", "line")
 
@@ -197,7 +197,7 @@ def bit_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What holds of the quantities of lines, as text."""
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    series = to_series(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), order, "l_quantity", "l_returnflag", spread=True)
+    series = to_series(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), order, "l_quantity", "l_returnflag")
     return cons.report(cons.detect(series))
 
 
