@@ -131,13 +131,66 @@ def enabled() -> list[Column]:
     return [F.col("precision") >= 0, F.col("min_value").isNotNull(), F.col("enumeration").isNotNull(), F.col("monotonicity") != 0, F.col("sign"), F.col("discrete_step") > 0, F.col("sparse")]
 
 
+# A constraint's columns, and what they are where nothing is constrained.
+FREE = {
+    "precision": {"precision": "-1"}, "range": {"min_value": "cast(null as double)", "max_value": "cast(null as double)"}, "enumeration": {"enumeration": "cast(null as array<double>)"},
+    "monotonicity": {"monotonicity": "0"}, "sign": {"allow_positive": "true", "allow_negative": "true", "sign": "false"}, "discrete": {"discrete_step": "0.0D"}, "sparse": {"zero_ratio": "0.0D", "sparse": "false"},
+}
+
+
+def unconstrained(series: DataFrame) -> DataFrame:
+    """A row a series with no constraint enabled."""
+    free = {c: F.expr(x) for columns in FREE.values() for c, x in columns.items()}
+    return series.select("series_id").distinct().withColumns({**free, "enabled": F.array(*[F.lit(False)] * len(IDS))})
+
+
+def _flagged(constraints: DataFrame, name: str, on: bool) -> DataFrame:
+    return constraints.withColumn("enabled", F.transform("enabled", lambda flag, k: F.when(k == IDS[name], F.lit(on)).otherwise(flag)))
+
+
+def enable(constraints: DataFrame, name: str) -> DataFrame:
+    """The constraint (see IDS) is enabled, with the values that its columns have."""
+    return _flagged(constraints, name, True)
+
+
+def disable(constraints: DataFrame, name: str) -> DataFrame:
+    """The constraint is no longer checked; its columns keep their values."""
+    return _flagged(constraints, name, False)
+
+
+def with_constraint(constraints: DataFrame, name: str, **values: object) -> DataFrame:
+    """The constraint is enabled with these values of its columns (see FREE), for every series."""
+    if unknown := values.keys() - FREE[name].keys():
+        raise ValueError(f"{name} has no {sorted(unknown)}")
+    flags = {c: F.lit(True) for c in ("sign", "sparse") if c == name}
+    kinds = dict(constraints.dtypes)
+    told = {c: F.array(*map(F.lit, v)) if isinstance(v, (list, tuple)) else F.lit(v) for c, v in values.items()}
+    return enable(constraints.withColumns({c: x.cast(kinds[c]) for c, x in (told | flags).items()}), name)
+
+
+def is_enabled(name: str) -> Column:
+    return F.get("enabled", F.lit(IDS[name]))
+
+
+def any_enabled() -> Column:
+    return F.exists("enabled", lambda flag: flag)
+
+
+def checked(constraints: DataFrame) -> DataFrame:
+    """constraints with the columns of those that aren't enabled as if nothing were constrained."""
+    if "enabled" not in constraints.columns:
+        return constraints
+    return constraints.withColumns({c: F.when(is_enabled(name), F.col(c)).otherwise(F.expr(x)) for name, columns in FREE.items() for c, x in columns.items()})
+
+
 def validate(series: DataFrame, constraints: DataFrame) -> DataFrame:
     """Anomalies: series_id, pos, value, constraint_type (see IDS), reason; at most one a row.
 
-    Checks go in the order range, precision (if series has raw), enumeration, monotonicity against the
+    Only enabled constraints are checked, where there are flags. Checks go in the order range, precision (if series has raw), enumeration, monotonicity against the
     value before, sign, discrete. A series that is constrained to be sparse and isn't gives one row more,
     with pos -1 and the share of zeros as its value.
     """
+    constraints = checked(constraints)
     rows = with_stats(neighbours(series).withColumnRenamed("p1", "before").drop("p2", "chunk"), base=F.min("value"))
     names = ["precision", "min_value", "max_value", "enumeration", "monotonicity", "allow_positive", "allow_negative", "sign", "discrete_step", "sparse"]
     rows = rows.join(constraints.select("series_id", *[F.col(c).alias(f"k_{c}") for c in names]), "series_id")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..codecs import CODECS
-from ..functions.decimals import text_decimals
+from ..functions.bits import double_bits, leading_zeros, reverse_bits, trailing_zeros
+from ..functions.decimals import bits_of_decimals, significant_digits, text_decimals
 from ..functions.floats import decimal_fraction, fraction_part, split_exponent, split_mantissa, whole_part
 from ..operators import constraints as cons
 from ..operators import encoding as enc
@@ -93,11 +94,11 @@ def vector(series: DataFrame) -> DataFrame:
     return prof.flatten(prof.profile(series)).select("series_id", F.posexplode("features").alias("k", "value")).withColumn("k", F.col("k").cast("long"))
 
 
-def detected(series: DataFrame) -> DataFrame:
+def detected(series: DataFrame, use_text: bool = False) -> DataFrame:
     """All constraints of a series as one row, the enumeration as text."""
     names = ["precision", "min_value", "max_value", "monotonicity", "allow_positive", "allow_negative", "sign", "discrete_step", "zero_ratio", "sparse"]
     text = F.array_join(F.transform("enumeration", lambda v: F.format_string("%.2f", v)), " ")
-    return cons.detect(series).select("series_id", text.alias("enumeration"), *names)
+    return cons.detect(series, use_text).select("series_id", text.alias("enumeration"), *names)
 
 
 def precisions(series: DataFrame) -> DataFrame:
@@ -153,6 +154,56 @@ def decimal_fractions(series: DataFrame) -> DataFrame:
     return series.select("series_id", "pos", "value", decimal_fraction(F.col("value")).alias("rewritten"))
 
 
+def bit_counts(series: DataFrame) -> DataFrame:
+    b = F.col("b")
+    rows = series.select("series_id", "pos", double_bits(F.col("value")).alias("b"))
+    return rows.select("series_id", "pos", leading_zeros(b).cast("int").alias("leading"), trailing_zeros(b).cast("int").alias("trailing"), reverse_bits(b).alias("reversed"))
+
+
+def digit_counts(series: DataFrame) -> DataFrame:
+    rows = series.select("series_id", "pos", significant_digits(F.col("value")).alias("d"))
+    return rows.select("series_id", "pos", "d.alpha", "d.beta", "d.beta_star", bits_of_decimals(F.col("d.alpha")).alias("fraction_bits"))
+
+
+def nearest(series: DataFrame) -> DataFrame:
+    """Values against an enumeration that lacks most of them: every tenth, as they are first seen."""
+    every = cons.enumeration(series)
+    return xf.enum_index(series, every.select("series_id", F.filter("enumeration", lambda v: v % 10 == 5).alias("enumeration")))
+
+
+def falling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return to_series(table(spark, sf_dir, "orders"), ["o_orderkey"], -F.col("o_orderkey").cast("double"))
+
+
+def shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line quantities less 25: of both signs."""
+    return lines(F.col("l_quantity") - 25)(spark, sf_dir)
+
+
+def against(name: str, **values: object) -> Callable[[DataFrame], DataFrame]:
+    """Anomalies against one constraint."""
+    return lambda series: cons.validate(series, cons.with_constraint(cons.unconstrained(series), name, **values)).select("series_id", "pos", "value", "constraint_type")
+
+
+def relaxed(series: DataFrame) -> DataFrame:
+    """Anomalies against what was detected of the unshifted half, less its range and enumeration."""
+    known = cons.with_constraint(cons.detect(series.where("value > 0")), "monotonicity", monotonicity=1)
+    for name in ("range", "enumeration", "discrete", "sparse", "precision"):
+        known = cons.disable(known, name)
+    return cons.validate(series, known).select("series_id", "pos", "value", "constraint_type")
+
+
+def flags(series: DataFrame) -> DataFrame:
+    known = cons.disable(cons.detect(series), "range")
+    return known.select("series_id", *[cons.is_enabled(name).alias(name) for name in cons.IDS], cons.any_enabled().alias("any"))
+
+
+def anomaly_lines(series: DataFrame) -> DataFrame:
+    known = cons.with_constraint(cons.unconstrained(series), "sign", allow_negative=False)
+    known = cons.with_constraint(known, "range", min_value=-20, max_value=20)
+    return cons.anomaly_report(cons.validate(series, known))
+
+
 QUERIES: dict[str, Query] = {
     "profile_basic": over(events, prof.basic),
     "profile_quantiles": over(events, prof.quantiles),
@@ -186,6 +237,13 @@ QUERIES: dict[str, Query] = {
     "xf_enum_index": over(lines("l_quantity"), enumerated),
     "xf_enum_recover": over(lines("l_quantity"), lambda s: xf.enum_recover(enumerated(s), cons.enumeration(s))),
     "xf_steps": over(keys, xf.steps),
+    "xf_identity": over(events, xf.identity),
+    "xf_precision_recover": over(events, recovered(lambda s: xf.precision(s, 1, rounded=True), lambda s: xf.precision_recover(s, 1))),
+    "xf_less_min": over(events, lambda s: xf.less_min(s, 5.0)),
+    "xf_less_min_recover": over(events, recovered(lambda s: xf.less_min(s, 5.0), lambda s: xf.plus_min(s, 5.0))),
+    "xf_steps_recover": over(keys, recovered(xf.steps, lambda s: xf.steps_recover(s, 100.0))),
+    "xf_steps_falling": over(falling, lambda s: xf.steps(s, falling=True)),
+    "xf_enum_nearest": over(lines("l_quantity"), nearest),
     "cons_range": over(prices, cons.value_range),
     "cons_precision": over(lambda spark, sf_dir: prices(spark, sf_dir, raw=True), precisions),
     "cons_enum": over(lines("l_discount"), enum_sizes),
@@ -196,6 +254,14 @@ QUERIES: dict[str, Query] = {
     "cons_sparse": over(sparse_lines, cons.sparse),
     "cons_validate": validated,
     "cons_detect": over(lines("l_quantity"), detected),
+    "cons_detect_text": over(lambda spark, sf_dir: prices(spark, sf_dir, raw=True), lambda s: detected(s, use_text=True)),
+    "cons_validate_enum": over(lines("l_quantity"), against("enumeration", enumeration=[float(k) for k in range(1, 41)])),
+    "cons_validate_sign": over(shifted, against("sign", allow_negative=False)),
+    "cons_validate_step": over(lines("l_quantity"), against("discrete", discrete_step=2.0)),
+    "cons_validate_falling": over(falling, against("monotonicity", monotonicity=1)),
+    "cons_validate_relaxed": over(shifted, relaxed),
+    "cons_flags": over(lines("l_quantity"), flags),
+    "cons_anomalies": over(shifted, anomaly_lines),
     "precision_distribution": distribution,
     "text_decimals": decimals,
     "rle_encode": over(lines("l_discount"), enc.rle),
@@ -204,6 +270,8 @@ QUERIES: dict[str, Query] = {
     "freq_byte": over(lines("l_quantity"), enc.byte_frequencies),
     "bits_adjacent": lambda spark, sf_dir: enc.adjacent_bits(events(spark, sf_dir)),
     "bits_text": lambda spark, sf_dir: sinks.bit_dump(events(spark, sf_dir)),
+    "bit_counts": lambda spark, sf_dir: bit_counts(events(spark, sf_dir)),
+    "digit_counts": lambda spark, sf_dir: digit_counts(events(spark, sf_dir)),
     "bit_costs": lambda spark, sf_dir: enc.bit_costs(packed(events(spark, sf_dir), SMALL)),
     "erased_bits": lambda spark, sf_dir: enc.erased_bits(packed(events(spark, sf_dir), SMALL)),
     "float_parts": lambda spark, sf_dir: float_parts(events(spark, sf_dir)),

@@ -115,6 +115,28 @@ def vector() -> str:
     return f"SELECT series_id, unnest(range({len(names)})) AS k, unnest([{values}]) AS value FROM {joined} LEFT JOIN ({periodicity(EVENTS)}) p USING (series_id)"
 
 
+FALLING = "s AS (SELECT 'all' AS series_id, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, -CAST(o_orderkey AS DOUBLE) AS value FROM orders)"
+SHIFTED = lines("l_quantity - 25")
+TEXT = "t AS (SELECT *, CAST((value::DOUBLE)::BIT AS VARCHAR) AS t FROM s)"
+#: The whole digits and the decimals of a value's text.
+DIGITS = "d AS (SELECT *, split_part(CAST(abs(value) AS VARCHAR), '.', 1) AS whole, rtrim(split_part(CAST(abs(value) AS VARCHAR), '.', 2), '0') AS fraction FROM s)"
+
+
+def gorilla_costs() -> str:
+    """Bits by both forms, value by value: the window of leading and trailing zeros is carried along."""
+    zeros = lambda x: f"CASE WHEN {x} = 0 THEN 64 ELSE strpos(CAST(({x})::BIT AS VARCHAR), '1') - 1 END AS {x}_lead, CASE WHEN {x} = 0 THEN 64 ELSE strpos(reverse(CAST(({x})::BIT AS VARCHAR)), '1') - 1 END AS {x}_trail"
+    fits = lambda x: f"w.{x}_l IS NOT NULL AND n.{x}_lead >= w.{x}_l AND n.{x}_trail >= w.{x}_t"
+    cost = lambda x: f"CASE WHEN n.{x} = 0 THEN 1 WHEN {fits(x)} THEN 66 - w.{x}_l - w.{x}_t ELSE 78 - n.{x}_lead - n.{x}_trail END"
+    kept = lambda x, c, full: f"CASE WHEN n.{x} = 0 OR ({fits(x)}) THEN w.{x}_{c} ELSE n.{x}_{full} END"
+    states = ", ".join(kept(x, c, full) for x in ("o", "u") for c, full in (("l", "lead"), ("t", "trail")))
+    # two words that differ have neither all bits alike nor a difference of 0
+    return f"""WITH RECURSIVE {EVENTS}, {BITS}, g AS (SELECT series_id, pos // 1000 AS segment_id, CAST(pos % 1000 AS INTEGER) AS k, bits, lag(bits) OVER (PARTITION BY series_id, pos // 1000 ORDER BY pos) AS before FROM b),
+        x AS (SELECT *, xor(bits, before) AS o, {wrapped('-')} AS u FROM g), n AS MATERIALIZED (SELECT *, {zeros('o')}, {zeros('u')} FROM x),
+        w AS (SELECT series_id, segment_id, k, 64 AS xor_bits, 64 AS sub_bits, CAST(NULL AS BIGINT) AS o_l, CAST(NULL AS BIGINT) AS o_t, CAST(NULL AS BIGINT) AS u_l, CAST(NULL AS BIGINT) AS u_t FROM n WHERE k = 0
+            UNION ALL SELECT n.series_id, n.segment_id, n.k, {cost('o')}, {cost('u')}, {states} FROM w JOIN n ON n.series_id = w.series_id AND n.segment_id = w.segment_id AND n.k = w.k + 1)
+        SELECT series_id, segment_id, k AS "at", CAST(xor_bits AS BIGINT) AS xor_bits, CAST(sub_bits AS BIGINT) AS sub_bits FROM w"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "profile_basic": basic(EVENTS),
     "profile_quantiles": per_series(EVENTS, ", ".join(f"round(quantile_cont(value, {p / 100}), 6) AS p{p:02d}" for p in (5, 25, 50, 75, 95))),
@@ -149,6 +171,14 @@ ORACLE_SQL: dict[str, str] = {
     "xf_enum_index": f"WITH {lines('l_quantity')}, f AS (SELECT series_id, value, row_number() OVER (PARTITION BY series_id ORDER BY min(pos)) - 1 AS k FROM s GROUP BY series_id, value), n AS (SELECT series_id, count(*) AS kinds FROM f GROUP BY series_id), t AS (SELECT series_id, count(*) AS n FROM s GROUP BY series_id) SELECT series_id, pos, k AS value FROM s JOIN f USING (series_id, value) JOIN n USING (series_id) JOIN t USING (series_id) WHERE kinds <= greatest(1, t.n // 100)",
     "xf_enum_recover": each(lines("l_quantity"), "value") + " WHERE series_id IN (SELECT series_id FROM s GROUP BY series_id HAVING count(DISTINCT value) <= greatest(1, count(*) // 100))",
     "xf_steps": f"WITH {KEYS}, d AS (SELECT *, CAST(value - lag(value) {W} AS BIGINT) AS d FROM s) SELECT series_id, pos, d AS value FROM d WHERE d IS NOT NULL",
+    "xf_identity": each(EVENTS, "round(value, 6) AS value"),
+    "xf_precision_recover": each(EVENTS, "round(CAST(trunc(value * 10.0::DOUBLE + CASE WHEN value >= 0 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END) AS BIGINT) / 10.0::DOUBLE, 6) AS value"),
+    "xf_less_min": each(EVENTS, "round(value - 5.0::DOUBLE, 6) AS value"),
+    "xf_less_min_recover": each(EVENTS, "round(value, 6) AS value"),
+    "xf_steps_recover": f"WITH {KEYS}, d AS (SELECT series_id, pos, 100 + value - first_value(value) {W} AS value FROM s) SELECT * FROM d WHERE pos > 0",
+    "xf_steps_falling": f"WITH {FALLING}, d AS (SELECT series_id, pos, CAST(lag(value) {W} - value AS BIGINT) AS value FROM s) SELECT * FROM d WHERE pos > 0",
+    "xf_enum_nearest": f"""WITH {lines('l_quantity')}, f AS (SELECT series_id, value AS e, row_number() OVER (PARTITION BY series_id ORDER BY min(pos)) - 1 AS k FROM s WHERE value % 10 = 5 GROUP BY series_id, value)
+        SELECT s.series_id, pos, arg_min(k, (abs(e - value), k)) AS value FROM s JOIN f USING (series_id) GROUP BY s.series_id, pos""",
     "cons_range": per_series(PRICES, "round(min(value), 6) AS min_value, round(max(value), 6) AS max_value"),
     "cons_precision": f"""WITH {PRICES}, p AS (SELECT series_id, length(rtrim(regexp_extract(raw, '[.](.*)$', 1), '0')) AS places FROM s), c AS (SELECT series_id, places, count(*) AS n FROM p GROUP BY ALL)
         SELECT series_id, CAST(max(places) AS INTEGER) AS precision, '{{' || string_agg('"' || places || '":' || n, ',' ORDER BY places) || '}}' AS precision_distribution FROM c GROUP BY series_id""",
@@ -178,6 +208,26 @@ ORACLE_SQL: dict[str, str] = {
         SELECT series_id, precision, min_value, max_value, enumeration, monotonicity, allow_positive, allow_negative, NOT (allow_positive AND allow_negative) AS sign,
             CASE WHEN max_value > min_value AND least > (max_value - min_value) / 10000 AND (whole AND kinds > 1 OR kinds <= 2 AND kinds < n // 5) THEN least ELSE 0.0 END AS discrete_step, zero_ratio, zero_ratio >= 0.9 AS sparse
         FROM t LEFT JOIN e USING (series_id) LEFT JOIN l USING (series_id) LEFT JOIN o USING (series_id)""",
+    "cons_detect_text": f"""WITH {PRICES}, d AS (SELECT *, value - lag(value) {W} AS d, length(rtrim(regexp_extract(raw, '[.](.*)$', 1), '0')) AS places FROM s),
+        k AS (SELECT series_id, round(abs(d), 10) AS a, count(*) AS c FROM d WHERE abs(d) >= 1e-10 GROUP BY ALL), m AS (SELECT series_id, arg_min(a, (-c, a)) AS a, max(c) AS c FROM k GROUP BY series_id),
+        f AS (SELECT series_id, value, min(pos) AS first, count(*) AS c FROM s GROUP BY series_id, value), e AS (SELECT series_id, string_agg(printf('%.2f', value), ' ' ORDER BY first) AS enumeration FROM f GROUP BY series_id HAVING count(*) <= greatest(1, sum(c) // 100)),
+        t AS (SELECT series_id, count(*) AS n, min(value) AS min_value, max(value) AS max_value, CAST(max(places) AS INTEGER) AS precision,
+            CAST(CASE WHEN coalesce(bool_and(d > 0), true) THEN 2 WHEN bool_and(d < 0) THEN -2 WHEN bool_and(d >= 0) THEN 1 WHEN bool_and(d <= 0) THEN -1 ELSE 0 END AS INTEGER) AS monotonicity,
+            bool_or(value > 0) AS allow_positive, bool_or(value < 0) AS allow_negative, round(count(*) FILTER (WHERE value = 0) / count(*), 6) AS zero_ratio FROM d GROUP BY series_id)
+        SELECT series_id, precision, round(min_value, 6) AS min_value, round(max_value, 6) AS max_value, enumeration, monotonicity, allow_positive, allow_negative, allow_positive OR allow_negative AS sign,
+            CASE WHEN c > n // 2 THEN round(a, 6) ELSE 0.0 END AS discrete_step, zero_ratio, zero_ratio >= 0.9 AS sparse FROM t LEFT JOIN e USING (series_id) LEFT JOIN m USING (series_id)""",
+    "cons_validate_enum": each(lines("l_quantity"), "value, CAST(2 AS INTEGER) AS constraint_type") + " WHERE NOT (value = floor(value) AND value BETWEEN 1 AND 40)",
+    "cons_validate_sign": each(SHIFTED, "value, CAST(4 AS INTEGER) AS constraint_type") + " WHERE value < 0",
+    "cons_validate_step": f"WITH {lines('l_quantity')}, x AS (SELECT *, lag(value) {W} AS before, min(value) {ALL} AS low FROM s) SELECT series_id, pos, value, CAST(5 AS INTEGER) AS constraint_type FROM x WHERE before IS NOT NULL AND (value - low) % 2 <> 0",
+    "cons_validate_falling": each(FALLING, "value, CAST(3 AS INTEGER) AS constraint_type") + " WHERE pos > 0",
+    "cons_validate_relaxed": f"WITH {SHIFTED}, x AS (SELECT *, lag(value) {W} AS before FROM s), y AS (SELECT series_id, pos, value, CAST(CASE WHEN value < before THEN 3 WHEN value < 0 THEN 4 END AS INTEGER) AS constraint_type FROM x) SELECT * FROM y WHERE constraint_type IS NOT NULL",
+    "cons_flags": f"""WITH {lines('l_quantity')}, f AS (SELECT series_id, value, count(*) AS c FROM s GROUP BY series_id, value), e AS (SELECT series_id, count(*) <= greatest(1, sum(c) // 100) AS enumeration FROM f GROUP BY series_id)
+        SELECT series_id, true AS precision, false AS range, enumeration, false AS monotonicity, true AS sign, true AS discrete, false AS sparse, true AS any FROM e""",
+    "cons_anomalies": f"""WITH {SHIFTED} SELECT series_id, pos, CASE WHEN abs(value) > 20 THEN printf('[range] %d: %.6f (out of range [-20.000000, 20.000000])', pos, value)
+        ELSE printf('[sign] %d: %.6f (negative values not allowed)', pos, value) END AS line FROM s WHERE abs(value) > 20 OR value < 0""",
+    "cons_report": f"""WITH {lines('l_quantity')}, f AS (SELECT series_id, value, min(pos) AS first, count(*) AS c FROM s GROUP BY series_id, value),
+        e AS (SELECT series_id, 'enumeration: [' || string_agg(printf('%.1f', value), ',' ORDER BY first) || ']' AS line FROM f GROUP BY series_id HAVING count(*) <= greatest(1, sum(c) // 100))
+        SELECT series_id, unnest(['precision: 0 decimals', printf('range: [%.6f, %.6f]', min(value), max(value)), 'sign: positive true, negative false', 'discrete: step 1.000000']) AS line FROM s GROUP BY series_id UNION ALL SELECT * FROM e""",
     "precision_distribution": f"WITH {PRICES}, p AS (SELECT series_id, CAST(length(rtrim(regexp_extract(raw, '[.](.*)$', 1), '0')) AS INTEGER) AS places FROM s), c AS (SELECT series_id, places, count(*) AS c FROM p GROUP BY ALL) SELECT *, round(100 * c / sum(c) {ALL}, 6) AS percent FROM c",
     "text_decimals": f"WITH {PRICES} SELECT series_id, pos, length(rtrim(regexp_extract(raw, '[.](.*)$', 1), '0')) AS places FROM s",
     "rle_encode": f"WITH {lines('l_discount')}, {RUNS} SELECT series_id, run, start, round(value, 6) AS value, length FROM r",
@@ -188,6 +238,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT *, CAST(coalesce(sum(c) OVER (PARTITION BY series_id ORDER BY byte ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS below FROM f""",
     "bits_adjacent": f"WITH {EVENTS}, {BITS}, x AS (SELECT *, lag(bits) {W} AS before FROM b) SELECT series_id, pos, bits, xor(bits, before) AS bits_xor, {wrapped('+')} AS bits_add, {wrapped('-')} AS bits_sub FROM x WHERE before IS NOT NULL",
     "bits_text": each(EVENTS, "printf('%.10f', value) || chr(9) || CAST((value::DOUBLE)::BIT AS VARCHAR) AS line"),
+    "bit_counts": f"WITH {EVENTS}, {TEXT} SELECT series_id, pos, CAST(CASE WHEN strpos(t, '1') = 0 THEN 64 ELSE strpos(t, '1') - 1 END AS INTEGER) AS leading, CAST(CASE WHEN strpos(t, '1') = 0 THEN 64 ELSE strpos(reverse(t), '1') - 1 END AS INTEGER) AS trailing, CAST(CAST(reverse(t) AS BIT) AS BIGINT) AS reversed FROM t",
+    "digit_counts": f"""WITH {EVENTS}, {DIGITS}, a AS (SELECT *, length(fraction) AS alpha, CASE WHEN abs(value) >= 1 THEN length(whole) - 1 ELSE length(ltrim(fraction, '0')) - length(fraction) - 1 END AS sp FROM d)
+        SELECT series_id, pos, CAST(CASE WHEN value <> 0 THEN alpha END AS INTEGER) AS alpha, CAST(CASE WHEN value <> 0 THEN sp + alpha + 1 END AS INTEGER) AS beta,
+            CAST(CASE WHEN value = 0 THEN NULL WHEN abs(value) < 1 AND ltrim(fraction, '0') = '1' THEN 0 ELSE sp + alpha + 1 END AS INTEGER) AS beta_star, CAST(CASE WHEN value <> 0 THEN ceil(alpha * log2(10)) END AS INTEGER) AS fraction_bits FROM a""",
+    "bit_costs": gorilla_costs(),
+    # decimals of what is left of the whole part, which may have more digits than the value's text
+    "decimal_fractions": f"""WITH {EVENTS}, {TEXT}, x AS (SELECT *, rtrim(split_part(CAST(abs(value) - floor(abs(value)) AS VARCHAR), '.', 2), '0') AS fraction, 12 + CAST(((value::DOUBLE)::BIT::BIGINT >> 52) & 2047 AS INTEGER) - 1023 AS keep FROM t)
+        SELECT series_id, pos, value, CASE WHEN keep BETWEEN 1 AND 63 THEN CAST(CAST(substr(t, 1, keep) || substr(reverse(CAST(CAST(coalesce(nullif(fraction, ''), '0') AS UBIGINT)::BIT AS VARCHAR)), 1, 64 - keep) AS BIT) AS DOUBLE) ELSE value END AS rewritten FROM x""",
     "float_parts": f"""WITH {EVENTS}, {BITS}, e AS (SELECT *, CASE WHEN abs(value) < 1 THEN 0 ELSE ((bits >> 52) & 2047) - 1022 END AS exponent FROM b)
         SELECT series_id, pos, value / pow(2.0, exponent) AS mantissa, exponent, trunc(value) AS whole, value - trunc(value) AS fraction FROM e""",
     "segment_tumbling": f"WITH {EVENTS} SELECT series_id, pos // 1000 AS segment_id, count(*) AS n, round(min(value), 6) AS low, round(max(value), 6) AS high FROM s GROUP BY ALL HAVING count(*) = 1000",
