@@ -167,6 +167,15 @@ def test_bits_that_verify_grow_with_the_corpus():
     assert (one == again[0][1:]).all() and (two == again[1][1:]).all() and not (one == two).any()
 
 
+def test_more_words_than_are_first_made_room_for(texts, monkeypatch):
+    rows = [(k, " ".join(f"w{(k // 2) * 100 + j}" for j in range(120))) for k in range(60)]
+    assert got(substring_dedup.remove_substrings(texts(*rows))) == substrings(rows, 13)
+    monkeypatch.setattr(substring_dedup, "REMEMBER", 50)
+    hashes, again = substring_dedup.window_hashes(3), substring_dedup.window_hashes(3)
+    every = [hashes(t.encode())[0] for _, t in rows]
+    assert all((a == again(t.encode())[0]).all() for a, (_, t) in zip(every, rows))
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(0)
     a, b = np.sort(rng.integers(0, 2**64, 1000, dtype=np.uint64)), rng.integers(0, 255, 7).astype(np.uint8)

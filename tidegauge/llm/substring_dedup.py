@@ -17,40 +17,48 @@ REMEMBER = 400_000
 MIX, MIX_CHECK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+class Words:
+    """Two 64-bit hashes of each word, remembered. One object, as a function that is sent to a worker
+    keeps no variable in common with another one."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.hashes = np.zeros((2, 1024), np.uint64)
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > REMEMBER:
+            self.known.clear()
+        try:
+            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            self.learn(set(words))
+            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return self.hashes[:, at]
+
+    def learn(self, words: set[bytes]) -> None:
+        import xxhash
+
+        new, n = sorted(words.difference(self.known)), len(self.known)
+        if n + len(new) > self.hashes.shape[1]:
+            self.hashes = np.concatenate([self.hashes, np.zeros((2, n + len(new)), np.uint64)], axis=1)
+        self.hashes[:, n : n + len(new)] = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, new)), "<u8").reshape(-1, 2).T
+        self.known.update(zip(new, range(n, n + len(new))))
+
+
 def window_hashes(window: int):
     """Two polynomial hashes of each window, over two 64-bit hashes of its words, finished by mixing."""
-    known: dict[bytes, int] = {}
-    hashes = np.zeros((2, 1024), np.uint64)
+    hashes = Words()
 
     def finish(h: np.ndarray) -> np.ndarray:
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         return h ^ (h >> np.uint64(32))
 
-    def learn(words: set[bytes]) -> None:
-        import xxhash
-
-        nonlocal hashes
-        new = sorted(words.difference(known))
-        both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, new)), "<u8").reshape(-1, 2).T
-        n = len(known)
-        if n + len(new) > hashes.shape[1]:
-            hashes = np.concatenate([hashes, np.zeros((2, n + len(new)), np.uint64)], axis=1)
-        hashes[:, n : n + len(new)] = both
-        known.update(zip(new, range(n, n + len(new))))
-
     def run(text: bytes) -> Items:
         words = text.split()
         n = len(words) - window + 1
         if n < 1:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        if len(known) > REMEMBER:
-            known.clear()
-        try:
-            at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            learn(set(words))
-            at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        one, two = hashes[0][at], hashes[1][at]
+        one, two = hashes(words)
         a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         for k in range(window):
             a = a * MIX + one[k : n + k]
