@@ -170,6 +170,15 @@ def test_long_documents_are_sampled_only_where_there_are_no_others(documents, mo
     assert sorted((r["lang"], r["long"]) for r in sample) == [("a", False)] * 5 + [("b", True)]
 
 
+def test_sample_is_the_same_with_more_languages_than_are_broadcast(documents, monkeypatch):
+    rows = [(i, f"text {i} " * (1 + i % 3), "common" if i % 4 else f"rare {i % 64}", "s") for i in range(1500)]
+    rows += [(i, f"again {i}", "common", "s") for i in range(0, 1500, 5)] + [(None, "no id", "common", "s")] * 3
+    sample = lambda: sorted((r["lang"], r["nth"], str(r["doc_id"]), r["text"]) for r in language_id.sample_of(documents(rows), 20).collect())
+    at_once = sample()
+    monkeypatch.setattr(language_id, "COUNTS_AT_ONCE", 3)
+    assert sample() == at_once and len({lang for lang, *_ in at_once}) == 17
+
+
 def test_rejection_is_read_from_the_tail():
     z = np.random.default_rng(0).exponential(size=4000)
     assert language_id.tail_bound(z, 1e-4) == pytest.approx(-np.log(1e-4), rel=0.1)

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import held_out, slices, write_table
+from .common import held_out, join_groups, slices, write_table
 
 ORDER = 4
 #: The sample's bound: documents a language to train and to calibrate on, and characters of a document.
@@ -32,6 +32,8 @@ ORDER = 4
 TRAIN_DOCS, CALIBRATE_DOCS, MOST_CHARS = 240, 60, 50_000
 #: Languages of a block: how many a row of log-probabilities holds. There is no bound on blocks.
 LANG_BLOCK = 64
+#: So many languages' counts are broadcast at most; of more, only the common ones' are.
+COUNTS_AT_ONCE = 100_000
 #: Lengths of the snippets that calibration adds to whole texts.
 SNIPPETS = (4, 8, 16, 32, 64)
 #: The share of clean texts that may be rejected as too unlikely (one of a billion); the upper share of held-back texts whose
@@ -294,15 +296,20 @@ def sample_of(docs: DataFrame, per_lang: int) -> DataFrame:
     of at most MOST_CHARS characters, or one, if there is none so short.
 
     A threshold on a hash of the id brings the rows near the bound, so that a window orders only about
-    twice as many as are taken. The counts that it rests on are a row a language.
+    twice as many as are taken. The counts that it rests on are a row a language, and texts meet them
+    where they are: no language is gathered in a task. Beyond COUNTS_AT_ONCE languages, texts of those
+    that hold less than a thousandth of all are shuffled by language.
     """
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
     labelled = labelled.withColumn("long", F.length("text") > MOST_CHARS)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30))
     # short ones are wanted, so they count; where there are only long ones, those do
     counts = labelled.groupBy("lang").agg(F.count_if(~F.col("long")).alias("short"), F.count(F.lit(1)).alias("there"))
-    counts = counts.select("lang", F.col("short") == 0, F.when(F.col("short") > 0, F.col("short")).otherwise(F.col("there"))).toDF("lang", "long", "there")
-    some = labelled.withColumn("draw", draw).join(counts, ["lang", "long"]).where(F.col("draw") / float(1 << 30) < 2.0 * per_lang / F.col("there"))
+    counts = counts.select("lang", (F.col("short") == 0).alias("long"), F.when(F.col("short") > 0, F.col("short")).otherwise(F.col("there")).alias("there"))
+    counts, _ = write_table(counts, "language-counts")
+    rows, keys = labelled.withColumn("draw", draw), ["lang", "long"]
+    some = rows.join(F.broadcast(counts), keys) if counts.count() <= COUNTS_AT_ONCE else join_groups(rows, counts, keys, "there")
+    some = some.where(F.col("draw") / float(1 << 30) < 2.0 * per_lang / F.col("there"))
     some = some.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id", "text")))
     return some.where((F.col("nth") <= per_lang) & (~F.col("long") | (F.col("nth") == 1)))
 
