@@ -166,9 +166,10 @@ def digit_counts(series: DataFrame) -> DataFrame:
 
 
 def nearest(series: DataFrame) -> DataFrame:
-    """Values against an enumeration that lacks most of them: every tenth, as they are first seen."""
-    every = cons.enumeration(series)
-    return xf.enum_index(series, every.select("series_id", F.filter("enumeration", lambda v: v % 10 == 5).alias("enumeration")))
+    """Values against a given enumeration that lacks most of them: every tenth, as they are first seen."""
+    firsts = series.where("value % 10 = 5").groupBy("series_id", "value").agg(F.min("pos").alias("first"))
+    pairs = F.array_sort(F.collect_list(F.struct("first", "value")))
+    return xf.enum_index(series, firsts.groupBy("series_id").agg(pairs["value"].alias("enumeration")))
 
 
 def falling(spark: SparkSession, sf_dir: str) -> DataFrame:
